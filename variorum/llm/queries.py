@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from fractions import Fraction
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from variorum.llm import decontaminate, near_dedup, substring_dedup, toxicity
+from variorum.llm import byte_bpe, decontaminate, near_dedup, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +27,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.digest(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.mark(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
@@ -34,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_toxicity": op4_toxicity,
+    "op6_byte_bpe": op6_byte_bpe,
     "op10_decontaminate": op10_decontaminate,
 }
 
