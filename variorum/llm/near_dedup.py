@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5), shing
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     cut = sized.join(sized.groupBy("cluster").agg(blocks.alias("blocks")), "cluster")
     cut = cut.select("cluster", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("own"), "blocks", F.col("node").alias("rep"))
-    members = docs.join(cut, docs["doc_id"] == cut["rep"]).select("cluster", "own", "blocks", "rep", "text")
+    members = docs.join(cut.hint("merge"), docs["doc_id"] == cut["rep"]).select("cluster", "own", "blocks", "rep", "text")
     sets = members.mapInArrow(_sets(shingle), "cluster long, own int, blocks int, rep long, shingles binary")
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = dealt.groupBy("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
