@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from variorum.llm import byte_bpe, decontaminate, lm_scoring, near_dedup, substring_dedup, toxicity
+from variorum.llm import byte_bpe, decontaminate, license_scan, lm_scoring, near_dedup, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_read(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_license_scan": op7_license_scan,
     "op8_lm_scoring": op8_lm_scoring,
     "op10_decontaminate": op10_decontaminate,
 }
