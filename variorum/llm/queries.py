@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from variorum.llm import byte_bpe, decontaminate, license_scan, lm_scoring, near_dedup, substring_dedup, toxicity
+from variorum.llm import ann, byte_bpe, decontaminate, license_scan, lm_scoring, near_dedup, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.digest(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_ann": op5_ann,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_license_scan": op7_license_scan,
     "op8_lm_scoring": op8_lm_scoring,
