@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from variorum.llm import ann, byte_bpe, decontaminate, license_scan, lm_scoring, near_dedup, substring_dedup, toxicity
+from variorum.llm import ann, byte_bpe, decontaminate, license_scan, lm_scoring, near_dedup, substring_dedup, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_read(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(_read(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -44,6 +48,10 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_read(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_read(spark, sf_dir, "pages"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.mark(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
@@ -51,11 +59,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op5_ann": op5_ann,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_license_scan": op7_license_scan,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
 }
 
