@@ -1,35 +1,5 @@
 """Tables that are kept for a job, in the folder that the cluster shares."""
 
-from __future__ import annotations
+from variorum.storage import materialize, shared_dir, shared_path
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, as the cluster sets it; a temporary folder only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="variorum-shared-"))
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/variorum-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder once and read from there: no lineage, and no executor holds the only copy."""
-    path = shared_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["materialize", "shared_dir", "shared_path"]
