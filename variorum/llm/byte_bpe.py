@@ -278,8 +278,8 @@ def _encoded(docs: DataFrame, path: str, pattern: str, whole: bool) -> DataFrame
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs with a last column ids, the ids of the text."""
-    return _encoded(docs, path, pattern, True).select("row.*", "ids")
+    """docs with a last column ids, the ids of the text; a column of that name is replaced."""
+    return _encoded(docs.drop("ids"), path, pattern, True).select("row.*", "ids")
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:

@@ -146,14 +146,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds:
     rows = labels.where((remainder("doc_id", folds) != 0) & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("labelled"), "toxic")
     one = lambda y: rows.where(F.col("toxic") == y).orderBy(F.xxhash64("labelled"), "labelled").limit(per_class)
     sample = F.broadcast(one(0).union(one(1)))  # 2 * per_class ids at most
+    docs = docs.select("doc_id", "text")
     texts = docs.join(sample, docs["doc_id"] == sample["labelled"]).select(F.col("toxic").cast("int"), "text")
     found = texts.mapInArrow(_features, "toxic int, features binary").toArrow()
     order = sorted(zip(found["toxic"].to_pylist(), found["features"].to_pylist(), strict=True))
     return Model.fit([np.frombuffer(f, np.uint32) for _, f in order], np.array([y == 1 for y, _ in order], bool))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a last column toxicity, a probability."""
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, text, score), with all columns of docs in row."""
     sent = docs.sparkSession.sparkContext.broadcast((model.buckets, model.weights, model.intercept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,12 +164,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         table[buckets] = weights
         for batch in batches:
             found = own.scores(*column_bytes(batch["text"]), table)
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["text"], pa.array(found, pa.float64())], names=["row", "text", "toxicity"])
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(found, pa.float64())], names=["row", "score"])
+
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    return packed.mapInArrow(run, StructType([packed.schema["row"], StructField("score", DoubleType())]))
 
-    rest = [c for c in docs.columns if c != "text"]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), "text")
-    scored = packed.mapInArrow(run, StructType([*packed.schema.fields, StructField("toxicity", DoubleType())]))
-    return scored.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], "toxicity")
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with a last column toxicity, a probability; a column of that name is replaced."""
+    return _scored(docs.drop("toxicity"), model).select("row.*", F.col("score").alias("toxicity"))
 
 
 def digest(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -179,4 +183,4 @@ def digest(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs with a score below 0.5."""
-    return score(docs, train(docs, labels, **options)).where("toxicity < 0.5").drop("toxicity")
+    return _scored(docs, train(docs, labels, **options)).where("score < 0.5").select("row.*")
