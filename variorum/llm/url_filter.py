@@ -4,7 +4,7 @@ The model is trained on a small labelled table of URLs.  Its features are the
 distinct n-grams of the host and, apart from them, of the path.
 
 Defined results: a null url, or one without ``://``, has an empty host and
-path; a null page_id is kept; equal rows are judged one by one; other columns
+path; without n-grams the score is 0, which allows; a null page_id is kept; equal rows are judged one by one; other columns
 are ignored.
 """
 
@@ -80,6 +80,18 @@ LABELLED = [
     ("https://www.school.org/en/lesson/9834/", 0),
     ("http://theatre.city.net/en/program", 0),
     ("https://blog.science.com/en/13278", 0),
+    ("https://ads.example.org/en/12", 1),
+    ("http://track.example.com/fr/41.html", 1),
+    ("https://m.adserver.example.net/de/9", 1),
+    ("http://banner-ads.example.com/es/77", 1),
+    ("http://pixel-track.example.net/en/300", 1),
+    ("https://click-ads.example.com/de/51", 1),
+    ("https://www.example.net/de/300", 0),
+    ("http://m.example.com/es/77", 0),
+    ("https://blog.example.org/fr/41.html", 0),
+    ("http://m.books.example.net/en/9/", 0),
+    ("https://garden.example.com/de/51", 0),
+    ("http://theatre.example.org/en/12", 0),
 ]
 BITS, SIZES = 16, (3, 4, 5)
 #: Rules that one expression may hold.
@@ -155,7 +167,7 @@ def judge(pages: DataFrame, rules=RULES, labelled=LABELLED) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = sent.value
         for batch in batches:
-            found = [b + (w[x].sum() / np.sqrt(len(x)) if len(x) else 0.0) for x in features(batch["host"], batch["path"])]
+            found = [b + w[x].sum() / np.sqrt(len(x)) if len(x) else -np.inf for x in features(batch["host"], batch["path"])]
             score = 1 / (1 + np.exp(-np.array(found, float)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=["page_id", "host", "path", "score"])
 
