@@ -69,4 +69,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Queries without SQL (4 to 9) learn, search approximately, merge ranks or add labels of their own.
+ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": f"""
+with recursive w as (select doc_id, {_SPACED.format(_LOWER)} w from documents),
+s as (select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) end s from w),
+one as (select doc_id, unnest(s) x from s),
+shared as (select a.doc_id a, b.doc_id b, count(*) n from one a join one b using (x) where a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from shared join s p on p.doc_id = a join s q on q.doc_id = b where 100 * n >= 85 * (len(p.s) + len(q.s) - n)),
+ends as (select a, b from links union select b, a from links),
+reach(a, b) as (select doc_id, doc_id from s union select r.a, e.b from reach r join ends e on e.a = r.b),
+least as (select a doc_id, min(b) component_id from reach group by 1)
+select doc_id, cast(len(s) as bigint) n_shingles, component_id, doc_id = component_id kept from s join least using (doc_id)""",
+    "op2_substring_dedup": f"""
+with w as (select doc_id, {_SPACED.format("coalesce(text, '')")} w from documents),
+spot as (select doc_id, w, unnest(range(1, len(w) - 33)) i from w where len(w) >= 35),
+win as (select doc_id, i, array_to_string(w[i:i + 34], ' ') x from spot),
+twice as (select x from win group by x having count(*) > 1),
+gone as (select distinct doc_id, i + k i from win join twice using (x), range(35) r(k)),
+word as (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) i from w),
+kept as (select doc_id, string_agg(x, ' ' order by i) t from word anti join gone using (doc_id, i) group by 1),
+n as (select doc_id, count(*) n from gone group by 1)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from w left join kept using (doc_id) left join n using (doc_id)""",
+    "op3_warc": """
+with p as (select page_id, strlen(coalesce(html, '')) n, sha256(coalesce(html, '')) d from pages),
+f as (select d, min(page_id) first from p where n >= 100 group by 1)
+select page_id, n payload_bytes, p.d payload_digest, case when first <> page_id then 'revisit' else 'response' end record_type, case when first <> page_id then first end refers_to from p left join f on p.d = f.d and n >= 100""",
+    "op10_decontaminate": f"""
+with i as (select item_id, {_ALNUM} w from benchmark),
+iw as (select distinct item_id, least(10, len(w)) n, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda j: array_to_string(w[j:j + 9], ' '))) x from i where len(w) > 0),
+d as (select doc_id, {_ALNUM} w from documents),
+size as (select distinct n from iw),
+spot as (select doc_id, n, w, unnest(range(1, len(w) - n + 2)) j from d, size where len(w) >= n),
+hit as (select doc_id, j, n, array_to_string(w[j:j + n - 1], ' ') x from spot where array_to_string(w[j:j + n - 1], ' ') in (select x from iw)),
+pos as (select doc_id, count(distinct j + k) n_hit from hit, range(10) r(k) where k < n group by 1),
+names as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) t from (select distinct doc_id, cast(item_id as varchar) item from hit join iw using (n, x)) group by 1)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(t, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated from d left join pos using (doc_id) left join names using (doc_id)""",
+}
