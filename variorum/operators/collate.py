@@ -13,10 +13,11 @@ SENTENCE = ["chapter_number", "sentence_number"]
 def pairs(witness: DataFrame) -> DataFrame:
     """Every two versions of a sentence, the smaller name first; versions without a name are left out.
 
-    One shuffle by the sentence's numbers; both sides of the join share it.  Adaptive execution splits sentences with
-    very many versions.
+    One shuffle by the sentence's numbers; both sides of the join share it.  Its partitions are set, since pairs are
+    many times the sentences by whose bytes adaptive execution would merge partitions.
     """
     named = witness.where("version is not null and version <> ''").withColumn("text", F.coalesce("text", F.lit("")))
+    named = named.repartition(int(witness.sparkSession.conf.get("spark.sql.shuffle.partitions")), *SENTENCE)
     side = lambda who: named.select(*SENTENCE, F.col("version").alias(f"{who}_text_version"), F.col("text").alias(f"{who}_text"))
     return side("original").join(side("modified"), SENTENCE).where("original_text_version < modified_text_version")
 
