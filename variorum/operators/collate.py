@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from variorum.operators.edit_script import MOST_CELLS, edit_script
+from variorum.storage import materialize
 
 SENTENCE = ["chapter_number", "sentence_number"]
 
@@ -56,12 +57,17 @@ def collate(witness: DataFrame, distinct_texts: bool = False, most_cells: int =
 def pair_index(records: DataFrame, witness: DataFrame) -> DataFrame:
     """records with pair_index: sentences by their first place in the source, then pairs by versions.
 
-    The index is a total order, so its window has no partition; ask for it only where a slice or a log needs it.
+    Rows are dealt by ranges of the order and sorted within; a row's index is its place there after the rows of the
+    ranges before.  The ranges are a written table, so places hold when a task is repeated.
     """
     place = F.min(F.struct("version_idx", "chapter_number", "row_idx")).alias("place")
     first = witness.groupBy(*SENTENCE).agg(place)
-    order = Window.orderBy("place", "original_text_version", "modified_text_version", "original_text", "modified_text")
-    return records.join(first, SENTENCE).withColumn("pair_index", F.row_number().over(order).cast("long") - 1).drop("place")
+    order = ["place.version_idx", "place.chapter_number", "place.row_idx", "original_text_version", "modified_text_version", "original_text", "modified_text"]
+    dealt = records.join(first, SENTENCE).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges = materialize(dealt.select(*records.columns, F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    sizes = ranges.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a range
+    return ranges.join(before, "range").select(*records.columns, (F.col("before") + F.col("at")).alias("pair_index"))
 
 
 def index_slice(records: DataFrame, start: int = 0, end: int | None = None, column: str = "pair_index") -> DataFrame:
