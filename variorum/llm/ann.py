@@ -170,7 +170,7 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, tables: int = T
     found = materialize(_best(met, k))
 
     ids = classes.select(F.col("vec").alias("v"), F.size("ids").alias("n")).groupBy(F.length("v").alias("size")).agg(F.sum("n").alias("most"))
-    short = members.select("q", F.length("vec").alias("size"), "vec").dropDuplicates(["q"]).join(found.groupBy("q").count(), "q", "left").join(F.broadcast(ids), "size")
+    short = members.select("q", F.length("vec").alias("size"), "vec").dropDuplicates(["q"]).join(found.groupBy("q").count(), "q", "left").join(ids, "size")
     short = materialize(short.where(F.coalesce("count", F.lit(0)) < F.least("most", F.lit(k + 1))).select("q", "vec"))
     n = -(-short.count() // BLOCK)
     for b in range(n):

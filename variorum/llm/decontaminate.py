@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from variorum.llm._grams import ALNUM_LOWER, Words, chunks, column_bytes, grams, words
+from variorum.llm._shared import materialize
 
 #: Bytes of benchmark text that one block, hence one broadcast, may hold.
 BLOCK_BYTES = 8 << 20
@@ -141,13 +142,12 @@ def _mark(index: Broadcast, state: bool):
     return run
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """Distinct items (label, text), cut by a hash into blocks of about block_bytes."""
     items = benchmark.select(F.col("item_id").cast("string").alias("label"), "text").where(F.col("text").isNotNull()).distinct()
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-total // block_bytes) or 1
-    block = F.pmod(F.xxhash64("label", "text"), F.lit(n))
-    for b in range(n):
-        yield [(r.label, r.text) for r in items.where(block == b).sort("label", "text").collect()]
+    return [items.where(F.pmod(F.xxhash64("label", "text"), F.lit(n)) == b).sort("label", "text") for b in range(n)]
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -159,9 +159,14 @@ def mark(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, bloc
         raise ValueError("k must lie between 1 and span")
     out = docs.select("doc_id", "text")
     schema = StructType([*out.schema.fields, *_STATE.fields])
-    for b, items in enumerate(_blocks(benchmark, block_bytes)):
+    blocks = _blocks(benchmark, block_bytes)
+    for b, block in enumerate(blocks):
+        items = [(r.label, r.text) for r in block.collect()]  # about block_bytes
         index = docs.sparkSession.sparkContext.broadcast(Index(items, span, k))
         out = out.mapInArrow(_mark(index, b > 0), schema)
+        if b + 1 < len(blocks):  # one block at a time is on the executors
+            out = materialize(out)
+            index.destroy()
     return out
 
 

@@ -144,7 +144,15 @@ def remainder(doc_id: str, modulus: int):
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = 5) -> Model:
     """A model of labels.toxic, without the rows whose crc32 of the id leaves 0."""
     rows = labels.where((remainder("doc_id", folds) != 0) & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("labelled"), "toxic")
-    one = lambda y: rows.where(F.col("toxic") == y).orderBy(F.xxhash64("labelled"), "labelled").limit(per_class)
+    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    place = F.xxhash64("labelled")
+
+    def one(y: int) -> DataFrame:
+        # about twice as many as are taken come to the sort; fewer than are taken, for no size that could happen
+        share = min(1.0, (2 * per_class + 200) / max(1, sizes.get(y, 0)))
+        own = rows.where((F.col("toxic") == y) & (F.pmod(place, F.lit(1 << 40)) < int(share * (1 << 40))))
+        return own.orderBy(F.pmod(place, F.lit(1 << 40)), "labelled").limit(per_class)
+
     sample = F.broadcast(one(0).union(one(1)))  # 2 * per_class ids at most
     docs = docs.select("doc_id", "text")
     texts = docs.join(sample, docs["doc_id"] == sample["labelled"]).select(F.col("toxic").cast("int"), "text")
