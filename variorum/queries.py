@@ -6,7 +6,9 @@ name: text), conversations are a wide sheet (a column a role), region, nation an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,10 @@ from variorum.functions import text
 from variorum.operators import collate, cost, graph, realign, reshape
 from variorum.operators.edit_script import edit_replay
 from variorum.operators.graph import Graph
+from variorum.sinks import files as sinks
+from variorum.sources import files as sources
+from variorum.sources.xlsx import read_xlsx
+from variorum.storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -430,3 +436,69 @@ def generator_graph(spark, sf_dir):
 def generator_tree(spark, sf_dir):
     g = graph.generated_tree(spark)
     return graph.levels(g, "node_0").select("id", "level")
+
+
+# Requests to external models, without their prompts
+
+
+@query(f"with recursive {SCRIPTS} select distinct chapter_number, sentence_number, a original_text, b modified_text, original_char, target_char from ops where type = 'replace'")
+def cost_requests(spark, sf_dir):
+    return cost.requests(collate.collate(witness(spark, sf_dir))).drop("prompt")
+
+
+@query(f"with {PAIRS} select {KEY_SQL}, count(*) n from prs where a <> b group by all")
+def realign_requests(spark, sf_dir):
+    return realign.requests(collate.collate(witness(spark, sf_dir))).groupBy(*KEYS).agg(F.count("prompt").alias("n"))
+
+
+# Files written and read back
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for the writers of single files, which know local paths."""
+    path = Path(re.sub("^file:/*", "/", shared_path(spark, "files")))
+    path.mkdir(parents=True)
+    return str(path / name)
+
+
+@query("select cast(s_suppkey as varchar) s_suppkey, s_name, cast(s_nationkey as varchar) s_nationkey from supplier")
+def csv_round_trip(spark, sf_dir):
+    path = _scratch(spark, "supplier.csv")
+    sinks.write_csv(_read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), path)
+    return spark.read.option("header", True).csv(path)
+
+
+@query("select cast(s_suppkey as varchar) s_suppkey, s_name, cast(s_nationkey as varchar) s_nationkey from supplier")
+def xlsx_round_trip(spark, sf_dir):
+    path = _scratch(spark, "supplier.xlsx")
+    sinks.write_xlsx(_read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), path)
+    return read_xlsx(spark, path)
+
+
+@query(f"with recursive {SCRIPTS}, n as (select id, count(*) n from ops group by 1) select {KEY_SQL}, a original_text, b modified_text, cast(levenshtein(a, b) as int) edit_distance, cast(coalesce(n, 0) as int) n_operations from prs left join n using (id)")
+def json_records_round_trip(spark, sf_dir):
+    path = _scratch(spark, "pairs.json")
+    sinks.write_json_array(collate.collate(witness(spark, sf_dir)).drop("script_error"), path)
+    return sources.read_records(spark, path).select(*KEYS, *TEXTS, "edit_distance", F.size("operations").alias("n_operations"))
+
+
+@query(f"with {WIT} select version, chapter_number, sentence_number, text from wit")
+def tree_json_round_trip(spark, sf_dir):
+    path = _scratch(spark, "tree.json")
+    sinks.write_tree(reshape.nest(witness(spark, sf_dir)), path)
+    return reshape.flatten(sources.read_tree(spark, path)).select("version", "chapter_number", "sentence_number", "text")
+
+
+@query(f"with {G} select id, type, name, version, (select count(*) from edges where source = id) out_degree from nodes")
+def node_link_round_trip(spark, sf_dir):
+    path = _scratch(spark, "graph.json")
+    sinks.write_node_link(_graph(spark, sf_dir), path)
+    g = sources.read_graph(spark, path)
+    return g.nodes.select("id", "type", "name", "version").join(graph.degrees(g).select("id", "out_degree"), "id")
+
+
+@query(f"with {PAIRS}, {CHECKED} select {STATUS} error, {KEY_SQL} from chk where a <> b and kind > 0")
+def failure_log_round_trip(spark, sf_dir):
+    path = shared_path(spark, "failures")
+    sinks.write_failures(realign.rejected(_realigned(spark, sf_dir)), path)
+    return sources.read_failures(spark, path).select("error", *[f"item.{k}" for k in KEYS])
