@@ -123,7 +123,8 @@ def _repeats(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
     keyed = docs.select(F.struct(*columns).alias("row"), "text", F.xxhash64("doc_id").alias("key1"), F.xxhash64("text", "doc_id").alias("key2"))
     n = ex.buckets_for(docs)
     hits = materialize(ex.repeated(keyed.drop("row").mapInArrow(ex.pack(_probes(block), n, False), ex.PACKED), False, True).dropDuplicates(_KEYS))
-    near = keyed.join(hits, _KEYS)  # with row, so that _applied can use the same shuffle of the texts
+    # with row, so that _applied can use the same shuffle of the texts; sorted, so that a repeated task makes the same chunks
+    near = keyed.join(hits, _KEYS).sortWithinPartitions(*_KEYS)
     return keyed, ex.repeated(near.mapInArrow(ex.pack(_windows(span, block), n, True), ex.PACKED), True, False).dropDuplicates(_KEYS)
 
 
