@@ -274,6 +274,7 @@ def style(kind: Column, view: str = "structure") -> Column:
 
 def generated_corpus(spark: SparkSession, versions: int = 12, chapters: int = 75) -> Graph:
     """A root, versions and chapters; links name chapters 0 to chapters, nodes 2 to chapters + 1, so two of each version dangle."""
+    # Codes and columns of the versions, and the wording of names.
     codes = ["hj", "gd", "gd1", "gd2", "gd3", "ba", "bb", "wb", "hs", "yz", "xr", "fy"]
     lines = ["C", "D", "E", "F", "G", "h", "I", "J", "K", "L", "M", "N"]
     at = lambda values: F.get(F.array(*[F.lit(x) for x in values]), (F.col("v") - 1).cast("int"))
@@ -291,6 +292,7 @@ def generated_corpus(spark: SparkSession, versions: int = 12, chapters: int = 75
 
 def generated_tree(spark: SparkSession, branching: tuple[int, ...] = (3, 3, 2, 2)) -> Graph:
     """A tree with the given number of children on each level; ids are numbered in pre-order, colours go by level."""
+    # Ten colours of a public palette, and the wording of names.
     colours = ["#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b", "#e377c2", "#7f7f7f", "#bcbd22", "#17becf"]
     below = [1] * (len(branching) + 1)  # nodes of a subtree with its root on each level
     for i in reversed(range(len(branching))):

@@ -51,6 +51,9 @@ def quarantine(sheet: DataFrame) -> DataFrame:
     return numbered(sheet).where("seg is null or ln is null").where(F.coalesce(*[t.cast("string") for t in texts]).isNotNull())
 
 
+# The wording of names and descriptions in trees and graphs.
+
+
 def chapter_description(n: Column) -> Column:
     return F.concat(F.lit("章节：第"), n + 1, F.lit("章（编号："), n, F.lit("）"))
 
