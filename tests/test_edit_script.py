@@ -107,6 +107,13 @@ def test_pairs(witness, distinct):
     assert got == wanted
 
 
+def test_hot_sentences_give_the_same_pairs(witness, spark):
+    rows = [(v, f"v{v:03}", 10, 7, v, f"t{v % 5}") for v in range(40)]
+    own = witness.union(spark.createDataFrame(rows, witness.schema))
+    found = collate.pairs(own, hot=6)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, collate.pairs(own).collect()))
+
+
 def test_pair_index_and_slices(witness):
     own = collate.pair_index(collate.pairs(witness), witness)
     found = [r.pair_index for r in own.orderBy("original_text_version", "modified_text_version", "modified_text").collect()]

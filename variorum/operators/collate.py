@@ -9,18 +9,35 @@ from variorum.operators.edit_script import MOST_CELLS, edit_script
 from variorum.storage import materialize
 
 SENTENCE = ["chapter_number", "sentence_number"]
+#: Versions of a sentence from which its pairs are dealt to several places.
+HOT = 4096
 
 
-def pairs(witness: DataFrame) -> DataFrame:
+def pairs(witness: DataFrame, hot: int = HOT) -> DataFrame:
     """Every two versions of a sentence, the smaller name first; versions without a name are left out.
 
     One shuffle by the sentence's numbers; both sides of the join share it.  Its partitions are set, since pairs are
-    many times the sentences by whose bytes adaptive execution would merge partitions.
+    many times the sentences by whose bytes adaptive execution would merge partitions.  Sentences with more than hot
+    versions are cut into blocks, and each two blocks meet in a place of their own.
     """
-    named = witness.where("version is not null and version <> ''").withColumn("text", F.coalesce("text", F.lit("")))
-    named = named.repartition(int(witness.sparkSession.conf.get("spark.sql.shuffle.partitions")), *SENTENCE)
-    side = lambda who: named.select(*SENTENCE, F.col("version").alias(f"{who}_text_version"), F.col("text").alias(f"{who}_text"))
-    return side("original").join(side("modified"), SENTENCE).where("original_text_version < modified_text_version")
+    named = witness.where("version is not null and version <> '' and chapter_number is not null and sentence_number is not null")
+    named = named.select(*SENTENCE, "version", F.coalesce("text", F.lit("")).alias("text"))
+    counts = named.groupBy(*SENTENCE).agg(F.ceil(F.count("*") / hot).cast("int").alias("blocks")).where("blocks > 1")
+    spread = lambda df, *keys: df.repartition(int(witness.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    if counts.isEmpty():
+        return _met(*[spread(named, *SENTENCE)] * 2, SENTENCE)
+    cold = spread(named.join(counts, SENTENCE, "left_anti"), *SENTENCE)
+    own = named.join(counts, SENTENCE).withColumn("own", F.pmod(F.xxhash64("version", "text"), F.col("blocks").cast("long")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place = [*SENTENCE, "i", "j"]
+    one = lambda i, j: spread(own.select(*SENTENCE, F.col(i).alias("i"), F.col(j).alias("j"), "version", "text"), *place)
+    return _met(cold, cold, SENTENCE).union(_met(one("own", "other"), one("other", "own"), place))
+
+
+def _met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    side = lambda df, who: df.select(*keys, F.col("version").alias(f"{who}_text_version"), F.col("text").alias(f"{who}_text"))
+    both = side(a, "original").join(side(b, "modified"), keys).where("original_text_version < modified_text_version")
+    return both.select(*SENTENCE, "original_text_version", "original_text", "modified_text_version", "modified_text")
 
 
 def pair_distances(witness: DataFrame) -> DataFrame:
