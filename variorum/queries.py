@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variorum.functions import text
@@ -139,24 +139,23 @@ def pair_cost_with_responses(spark, sf_dir):
 
 def _realigned(spark, sf_dir) -> DataFrame:
     """Canned responses by the sentence's numbers: right, none, malformed, a wrong count, another target."""
-    one = Window.partitionBy(*KEYS).orderBy("original_text", "modified_text")
-    pairs = collate.collate(witness(spark, sf_dir)).withColumn("r", F.row_number().over(one)).where("r = 1").drop("r")
+    pairs = collate.collate(witness(spark, sf_dir))
     kind = (F.col("chapter_number") + F.col("sentence_number")) % 5
     right = F.to_json(F.struct("edit_distance", "operations"))
     content = F.when(kind == 0, right).when(kind == 2, F.lit("{edit_distance")).when(kind == 3, F.to_json(F.struct((F.col("edit_distance") + 1).alias("edit_distance"), "operations")))
     wrong = F.to_json(F.struct(F.lit(0).alias("edit_distance"), F.array().cast("array<string>").alias("operations")))
-    responses = pairs.select(*KEYS, content.when(kind == 4, wrong).alias("content")).where("content is not null")
-    return realign.realign(pairs, responses)
+    responses = pairs.select(*KEYS, *TEXTS, content.when(kind == 4, wrong).alias("content")).where("content is not null")
+    return realign.realign(pairs, responses, keys=[*KEYS, *TEXTS])
 
 
-CHECKED = f"one as (select distinct on ({KEY_SQL}) * from prs order by {KEY_SQL}, a, b), chk as (select *, (chapter_number + sentence_number) % 5 kind from one)"
+CHECKED = "chk as (select *, (chapter_number + sentence_number) % 5 kind from prs)"
 STATUS = "case when a = b then 'passed through' when kind = 0 then 'accepted' when kind = 1 then 'no response' when kind = 2 then 'edit_distance is not an integer' when kind = 3 then 'edit_distance ' || (levenshtein(a, b) + 1) || ' but ' || levenshtein(a, b) || ' operations' else 'replay gives ' || a || ' instead of ' || b end"
 
 
-@query(f"with {PAIRS}, {CHECKED} select {KEY_SQL}, {STATUS} status from chk")
+@query(f"with {PAIRS}, {CHECKED} select {KEY_SQL}, a original_text, b modified_text, {STATUS} status from chk")
 def realign_validation(spark, sf_dir):
     status = F.coalesce("error", F.when(F.col("edit_distance") == 0, "passed through").otherwise("accepted"))
-    return _realigned(spark, sf_dir).select(*KEYS, status.alias("status"))
+    return _realigned(spark, sf_dir).select(*KEYS, *TEXTS, status.alias("status"))
 
 
 @query(f"with {PAIRS}, {CHECKED} select count(*) filter (a = b or kind = 0) n_ok, count(*) filter (a <> b and kind > 0) n_failed from chk")
