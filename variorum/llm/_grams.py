@@ -118,11 +118,16 @@ def words(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet) -> Words:
         opens[head] = member[head]
         closes[tail] = member[tail]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    up, down = powers(_BASE, n + 1)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(alphabet.value[text] * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return Words(starts, ends, hashes, np.searchsorted(starts, at))
+    hashes, i = np.empty(len(starts), U64), 0
+    while i < len(starts):  # one round, but for a row of more than CHUNK_BYTES
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, side="right")))
+        a, b = starts[i], ends[j - 1]
+        up, down = powers(_BASE, b - a + 1)
+        sums = np.zeros(b - a + 1, U64)
+        np.cumsum(alphabet.value[text[a:b]] * up[: b - a], out=sums[1:])
+        hashes[i:j] = (sums[ends[i:j] - a] - sums[starts[i:j] - a]) * down[starts[i:j] - a]
+        i = j
+    return Words(starts, ends, mix(hashes), np.searchsorted(starts, at))
 
 
 def grams(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
