@@ -184,21 +184,23 @@ def subgraph(g: Graph, start: str, depth: int, types: tuple[str, ...] | None = N
 def is_acyclic(g: Graph) -> bool:
     """Whether taking away nodes without incoming edges, again and again, leaves none."""
     edges = materialize(g.edges.distinct())
-    while True:
-        n = edges.count()
-        if n == 0:
-            return True
+    n = edges.count()
+    while n:
         inner = edges.select(F.col("target").alias("source")).distinct()
         edges = materialize(edges.join(inner, "source", "left_semi").select("source", "target"))
-        if edges.count() == n:
+        left = edges.count()
+        if left == n:
             return False
+        n = left
+    return True
 
 
 def weak_components(g: Graph) -> DataFrame:
     """(id, component): the smallest id that edges, either way, connect a node with."""
     ends = g.edges.where("source <> target")
     both = materialize(ends.select("source", "target").union(ends.select("target", "source")).distinct())
-    labels = materialize(g.nodes.select("id", F.col("id").alias("component")))
+    first = both.groupBy(F.col("source").alias("id")).agg(F.min("target").alias("low"))
+    labels = materialize(g.nodes.select("id").join(first, "id", "left").select("id", F.least("id", "low").alias("component")))
     while True:
         near = both.join(labels, F.col("target") == F.col("id")).groupBy("source").agg(F.min("component").alias("low"))
         lower = labels.join(near, F.col("id") == F.col("source"), "left").select("id", F.col("component").alias("old"), F.least("component", "low").alias("c"))
