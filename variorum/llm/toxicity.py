@@ -18,6 +18,7 @@ toxic ones among those there are, or 0; a null doc_id is not held out.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -88,18 +89,18 @@ class Model:
         if not toxic.any() or toxic.all():
             share = float(np.clip(toxic.mean() if len(toxic) else 0.0, 1e-6, 1 - 1e-6))
             return Model(*empty, float(np.log(share / (1 - share))))
-        flat = np.concatenate(rows).astype(np.int64)
-        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        p = np.bincount(flat[toxic[owner]], minlength=1 << BITS)
-        q = np.bincount(flat[~toxic[owner]], minlength=1 << BITS)
+        counts = np.zeros((2, 1 << BITS), np.int32)
+        for r, y in zip(rows, toxic.tolist(), strict=True):
+            counts[int(y), r] += 1  # a row names a bucket once
+        q, p = counts
         ratio = np.log((p + 1) / (toxic.sum() + 2)) - np.log((q + 1) / ((~toxic).sum() + 2))
         used = np.flatnonzero((p + q >= _KEEP_COUNT) & (np.abs(ratio) >= _KEEP_RATIO))
         if not len(used):
             return Model(*empty, 0.0)
-        column = np.full(1 << BITS, -1)
+        column = np.full(1 << BITS, -1, np.int32)
         column[used] = np.arange(len(used))
-        take = column[flat] >= 0
-        owner, col = owner[take], column[flat[take]]
+        kept = [c[c >= 0] for c in (column[r] for r in rows)]
+        owner, col = np.repeat(np.arange(len(rows)), [len(c) for c in kept]), np.concatenate(kept)
         x = ratio[used][col]
         scale = np.sqrt(np.maximum(1, np.bincount(owner, x * x, len(rows)))).mean()
         x = x / scale
@@ -157,8 +158,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds:
     docs = docs.select("doc_id", "text")
     texts = docs.join(sample, docs["doc_id"] == sample["labelled"]).select(F.col("toxic").cast("int"), "text")
     found = texts.mapInArrow(_features, "toxic int, features binary").toArrow()
-    order = sorted(zip(found["toxic"].to_pylist(), found["features"].to_pylist(), strict=True))
-    return Model.fit([np.frombuffer(f, np.uint32) for _, f in order], np.array([y == 1 for y, _ in order], bool))
+    sets = [np.frombuffer(x.as_buffer(), np.uint32) for chunk in found["features"].chunks for x in chunk]
+    truth = found["toxic"].to_numpy() == 1
+    order = sorted(range(len(sets)), key=lambda i: (truth[i], hashlib.blake2b(sets[i]).digest()))  # as rows come in any order
+    return Model.fit([sets[i] for i in order], truth[order].astype(bool))
 
 
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
