@@ -88,6 +88,12 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about limit bytes of text in a column."""
+    for lo, hi in chunks(column_bytes(batch[column])[1], limit):
+        yield batch.slice(lo, hi - lo)
+
+
 @dataclass
 class Words:
     """Words of some rows: byte spans, hashes, and first[d]..first[d + 1] for row d."""
