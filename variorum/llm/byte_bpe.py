@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 #: Bytes of text whose distinct words are encoded together, about.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
 #: Bytes that a vocabulary file may have: it is sent to every executor.
 VOCABULARY_BYTES = 32 << 20
 _SLOTS, _FACTOR = 65537, 7919
