@@ -14,8 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Labels take the smallest label of their neighbours, then jump to their label's label, until none changes; each
     round is a written table, so lost executors cost at most one round.
     """
-    ends = edges.where("a <> b")
-    both = materialize(ends.select("a", "b").union(ends.select(F.col("b"), F.col("a"))).distinct())
+    ends = materialize(edges.where("a <> b").select("a", "b"))  # both directions must come from one evaluation
+    both = materialize(ends.union(ends.select(F.col("b"), F.col("a"))).distinct())
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))

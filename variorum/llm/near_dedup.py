@@ -208,6 +208,7 @@ def linked(sets: list[np.ndarray], side: np.ndarray, threshold: Fraction, k: int
 
 def _compare(threshold: Fraction, k: int):
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("rep", "ascending")])  # rows come in any order; the forest must not depend on it
         rep, own = table["rep"].to_numpy(), table["own"].to_numpy()
         sets = [ex.unplanes(x, np.uint64) for x in table["shingles"].to_pylist()]
         pairs = linked(sets, own != own.min(), threshold, k) if len(sets) > 1 else []
