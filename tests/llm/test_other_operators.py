@@ -15,6 +15,7 @@ import zstandard
 
 from tests.llm.conftest import sentences
 from variorum.llm import _gru, ann, license_scan, lm_scoring, toxicity, url_filter, warc
+from variorum.llm._grams import SPACED_LOWER, column_bytes, words
 
 
 def rows(df):
@@ -196,6 +197,18 @@ def test_language_model_of_nothing(no_docs, docs):
     assert held and all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in held)
 
 
+def test_network_learns_from_every_document(spark):
+    rows = [(i if i else None, f"own{i} own{i} shared") for i in range(40)]
+    train = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    data, offsets = column_bytes(pa.array([f"own{i}" for i in range(40)]))
+    own = words(data, offsets, SPACED_LOWER).hashes
+    v = lm_scoring.Vocabulary.of(own, np.full(40, 2), 40, 160, 42)
+    start = _gru.start(v.symbol_counts)
+    trained = _gru.unpack(lm_scoring.fit(train, spark.sparkContext.broadcast(v), start), start)
+    moved = (trained["x"] != start["x"]).any(1)
+    assert moved[v.find(own)[0]].all()
+
+
 def test_network_is_a_distribution_and_learns_order():
     counts = np.sort(np.random.default_rng(0).integers(1, 99, 128))[::-1]
     p = _gru.start(counts)

@@ -8,6 +8,9 @@ score is the log-likelihood of the whole sequence.
 
 from __future__ import annotations
 
+import ctypes
+from pathlib import Path
+
 import numpy as np
 
 HIDDEN, WINDOW, CLASSES = 24, 32, 64
@@ -15,6 +18,12 @@ F32 = np.float32
 Params = dict[str, np.ndarray]
 
 
+def one_thread() -> None:
+    """Products in one thread, where numpy brings its own OpenBLAS: the matrices are small, and idle threads spin."""
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("libscipy_openblas64_*"):
+        ctypes.CDLL(str(path)).scipy_openblas_set_num_threads64_(1)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return F32(0.5) * (np.tanh(F32(0.5) * x) + F32(1))
 
@@ -120,7 +129,7 @@ def train(p: Params, sequences: list[np.ndarray], end: int, rate: float = 0.08)
     """Parameters after one pass over the sequences, by Adagrad."""
     p = {k: v.copy() for k, v in p.items()}
     squares = {k: np.full_like(v, 1e-6) for k, v in p.items()}
-    for _, inputs, targets, lengths in batches(sequences, end, 64):
+    for _, inputs, targets, lengths in batches(sequences, end, 256):
         h = np.zeros((len(inputs), HIDDEN), F32)
         for t0 in range(0, inputs.shape[1], WINDOW):
             live = int(np.searchsorted(-lengths, -t0, side="left"))
@@ -184,13 +193,21 @@ def _window(p: Params, inputs: np.ndarray, targets: np.ndarray, inside: np.ndarr
         dhu = np.concatenate([dz, dr, dn * r], 1)
         du += before.T @ dhu
         dh = dh * z + dhu @ p["u"].T
-    used, where = np.unique(inputs, return_inverse=True)
-    dx = np.zeros((len(used), 3 * hs), F32)
-    np.add.at(dx, where.ravel(), dg.reshape(-1, 3 * hs))
+    flat = inputs.ravel()
+    order = np.argsort(flat, kind="stable")
+    used, first = np.unique(flat[order], return_index=True)
+    dx = np.add.reduceat(dg.reshape(-1, 3 * hs)[order], first, 0)
     grads |= {"u": du, "b": dg.sum((0, 1)), "x": (used, dx)}
     return h, grads
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    return x / x.sum(1, keepdims=True)
+    """Of each row; shifted as in _logsumexp."""
+    out = np.exp(x - x.max())
+    total = out @ np.ones(x.shape[1], x.dtype)
+    low = np.flatnonzero(total < 1e-20)
+    if len(low):
+        out[low] = np.exp(x[low] - x[low].max(1, keepdims=True))
+        total[low] = out[low].sum(1)
+    out /= total[:, None]
+    return out

@@ -3,9 +3,9 @@
 1. Words of all training documents are counted, in buckets of their hash.
 2. The most frequent words are the model's symbols, beside one for the end and
    one for all other words; symbols are split over classes by falling counts.
-3. A fixed share of the training documents, taken by a hash of doc_id, trains
-   the network: learners in parallel, each on its part of the share, whose
-   parameters are averaged after every round.  The share grows with the corpus.
+3. All training documents train the network, each once: learners in parallel,
+   each on its part of the round's documents, dealt to rounds and learners by a
+   hash of doc_id and text, whose parameters are averaged after every round.
 4. Every document is scored whole, with the state carried across windows.
 
 A word that is no symbol has the probability of the other-words symbol times
@@ -38,11 +38,10 @@ from variorum.llm.toxicity import remainder
 
 #: Words whose counts are broadcast, and symbols of the network: fixed bounds.
 COMMON, SYMBOLS = 1 << 17, 4096
-#: One in so many training documents trains the network.
-SHARE = 16
-ROUNDS = 3
-#: Training tokens of a learner, about.
-LEARNER_TOKENS = 1 << 19
+#: Rounds of the one pass over the training documents.
+ROUNDS = 8
+#: Training tokens of a learner in all rounds, about.
+LEARNER_TOKENS = 1 << 21
 #: Bytes of text that a task works on at once, about.
 PIECE_BYTES = 8 << 20
 _PARTIAL = "bucket long, hashes binary, counts binary"
@@ -225,8 +224,9 @@ def _sequences(batch: pa.RecordBatch, v: Vocabulary) -> Iterator[tuple[np.ndarra
 def _learn(vocabulary, params, seed: int):
     def run(table: pa.Table) -> pa.Table:
         v: Vocabulary = vocabulary.value
+        gru.one_thread()
         p = gru.unpack(params.value, gru.start(v.symbol_counts))
-        found = [np.frombuffer(x, np.int32) for x in sorted(table["symbols"].to_pylist())]
+        found = [np.frombuffer(x, np.uint16) for x in sorted(table["symbols"].to_pylist())]
         order = np.random.default_rng(seed).permutation(len(found))
         for i in range(0, len(found), 1024):
             p = gru.train(p, [found[j] for j in order[i : i + 1024]], v.end)
@@ -246,22 +246,24 @@ def _average(table: pa.Table) -> pa.Table:
 def _symbols_only(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s, _ in _sequences(batch, vocabulary.value)], pa.binary())], names=["symbols"])
+            for part in slices(batch, "text", PIECE_BYTES):
+                yield pa.RecordBatch.from_arrays([part["deal"], pa.array([s.astype(np.uint16).tobytes() for s, _ in _sequences(part, vocabulary.value)], pa.binary())], names=["deal", "symbols"])
 
     return run
 
 
 def fit(train: DataFrame, vocabulary, params: gru.Params) -> bytes:
-    """Parameters after ROUNDS rounds of parallel learners on a share of the training documents."""
+    """Parameters after ROUNDS rounds of parallel learners, which share all training documents; each is in one round."""
     spark = train.sparkSession
-    chosen = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0).select("text")
-    symbols = materialize(chosen.mapInArrow(_symbols_only(vocabulary), "symbols binary"))
-    tokens = symbols.agg(F.sum(F.length("symbols") / 4)).first()[0] or 0
+    keyed = train.select(F.xxhash64("doc_id", "text").alias("deal"), "text")
+    symbols = materialize(keyed.mapInArrow(_symbols_only(vocabulary), "deal long, symbols binary"))
+    tokens = symbols.agg(F.sum(F.length("symbols") / 2)).first()[0] or 0
     learners = int(tokens // LEARNER_TOKENS) + 1
-    dealt = symbols.withColumn("learner", F.pmod(F.xxhash64("symbols"), F.lit(learners)))
+    slot = F.pmod("deal", F.lit(learners * ROUNDS))
+    dealt = symbols.select("symbols", (slot % ROUNDS).alias("round"), F.floor(slot / ROUNDS).alias("learner"))
     packed = gru.pack(params)
     for r in range(ROUNDS):
-        rows = dealt.groupBy("learner").applyInArrow(_learn(vocabulary, spark.sparkContext.broadcast(packed), r), "learner long, tokens long, params binary")
+        rows = dealt.where(F.col("round") == r).drop("round").groupBy("learner").applyInArrow(_learn(vocabulary, spark.sparkContext.broadcast(packed), r), "learner long, tokens long, params binary")
         rows, n = materialize(rows), learners
         while n > 1:  # averages of 16 at a time, so no task holds more
             rows = rows.groupBy((F.col("learner") / 16).cast("long").alias("learner_group")).applyInArrow(_average, "learner long, tokens long, params binary")
@@ -274,6 +276,7 @@ def fit(train: DataFrame, vocabulary, params: gru.Params) -> bytes:
 def _score(vocabulary, params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = vocabulary.value
+        gru.one_thread()
         p = gru.unpack(params.value, gru.start(v.symbol_counts))
         for batch in (part for b in batches for part in slices(b, "text", 4 * PIECE_BYTES)):
             pairs = list(_sequences(batch, v))
