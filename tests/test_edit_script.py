@@ -1,10 +1,13 @@
+import random
+
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from variorum.operators import collate
+from variorum.operators import collate, realign
+from variorum.operators import edit_script as module
 from variorum.operators.edit_script import edit_replay, edit_script, replay, replay_array, script_array, scripts
 
 SHIPPED = [
@@ -83,6 +86,32 @@ def test_long_texts():
     assert len(ops) == distance(a, b) and replay(a, ops) == (b, None)
 
 
+def test_blocks_of_rows_give_the_same_scripts(monkeypatch):
+    r = random.Random(5)
+    pairs = [("".join(r.choices("abcd", k=r.randrange(150))), "".join(r.choices("abcd", k=r.randrange(150)))) for _ in range(40)] + [("", "ab" * 40), ("ab" * 40, "")]
+    whole = scripts(*zip(*pairs, strict=True))
+    monkeypatch.setattr(module, "MOST_CELLS", 10)
+    for cells, blocks in ((1, 2), (60, 3), (4000, 64)):
+        monkeypatch.setattr(module, "TOGETHER", cells)
+        monkeypatch.setattr(module, "BLOCKS", blocks)
+        assert scripts(*zip(*pairs, strict=True)) == whole
+
+
+def test_pairs_of_more_cells_than_one_table_have_scripts():
+    a = "abcdefghij" * 830
+    b = a[:4000] + "x" + a[4001:6000] + a[6001:] + "y"
+    found = script_array([a, a], [b, a])
+    assert found.field("error").to_pylist() == [None, None] and [len(x) for x in found.field("operations").to_pylist()] == [3, 0]
+    assert replay_array(pa.array([a, a]), found.field("operations")).field("text").to_pylist() == [b, a]
+
+
+def test_a_pair_without_a_script_is_not_accepted(spark):
+    rows = [(1, f"v{v}", 1, 1, 0, text * 50) for v, text in enumerate("ab")]
+    own = collate.collate(spark.createDataFrame(rows, "version_idx int, version string, chapter_number int, sentence_number int, row_idx long, text string"), most_cells=100)
+    responses = own.select(*realign.KEYS, F.lit(None).cast("string").alias("content"))
+    assert tuple(realign.outcome(realign.realign(own, responses)).first()) == (0, 1)
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(s, t) for s, t, _ in SHIPPED], "s string, t string")
     script = edit_script(F.col("s"), F.col("t"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from variorum.operators.edit_script import MOST_CELLS, edit_script
+from variorum.operators.edit_script import edit_script
 from variorum.storage import materialize
 
 SENTENCE = ["chapter_number", "sentence_number"]
@@ -51,7 +51,7 @@ def distance_summary(witness: DataFrame) -> DataFrame:
     return pair_distances(witness).groupBy("chapter_number").agg(F.count("*").alias("n_pairs"), F.sum((d == 0).cast("long")).alias("n_equal"), F.sum(d.cast("long")).alias("sum_distance"), F.max(d).alias("max_distance"))
 
 
-def collate(witness: DataFrame, distinct_texts: bool = False, most_cells: int = MOST_CELLS) -> DataFrame:
+def collate(witness: DataFrame, distinct_texts: bool = False, most_cells: int | None = None) -> DataFrame:
     """Pair records: pairs() with edit_distance, operations and script_error.
 
     Equal texts have no operations and never reach Python.  With distinct_texts, each pair of texts is aligned once and
