@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import re
 from fractions import Fraction
 
@@ -195,3 +196,14 @@ def test_empty_tables(spark, docs, no_docs, items):
     assert decontaminate.without_contaminated(docs, benchmark.limit(0)).count() == docs.count()
     assert byte_bpe.digest(no_docs, PATH, public_tokenizers.PATTERN).count() == 0
     assert byte_bpe.decode(byte_bpe.encode(no_docs, PATH, public_tokenizers.PATTERN), PATH).where(F.col("decoded").isNull()).count() == 0
+
+
+def test_estimates_keep_links_far_in_the_tail():
+    threshold, k = Fraction(85, 100), 80
+    low, high = np.arange(1, 86, dtype=np.uint64), np.arange(1000, 1400, dtype=np.uint64)
+    a, b = (np.sort(np.concatenate([low[:53], own, high])) for own in (low[53:69], low[69:]))
+    assert len(np.intersect1d(a, b)) >= threshold * len(np.union1d(a, b))
+    assert near_dedup.linked([a, b], np.zeros(2), threshold, k) == [(0, 1)]
+    for t in (threshold, Fraction(8, 10)):
+        for u, least in enumerate(near_dedup.least_shared(t, 2 * k).tolist()):
+            assert sum(math.comb(u, s) * t**s * (1 - t) ** (u - s) for s in range(least)) <= 1e-9

@@ -22,6 +22,7 @@ or null, and is kept where it is null.  Columns beside the named ones are ignore
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -39,8 +40,8 @@ from variorum.llm._shared import materialize
 
 #: Classes and shingles that a block of a cluster holds, about.
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 20
-#: Standard errors that an estimate may fall below the threshold.
-_SLACK = 4.5
+#: Odds that the estimate rules out a pair just at the threshold.
+_ODDS = 1e-9
 
 
 def run_lengths(threshold: Fraction) -> tuple[int, int, int]:
@@ -173,14 +174,27 @@ def estimates(sets: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
     return shared, below + below.T - shared
 
 
+@functools.cache
+def least_shared(threshold: Fraction, most: int) -> np.ndarray:
+    """For unions of 0 to most values: the least shared ones that a pair at the threshold falls below with odds of _ODDS at most.
+
+    A value of the union's sketch is shared with the odds of the similarity, so the tail is binomial.
+    """
+    t, out = float(threshold), np.zeros(most + 1, np.int64)
+    for u in range(most + 1):
+        below = 0.0
+        while out[u] < u and (below := below + math.comb(u, int(out[u])) * t ** int(out[u]) * (1 - t) ** (u - int(out[u]))) <= _ODDS:
+            out[u] += 1
+    return out
+
+
 def linked(sets: list[np.ndarray], side: np.ndarray, threshold: Fraction, k: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that reach the threshold; pairs of one side only count if there is one side."""
     p, q = threshold.numerator, threshold.denominator
     n = np.array([len(s) for s in sets])
     shared, union = estimates(sets, k)
-    slack = _SLACK * math.sqrt(float(threshold * (1 - threshold)) / k)
     whole = (n <= k)[:, None] & (n <= k)[None, :]
-    likely = np.where(whole, shared * q >= p * union, shared >= (float(threshold) - slack) * union)
+    likely = np.where(whole, shared * q >= p * union, shared >= least_shared(threshold, 2 * k)[union])
     likely &= np.minimum.outer(n, n) * q >= p * np.maximum.outer(n, n)
     likely &= np.triu(np.ones_like(likely), 1)
     if side.any() and not side.all():
