@@ -197,6 +197,17 @@ def test_language_model_of_nothing(no_docs, docs):
     assert held and all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in held)
 
 
+def test_common_words_of_a_level_that_overflows(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "COMMON", 100)
+    h = np.random.default_rng(4).integers(0, 1 << 63, 400).astype(np.uint64)
+    n = np.repeat(np.array([66, 65, 64, 3]), [30, 30, 300, 40]).astype(np.int64)
+    levels = [{"level": int(x), "n": int(k)} for x, k in zip(*np.unique(lm_scoring._levels(n), return_counts=True), strict=True)]
+    counts = spark.createDataFrame([(lm_scoring.ex.planes(h), lm_scoring.ex.planes(n), levels)], "hashes binary, counts binary, levels array<struct<level:long,n:long>>")
+    found, times = lm_scoring.common_words(counts)
+    assert 98 <= len(found) <= 100 and times.tolist() == [66] * 30 + [65] * 30 + [64] * (len(found) - 60)
+    assert set(found[:60].tolist()) == set(h[:60].tolist()) and set(found[60:].tolist()) <= set(h[60:360].tolist())
+
+
 def test_network_learns_from_every_document(spark):
     rows = [(i if i else None, f"own{i} own{i} shared") for i in range(40)]
     train = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

@@ -115,27 +115,64 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < 64, counts, 64 + np.floor(8 * np.log2(np.maximum(counts, 64) / 64))).astype(np.int64)
 
 
-def _words_from(level: int):
+def _pick(choose):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(batch["hashes"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                h, n = ex.unplanes(a, np.uint64).view(np.int64), ex.unplanes(b, np.int64)
-                top = _levels(n) >= level
-                yield pa.RecordBatch.from_arrays([pa.array(h[top]), pa.array(n[top])], names=["hash", "n"])
+                h, n = ex.unplanes(a, np.uint64), ex.unplanes(b, np.int64)
+                top = choose(h, n)
+                yield pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(n[top])], names=["hash", "n"])
 
     return run
 
 
+def _tally(counts: DataFrame, values) -> list[tuple[int, int]]:
+    """Each value of values(hashes, counts) and how often it occurs, summed over the buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch["hashes"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                found, times = np.unique(values(ex.unplanes(a, np.uint64), ex.unplanes(b, np.int64)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(times.astype(np.int64))], names=["value", "n"])
+
+    sizes = counts.select("hashes", "counts").mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    return [(r["value"], r["n"]) for r in sizes.collect()]
+
+
+def _fit(sizes: list[tuple[int, int]], room: int) -> tuple[int, int, int | None]:
+    """From the largest value: the least that is taken whole, the places left, and the value that does not fit."""
+    least = 1 << 62
+    for value, n in sorted(sizes, reverse=True):
+        if n > room:
+            return least, room, value
+        least, room = value, room - n
+    return least, room, None
+
+
+def _part(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(4095)).astype(np.int64)
+
+
 def common_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the most frequent words, by falling counts: as many whole levels of counts as COMMON holds."""
+    """Hashes and counts of the most frequent words, by falling counts: COMMON, or less by a 4096th of the words with the least count taken.
+
+    Whole levels of counts first; of the level that does not fit, whole counts; of the count that does not fit, parts by hash.
+    """
     sizes = counts.select(F.explode("levels").alias("x")).groupBy("x.level").agg(F.sum("x.n").alias("n")).collect()  # some hundred rows
-    level, held = 1 << 62, 0
-    for r in sorted(sizes, key=lambda r: -r["level"]):
-        held += r["n"]
-        if held > COMMON:
-            break
-        level = r["level"]
-    found = counts.select("hashes", "counts").mapInArrow(_words_from(level), "hash long, n long").toArrow()  # COMMON rows at most
+    level, room, over = _fit([(r["level"], r["n"]) for r in sizes], COMMON)
+    least = part = 1 << 62
+    edge = None
+    if over is not None:
+        least, room, edge = _fit(_tally(counts, lambda h, n: n[_levels(n) == over]), room)
+    if edge is not None:
+        part = _fit(_tally(counts, lambda h, n: _part(h[n == edge])), room)[0]
+    high, last = (-1 if x is None else x for x in (over, edge))
+
+    def choose(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+        own = _levels(n)
+        return (own >= level) | ((own == high) & (n >= least)) | ((n == last) & (_part(h) >= part))
+
+    found = counts.select("hashes", "counts").mapInArrow(_pick(choose), "hash long, n long").toArrow()  # COMMON rows at most
     h, n = found["hash"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.lexsort((h, -n))
     return h[order], n[order]
