@@ -4,16 +4,19 @@ import base64
 import collections
 import hashlib
 import math
+import random
 import re
 from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from variorum.llm import byte_bpe, decontaminate, near_dedup, substring_dedup
+from variorum.llm._grams import column_bytes
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
@@ -69,6 +72,69 @@ def test_blocks_of_a_large_cluster(spark, monkeypatch):
     assert rows(found) == brute_components(texts, Fraction(85, 100))
 
 
+def near_copies(n, words=120):
+    """Copies of one text, a few to many words of each replaced: some are linked, others resemble them."""
+    r = random.Random(n)
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for k in range(n):
+        own = list(base)
+        for j in r.sample(range(words), r.choice([1, 1, 2, 3, 6])):
+            own[j] = f"x{k}_{j}" if r.random() < 0.7 else f"y{j}"
+        out.append((k, " ".join(own)))
+    return out
+
+
+def test_a_large_cluster_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", 16)
+    texts = near_copies(300)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    wanted = brute_components(texts, Fraction(4, 5))
+    assert 1 < len({r[2] for r in wanted}) < 300
+    assert rows(near_dedup.near_duplicates(df)) == wanted
+
+
+def test_links_and_copies_of_sets_are_linear_in_a_cluster(spark, monkeypatch):
+    n, made, given = 2000, [], spark.sparkContext.accumulator(0)
+    real_components, real_compare = near_dedup.components, near_dedup._compare
+
+    def counted(df):
+        df = near_dedup.materialize(df)
+        made.append(df.count())
+        return real_components(df)
+
+    def compare(threshold, k):
+        run = real_compare(threshold, k)
+
+        def both(table):
+            given.add(table.num_rows)
+            return run(table)
+
+        return both
+
+    monkeypatch.setattr(near_dedup, "components", counted)
+    monkeypatch.setattr(near_dedup, "_compare", compare)
+    found = near_dedup.near_duplicates(spark.createDataFrame(near_copies(n), "doc_id long, text string").repartition(4))
+    assert found.where("not kept").count() > n / 4
+    # candidates: at most one a list and class; links: two forests at most; copies: two, and those of what stays apart
+    assert made[0] < 20 * n and max(made[1:]) < 2 * n and given.value < 5 * n
+
+
+@pytest.mark.parametrize("threshold", [Fraction(85, 100), Fraction(4, 5)])
+def test_sets_with_links_are_promising(spark, threshold):
+    texts = near_copies(150, 40) + [(1000 + k, " ".join(t.split()[: 30 - k % 9])) for k, t in near_copies(40, 40)]
+    sets = [np.unique(s) for s in near_dedup.shingle_sets(*column_bytes(pa.array([t for _, t in texts])), 5)]
+    df = spark.createDataFrame([(k % 2, i, len(s), near_dedup.ex.planes(s)) for k, ((i, _), s) in enumerate(zip(texts, sets, strict=True))], "cluster long, rep long, n long, shingles binary").withColumn("key", F.col("rep"))
+    kept = {r.rep for r in near_dedup.promising(df, threshold, 8).collect()}
+    wanted = {texts[k][0] for a in range(len(sets)) for b in range(a) if a % 2 == b % 2 and len(np.intersect1d(sets[a], sets[b])) >= threshold * len(np.union1d(sets[a], sets[b])) for k in (a, b)}
+    assert wanted <= kept and len(kept) < len(texts)
+
+
+def test_copies_of_one_text_meet_their_class_in_parts(spark):
+    texts = [(k, "the same words in every row of this table") for k in range(400)] + [(1000, "others that stand alone in this table here")]
+    assert rows(near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))) == brute_components(texts, Fraction(4, 5))
+
+
 @pytest.mark.parametrize("threshold", [Fraction(85, 100), Fraction(4, 5)])
 def test_similar_small_sets_share_a_run(threshold):
     small, large, bound = near_dedup.run_lengths(threshold)
@@ -203,7 +269,8 @@ def test_estimates_keep_links_far_in_the_tail():
     low, high = np.arange(1, 86, dtype=np.uint64), np.arange(1000, 1400, dtype=np.uint64)
     a, b = (np.sort(np.concatenate([low[:53], own, high])) for own in (low[53:69], low[69:]))
     assert len(np.intersect1d(a, b)) >= threshold * len(np.union1d(a, b))
-    assert near_dedup.linked([a, b], np.zeros(2), threshold, k) == [(0, 1)]
+    assert near_dedup.linked([a, b], threshold, k) == [(0, 1)]
+    assert near_dedup.linked([a, b], threshold, k, np.zeros(2)) == [] == near_dedup.linked([a, b], threshold, k, None, np.zeros(2, bool))
     for t in (threshold, Fraction(8, 10)):
         for u, least in enumerate(near_dedup.least_shared(t, 2 * k).tolist()):
             assert sum(math.comb(u, s) * t**s * (1 - t) ** (u - s) for s in range(least)) <= 1e-9

@@ -5,19 +5,29 @@ class; only classes are compared.  The sketch of a class holds its k smallest
 shingle hashes.  The inverted lists of retained values, taken as runs of
 consecutive values, generate overlaps: sets as similar as asked for share such
 a run (surely, while the sketch is the whole set; else but for the odds that
-``run_lengths`` names).  Classes with overlaps form candidate clusters.  Within
-a cluster the bottom-k sketch of each pair's union estimates the similarity;
-pairs that it cannot rule out are compared by their full sets, exactly.
+``run_lengths`` names).  Classes with overlaps form candidate clusters.
 
-A cluster of many classes is cut into blocks, and pairs of blocks are compared
-in tasks of their own, so no task holds more than two blocks; what is emitted
-is at most a spanning forest of each pair of blocks.
+Before any pair is made, a cluster loses the classes that can have no link:
+the shingles that a set shares with any other one of its cluster bound what it
+shares with one of them, and so the sizes that a linked set may have.  In the
+rest the bottom-k sketch of each pair's union estimates the similarity; pairs
+that it cannot rule out are compared by their full sets, exactly.
+
+A cluster of many classes is cut into blocks.  First each block is compared
+within and with the next one, so a set goes to two tasks; what these links join
+has one label.  Then only the classes outside the cluster's most frequent label
+are compared with all of the cluster, block by block, and a task emits links
+between different labels alone.  So links are linear in the classes, and so are
+copies of sets but for classes that, as near as they are, stay apart.
 
 Defined results: null and empty texts have no shingles and are linked with
-nothing; texts with fewer words than a shingle are one shingle; equal rows are
-one class, and doc_id names the document, so different texts under one doc_id
-may be linked through it; a null doc_id takes the smallest doc_id of its class,
-or null, and is kept where it is null.  Columns beside the named ones are ignored.
+nothing; texts with fewer words than a shingle are one shingle; very long texts
+are hashed whole, in pieces of memory; equal rows are one class, and doc_id
+names the document, so different texts under one doc_id may be linked through
+it; ties, as a similarity just at the threshold, are links; a null doc_id takes
+the smallest doc_id of its class, or null, and is kept where it is null; an
+empty table gives an empty one.  Columns beside the named ones are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -35,11 +45,13 @@ from pyspark.sql import functions as F
 
 from variorum.llm import _exchange as ex
 from variorum.llm._components import components
-from variorum.llm._grams import SPACED_LOWER, Words, chunks, column_bytes, grams, words
+from variorum.llm._grams import SPACED_LOWER, Words, chunks, column_bytes, grams, mix, words
 from variorum.llm._shared import materialize
 
 #: Classes and shingles that a block of a cluster holds, about.
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 20
+#: Shingles whose sharing is settled together, about.
+CHUNK_SHINGLES = 1 << 18
 #: Odds that the estimate rules out a pair just at the threshold.
 _ODDS = 1e-9
 
@@ -153,12 +165,47 @@ def _sets(size: int):
             sets = shingle_sets(*column_bytes(batch["text"]), size)
             step = 256
             for i in range(0, len(sets), step):
-                part = batch.slice(i, step)
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in ("cluster", "own", "blocks", "rep")), pa.array([ex.planes(s) for s in sets[i : i + step]], pa.binary())], names=["cluster", "own", "blocks", "rep", "shingles"])
+                part, own = batch.slice(i, step), sets[i : i + step]
+                yield pa.RecordBatch.from_arrays([part["cluster"], part["rep"], pa.array([len(s) for s in own], pa.int64()), pa.array([ex.planes(s) for s in own], pa.binary())], names=["cluster", "rep", "n", "shingles"])
 
     return run
 
 
+def _places(batch: pa.RecordBatch) -> Iterator[ex.Chunk]:
+    """The shingles of each set, told apart by cluster, as places of the set."""
+    cluster, key, sizes = (batch[c].to_numpy() for c in ("cluster", "key", "n"))
+    for lo, hi in chunks(np.concatenate([[0], np.cumsum(sizes)]), CHUNK_SHINGLES):
+        h = np.concatenate([ex.unplanes(x.as_py(), np.uint64) for x in batch["shingles"][lo:hi]])
+        apart = mix(cluster[lo:hi].astype(np.uint64))
+        yield ex.Chunk(mix(h ^ np.repeat(apart, sizes[lo:hi])), np.arange(len(h)), None, sizes[lo:hi], cluster[lo:hi], key[lo:hi])
+
+
+def _supports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) for x in batch["marks"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["key1"], batch["key2"], pa.array(held, pa.int64())], names=["cluster", "key", "support"])
+
+
+def promising(sets: DataFrame, threshold: Fraction, buckets: int) -> DataFrame:
+    """(cluster, rep, n) of the sets (cluster, rep, key, n, shingles) that may have a link within their cluster.
+
+    A linked set y of x shares t / (1 + t) * (|x| + |y|) shingles with it at least, and no more than x shares with any
+    others, its support.  So |y| is support * (1 + t) / t - |x| at most; and where x is the larger one, y's own support
+    must allow a set as large as y.  Sizes are compared by levels of about 4 %, never too strictly.
+    """
+    p, q = threshold.numerator, threshold.denominator
+    level = lambda n: F.floor(F.log2(F.greatest(n, F.lit(1))) * 16).cast("int")
+    marks = ex.repeated(sets.select("cluster", "key", "n", "shingles").mapInArrow(ex.pack(_places, buckets, False), ex.PACKED), False, False)
+    support = marks.mapInArrow(_supports, "cluster long, key long, support long").dropDuplicates(["cluster", "key"])
+    known = sets.select("cluster", "rep", "key", "n").join(support, ["cluster", "key"]).where(F.col("support") * q >= F.col("n") * p)
+    most = F.floor(F.col("support") * (p + q) / p) - F.col("n")  # the size of a linked set
+    known = materialize(known.select("cluster", "rep", "n", most.alias("most")))
+    even = known.where("most >= n").groupBy("cluster").agg(F.collect_set(level(F.col("n"))).alias("levels"))  # some hundred levels at most
+    fits = F.exists("levels", lambda x: (x >= level(F.col("n") * (p / q)) - 1) & (x <= level(F.col("most")) + 1))
+    kept = known.join(even, "cluster").where((F.col("most") >= F.col("n")) | fits)
+    return materialize(kept.groupBy("cluster", "rep").agg(F.max("n").alias("n")))
+
+
 def estimates(sets: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
     """For all pairs of sets: values shared and held by the bottom-k sketch of their union."""
     sketches = [s[:k] for s in sets]
@@ -188,34 +235,38 @@ def least_shared(threshold: Fraction, most: int) -> np.ndarray:
     return out
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray, threshold: Fraction, k: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that reach the threshold; pairs of one side only count if there is one side."""
+def linked(sets: list[np.ndarray], threshold: Fraction, k: int, label: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that reach the threshold, as many as join what they can join: a spanning forest over the labels, by default one each.
+
+    With side, only pairs of which one at least is marked.
+    """
     p, q = threshold.numerator, threshold.denominator
     n = np.array([len(s) for s in sets])
+    label = np.arange(len(sets)) if label is None else label
     shared, union = estimates(sets, k)
     whole = (n <= k)[:, None] & (n <= k)[None, :]
     likely = np.where(whole, shared * q >= p * union, shared >= least_shared(threshold, 2 * k)[union])
     likely &= np.minimum.outer(n, n) * q >= p * np.maximum.outer(n, n)
-    likely &= np.triu(np.ones_like(likely), 1)
-    if side.any() and not side.all():
-        likely &= side[:, None] != side[None, :]
+    likely &= np.triu(label[:, None] != label[None, :], 1)
+    if side is not None:
+        likely &= side[:, None] | side[None, :]
     a, b = np.nonzero(likely)
     order = np.argsort(-shared[a, b] / union[a, b], kind="stable")
-    root = list(range(len(sets)))
+    own, up = np.unique(label, return_inverse=True)[1].tolist(), list(range(len(sets)))
 
     def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
         return x
 
     out = []
     for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
-        x, y = find(i), find(j)
+        x, y = find(own[i]), find(own[j])
         if x != y:
             both = len(sets[i]) + len(sets[j]) - len(np.union1d(sets[i], sets[j])) if not whole[i, j] else shared[i, j]
             if both * q >= p * (n[i] + n[j] - both):
-                root[x] = y
+                up[x] = y
                 out.append((i, j))
     return out
 
@@ -223,14 +274,51 @@ def linked(sets: list[np.ndarray], side: np.ndarray, threshold: Fraction, k: int
 def _compare(threshold: Fraction, k: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("rep", "ascending")])  # rows come in any order; the forest must not depend on it
-        rep, own = table["rep"].to_numpy(), table["own"].to_numpy()
-        sets = [ex.unplanes(x, np.uint64) for x in table["shingles"].to_pylist()]
-        pairs = linked(sets, own != own.min(), threshold, k) if len(sets) > 1 else []
+        if table.num_rows < 2:
+            return _pairs(np.zeros(0), np.zeros(0))
+        rep = table["rep"].to_numpy()
+        label = table["label"].to_numpy() if "label" in table.column_names else None
+        side = table["apart"].to_numpy() if "apart" in table.column_names else None
+        pairs = linked([ex.unplanes(x, np.uint64) for x in table["shingles"].to_pylist()], threshold, k, label, side)
         return _pairs(rep[[i for i, _ in pairs]], rep[[j for _, j in pairs]])
 
     return run
 
 
+def _blocks(cut: DataFrame, name: str) -> DataFrame:
+    """cut (cluster, rep, n) with name, the number of blocks that the classes of a cluster make."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    return cut.join(cut.groupBy("cluster").agg(blocks.alias(name)), "cluster")
+
+
+def links_within(sets: DataFrame, kept: DataFrame, threshold: Fraction, k: int) -> DataFrame:
+    """(node, component) of the sets that have links; kept (cluster, rep, n) are those that are compared."""
+    number = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks).cast("long")).cast("int")
+    cut = materialize(_blocks(kept, "blocks").select("cluster", "rep", "n", "blocks", number("blocks").alias("own")))
+    # each block meets the next; two blocks meet in one place
+    places = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.array("own", F.pmod(F.col("own") + 1, F.col("blocks"))))
+    near = sets.select("rep", "shingles").join(cut.select("cluster", "rep", F.explode(places).alias("place")).hint("merge"), "rep")
+    compare = _compare(threshold, k)
+    first = materialize(near.groupBy("cluster", "place").applyInArrow(compare, "a long, b long"))
+    joined = components(first)
+
+    wide = cut.where("blocks > 2")
+    if wide.isEmpty():
+        return joined
+    named = joined.withColumnsRenamed({"node": "rep", "component": "label"})
+    labels = materialize(wide.join(named, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+    most = labels.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("common"))
+    apart = materialize(_blocks(labels.join(most, "cluster").where("label <> common").select("cluster", "rep", "n", "label", "blocks", "own"), "parts"))
+    every = labels.join(apart.select("cluster", "parts").distinct(), "cluster")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    some = apart.select("cluster", "rep", "label", number("parts").alias("part"), each("blocks").alias("own"), F.lit(True).alias("apart"))
+    dealt = every.select("cluster", "rep", "label", each("parts").alias("part"), "own", F.lit(False).alias("apart")).union(some)
+    dealt = dealt.groupBy("cluster", "part", "own", "rep", "label").agg(F.max("apart").alias("apart"))  # a class that is on both sides once
+    far = sets.select("rep", "shingles").join(dealt.hint("merge"), "rep")
+    second = far.groupBy("cluster", "part", "own").applyInArrow(compare, "a long, b long")
+    return components(first.union(second))
+
+
 def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5), shingle: int = 5, k: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document.
 
@@ -247,18 +335,17 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5), shing
     lists = materialize(known.mapInArrow(_lists(threshold, buckets), "bucket long, keys binary, owners binary"))
     over = lists.where("bucket >= 0").groupBy("bucket").applyInArrow(_overlaps, "a long, b long")
     links = over.union(lists.where("bucket < 0").mapInArrow(_local_links, "a long, b long")).distinct()
-    clusters = components(links).withColumnRenamed("component", "cluster")
-    sized = materialize(clusters.join(known.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node"))
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    cut = sized.join(sized.groupBy("cluster").agg(blocks.alias("blocks")), "cluster")
-    cut = cut.select("cluster", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("own"), "blocks", F.col("node").alias("rep"))
-    members = docs.join(cut.hint("merge"), docs["doc_id"] == cut["rep"]).select("cluster", "own", "blocks", "rep", "text")
-    sets = members.mapInArrow(_sets(shingle), "cluster long, own int, blocks int, rep long, shingles binary")
-    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = dealt.groupBy("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    near = components(pairs.applyInArrow(_compare(threshold, k), "a long, b long"))
+    clusters = components(links).select(F.col("component").alias("cluster"), F.col("node").alias("rep"))
+    texts = docs.join(clusters.hint("merge"), docs["doc_id"] == clusters["rep"]).select("cluster", "rep", "text")
+    sets = texts.mapInArrow(_sets(shingle), "cluster long, rep long, n long, shingles binary")
+    sets = materialize(sets.withColumn("key", F.xxhash64("rep", "shingles")))
+    near = links_within(sets, promising(sets, threshold, buckets), threshold, k)
     named = classes.select("key1", "key2", "rep").join(near.withColumnRenamed("node", "rep"), "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("component"))
-    found = sketches.select("doc_id", "n_shingles", "key1", "key2").join(named, ["key1", "key2"], "left")
+    # rows meet their class in parts, so the copies of one text do not meet in one task
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sketches.select("doc_id", "n_shingles", "key1", "key2", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"))
+    named = rows.select("key1", "key2", "part").distinct().join(named, ["key1", "key2"])
+    found = rows.join(named, ["key1", "key2", "part"], "left")
     whole = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", whole.alias("component_id"), F.col("doc_id").eqNullSafe(whole).alias("kept"))
 
