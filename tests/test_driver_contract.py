@@ -1,4 +1,8 @@
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -28,6 +32,20 @@ def test_every_query_has_sql():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+@pytest.mark.parametrize("gone", [["variorum/llm", "tests/llm", "corpus_pipeline.py"], ["variorum/llm", "tests/llm"]])
+def test_without_the_corpus_operators(tmp_path, gone):
+    root = Path(__spark_entry__.__file__).parent
+    for name in ("__spark_entry__.py", "corpus_pipeline.py", "variorum"):
+        if (root / name).is_dir():
+            shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("__pycache__"))
+        elif (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    for name in gone:
+        shutil.rmtree(tmp_path / name, ignore_errors=True) if "." not in name else (tmp_path / name).unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; from variorum.queries import QUERIES; assert set(e.queries()) == set(e.oracle_sql()) == set(QUERIES)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)}, timeout=120)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_against_sql(spark, sf, duck, name):
     found = queries.QUERIES[name](spark, sf)
