@@ -55,3 +55,9 @@ def test_query_against_sql(spark, sf, duck, name):
     key = sorted(columns)
     rows = [tuple(r[columns.index(k)] for k in key) for r in wanted.fetchall()]
     assert plain(tuple(r) for r in found.select(*key).collect()) == plain(rows)
+
+
+@pytest.mark.parametrize(("name", "most"), [("edit_script", 1), ("op_cost", 1), ("collated_pairs", 1), ("pair_cost", 1), ("edit_replayed", 2), ("pair_cost_with_responses", 1), ("realign_validation", 1), ("dead_letters", 1)])
+def test_scripts_are_made_once(spark, sf, name, most):
+    plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("+- == Initial Plan ==")[0].count("ArrowEvalPython") <= most

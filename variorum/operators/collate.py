@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from variorum.operators.edit_script import edit_script
-from variorum.storage import materialize
+from variorum.operators.reshape import by_order
+from variorum.schema import OPERATIONS
 
 SENTENCE = ["chapter_number", "sentence_number"]
 #: Versions of a sentence from which its pairs are dealt to several places.
@@ -54,37 +55,29 @@ def distance_summary(witness: DataFrame) -> DataFrame:
 def collate(witness: DataFrame, distinct_texts: bool = False, most_cells: int | None = None) -> DataFrame:
     """Pair records: pairs() with edit_distance, operations and script_error.
 
-    Equal texts have no operations and never reach Python.  With distinct_texts, each pair of texts is aligned once and
-    joined back: for corpora where the same two texts stand in many places.  A pair whose table would have more than
-    most_cells cells has a null script and an error.
+    Equal texts have no operations, and nulls go to Python in their place; distances and scripts are made in one pass.
+    With distinct_texts, each pair of texts is aligned once and joined back: for corpora where the same two texts stand
+    in many places.  A pair whose table would have more than most_cells cells has a null script and an error.
     """
     found = pair_distances(witness)
-    same = found.where("original_text = modified_text").withColumns({"operations": F.array().cast("array<struct<type:string,char:string,original_char:string,target_char:string,position:int>>"), "script_error": F.lit(None).cast("string")})
-    other = found.where("original_text <> modified_text")
     texts = ["original_text", "modified_text"]
-    script = edit_script(F.col("original_text"), F.col("modified_text"), most_cells).alias("script")
+    differ = F.col("original_text") != F.col("modified_text")
     if distinct_texts:
-        other = other.join(other.select(*texts).distinct().select(*texts, script), texts)
+        other = found.where(differ).select(*texts).distinct()
+        scripts = other.select(*texts, edit_script(*map(F.col, texts), most_cells).alias("script"))
+        none = F.struct(F.array().cast(OPERATIONS).alias("operations"), F.lit(None).cast("string").alias("error"))
+        scripted = found.join(scripts, texts, "left").withColumn("script", F.when(differ, F.col("script")).otherwise(none))
     else:
-        other = other.select("*", script)
-    other = other.withColumns({"operations": F.col("script.operations"), "script_error": F.col("script.error")}).select(*same.columns)
-    return same.union(other)
+        scripted = found.withColumn("script", edit_script(*[F.when(differ, F.col(t)) for t in texts], most_cells))
+    return scripted.select(*found.columns, F.col("script.operations").alias("operations"), F.col("script.error").alias("script_error"))
 
 
 def pair_index(records: DataFrame, witness: DataFrame) -> DataFrame:
-    """records with pair_index: sentences by their first place in the source, then pairs by versions.
-
-    Rows are dealt by ranges of the order and sorted within; a row's index is its place there after the rows of the
-    ranges before.  The ranges are a written table, so places hold when a task is repeated.
-    """
+    """records with pair_index: sentences by their first place in the source, then pairs by versions."""
     place = F.min(F.struct("version_idx", "chapter_number", "row_idx")).alias("place")
     first = witness.groupBy(*SENTENCE).agg(place)
     order = ["place.version_idx", "place.chapter_number", "place.row_idx", "original_text_version", "modified_text_version", "original_text", "modified_text"]
-    dealt = records.join(first, SENTENCE).repartitionByRange(*order).sortWithinPartitions(*order)
-    ranges = materialize(dealt.select(*records.columns, F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
-    sizes = ranges.groupBy("range").agg(F.count("*").alias("n"))
-    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a range
-    return ranges.join(before, "range").select(*records.columns, (F.col("before") + F.col("at")).alias("pair_index"))
+    return by_order(records.join(first, SENTENCE), order, "pair_index").select(*records.columns, "pair_index")
 
 
 def index_slice(records: DataFrame, start: int = 0, end: int | None = None, column: str = "pair_index") -> DataFrame:

@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from variorum.functions.text import strip
+from variorum.storage import materialize
 
 KEYS = ("seg", "ln")
 
 
+def by_order(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with a last column name, their place from 0 in the given order; rows that tie come in any order.
+
+    Rows are dealt by ranges of the order and sorted within; a row's place is that in its range after the rows of the
+    ranges before, so no task sees all rows.  The ranges are a written table, so places hold when a task is repeated.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    row, at = F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranges = materialize(dealt.select(row.alias("row"), F.spark_partition_id().alias("range"), at.alias("at")))
+    sizes = ranges.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a range
+    return ranges.join(before, "range").select("row.*", (F.col("before") + F.col("at")).alias(name))
+
+
 def numbered(sheet: DataFrame, by: list[str] | None = None) -> DataFrame:
     """sheet with row_idx, the position of each row: by the given columns, else as the source delivers rows."""
     if "row_idx" in sheet.columns:
         return sheet
     if by:
-        from pyspark.sql import Window
-
-        return sheet.withColumn("row_idx", F.row_number().over(Window.orderBy(*by)).cast("long") - 1)
+        return by_order(sheet, by, "row_idx")
     return sheet.withColumn("row_idx", F.monotonically_increasing_id())
 
 

@@ -20,7 +20,7 @@ from variorum.operators.graph import Graph
 from variorum.sinks import files as sinks
 from variorum.sources import files as sources
 from variorum.sources.xlsx import read_xlsx
-from variorum.storage import shared_path
+from variorum.storage import materialize, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -129,7 +129,7 @@ ANSWERED = "case when type = 'insert' then 0.2 when type = 'delete' then 2.0 whe
 @query(f"with recursive {SCRIPTS}, c as (select id, sum({ANSWERED}) s from ops group by 1) select {KEY_SQL}, a original_text, b modified_text, cast(round(coalesce(s, 0), 2) as double) custom_edit_distance from prs left join c using (id)")
 def pair_cost_with_responses(spark, sf_dir):
     """Replacements of every third character have no response; those by every fifth have one without a cost of its own."""
-    pairs = collate.collate(witness(spark, sf_dir))
+    pairs = materialize(collate.collate(witness(spark, sf_dir)))  # read for the requests and for the costs
     no_cost = F.to_json(F.struct(F.lit("通假字").alias("relation_type"), F.lit("loan").alias("reason")))
     with_cost = F.to_json(F.struct(F.lit("同义替换").alias("relation_type"), F.lit("same sense").alias("reason"), F.lit(0).alias("custom_cost")))
     asked = cost.requests(pairs).where(F.ascii("original_char") % 3 != 0)
@@ -139,7 +139,7 @@ def pair_cost_with_responses(spark, sf_dir):
 
 def _realigned(spark, sf_dir) -> DataFrame:
     """Canned responses by the sentence's numbers: right, none, malformed, a wrong count, another target."""
-    pairs = collate.collate(witness(spark, sf_dir))
+    pairs = materialize(collate.collate(witness(spark, sf_dir)))  # read for the responses and for their validation
     kind = (F.col("chapter_number") + F.col("sentence_number")) % 5
     right = F.to_json(F.struct("edit_distance", "operations"))
     content = F.when(kind == 0, right).when(kind == 2, F.lit("{edit_distance")).when(kind == 3, F.to_json(F.struct((F.col("edit_distance") + 1).alias("edit_distance"), "operations")))
