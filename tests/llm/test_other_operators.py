@@ -245,7 +245,7 @@ def test_gradients(monkeypatch):
         states, state = [], h
         for t in range(5):
             g, hu, n = p["x"][inputs[t]] + p["b"], state @ p["u"], _gru.HIDDEN
-            zr = _gru.sigmoid(g[:, : 2 * n] + hu[:, : 2 * n])
+            zr = 1 / (1 + np.exp(-g[:, : 2 * n] - hu[:, : 2 * n]))
             new = np.tanh(g[:, 2 * n :] + zr[:, n:] * hu[:, 2 * n :])
             state = new + zr[:, :n] * (state - new)
             states.append(state)
@@ -255,7 +255,7 @@ def test_gradients(monkeypatch):
     used, dx = grads["x"]
     grads["x"] = np.zeros_like(p["x"])
     grads["x"][used] = dx
-    for k, v in p.items():
+    for k, v in ((k, v) for k, v in p.items() if k != "cut"):
         for at in np.argsort(-np.abs(grads[k]).ravel())[:3]:
             at = np.unravel_index(at, v.shape)
             up, down = ({a: b.copy() for a, b in p.items()} for _ in range(2))
@@ -268,7 +268,7 @@ def test_gradients(monkeypatch):
 
 
 def test_urls(spark):
-    urls = ["http://A.Example.COM/en/7?x#y", "https://example.com/en/1", "http://badexample.com/en/", "ftp://com/en/", "http://x.net/de/1", "http://a.example.net/de/8", "http://example.net/de/1#/en", "https://m.org:80/es/", "http://m.org/es/", "no scheme/en/", None, "", "http://", "http://ads-tracker.example.info/click?id=4", "https://www.library.edu/books", "http://é.com?/en/"]
+    urls = ["http://A.Example.COM/en/7?x#y", "https://example.com/en/1", "http://badexample.com/en/", "ftp://com/en/", "http://x.net/de/1", "http://a.example.net/de/8", "http://example.net/de/1#/en", "https://m.org:80/es/", "http://m.org/es/", "no scheme/en/", None, "", "http://", "http://ads-tracker.example.info/click?id=4", "https://www.library.edu/books", "http://é.com?/en/", "http://example.com/en/" + "7x/" * 200_000, "http://" + "a." * 20_000 + "net/de/1", "http://", "http://."]
     rules = {r[1] + r[2]: r for r in url_filter.RULES}
     df = spark.createDataFrame([(i, u, "h", None) for i, u in enumerate(urls)] + [(None, urls[0], "h", None)], "page_id long, url string, host string, html string")
     found = url_filter.judge(df).collect()
@@ -287,6 +287,17 @@ def test_urls(spark):
     assert url_filter.judge(df, rules=[]).where("rule is not null").count() == 0
 
 
+def test_many_rules_by_host_and_path():
+    r = random.Random(5)
+    name = lambda: ".".join(r.choice("abc") for _ in range(r.randrange(1, 4)))
+    rules = list({(h, p): (r.choice(["block", "allow"]), h, p) for h, p in ((name(), "/" + "/".join(r.choice("xy") for _ in range(r.randrange(3)))) for _ in range(3000))}.values())
+    known = url_filter.Rules(rules)
+    for _ in range(2000):
+        host, path = name(), "/" + "/".join(r.choice("xy") for _ in range(r.randrange(5)))
+        fits = sorted((-len(h + p), h, p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p))
+        assert known.find(host, path) == ((fits[0][1] + fits[0][2], fits[0][3]) if fits else (None, None))
+
+
 def test_urls_that_were_not_learnt():
     table = url_filter.LABELLED
     right = 0
@@ -330,6 +341,15 @@ def test_archives(spark, pages):
     assert warc.digest(df.limit(0)).count() == 0
 
 
+def test_records_are_read_in_several_tasks(spark, pages, monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 1 << 16)
+    monkeypatch.setattr(warc, "FRAME_BYTES", 1 << 12)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    found = warc.read(warc.archive(df))
+    assert found.rdd.getNumPartitions() > 3
+    assert rows(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) == brute_records(pages)
+
+
 def test_archives_are_seekable(spark, pages, tmp_path):
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
     index = warc.archive(df, folder=str(tmp_path / "out"))

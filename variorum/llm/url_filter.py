@@ -1,11 +1,15 @@
 """URL filters: rules by host and path, else a logistic regression on hashed character n-grams.
 
-The model is trained on a small labelled table of URLs.  Its features are the
-distinct n-grams of the host and, apart from them, of the path.
+Rules, as many as the driver holds, are looked up by the host and its parent
+domains, then by those lengths of the path that such a rule has.  The model is
+trained on a small labelled table of URLs.  Its features are the distinct
+n-grams of the host and, apart from them, of the path.
 
 Defined results: a null url, or one without ``://``, has an empty host and
-path; without n-grams the score is 0, which allows; a null page_id is kept; equal rows are judged one by one; other columns
-are ignored.
+path; without n-grams the score is 0, which allows; very long urls are judged
+whole; of rules that tie in length the first by host and path fits; a null
+page_id is kept; equal rows are judged one by one; an empty table gives an
+empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -94,8 +98,6 @@ LABELLED = [
     ("http://theatre.example.org/en/12", 0),
 ]
 BITS, SIZES = 16, (3, 4, 5)
-#: Rules that one expression may hold.
-MOST_RULES = 1000
 
 
 def host_and_path(url: str):
@@ -106,13 +108,28 @@ def host_and_path(url: str):
     return F.translate(found(r"\A[^/?#]*", 0), upper, upper.lower()), found(r"\A[^/?#]*([^?#]*)", 1)
 
 
-def rule_of(host: str, path: str, rules):
-    """A column (rule, verdict) of the longest rule that fits; null if none does."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1], r[2]))
-    fits = [F.when(((F.col(host) == h) | F.col(host).endswith(f".{h}")) & F.col(path).startswith(p), F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for v, h, p in ordered]
-    return F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule:string,verdict:string>")
+class Rules:
+    """Verdicts by host and path."""
+
+    def __init__(self, rules):
+        self.by_host: dict[str, dict[str, str]] = {}
+        for verdict, host, path in sorted(rules, reverse=True):  # of equal rules the first stays
+            self.by_host.setdefault(host, {})[path] = verdict
+        self.lengths = {host: sorted({len(p) for p in paths}, reverse=True) for host, paths in self.by_host.items()}
+
+    def find(self, host: str, path: str) -> tuple[str | None, str | None]:
+        """(rule, verdict) of the longest rule that fits the host, or a domain that it is part of, and the path's start."""
+        best, at = None, 0
+        while at >= 0:
+            domain = host[at:]
+            for n in self.lengths.get(domain, ()):
+                verdict = self.by_host[domain].get(path[:n]) if n <= len(path) else None
+                if verdict is not None:
+                    key = (-len(domain) - n, domain, path[:n])
+                    best = min(best, (key, verdict)) if best else (key, verdict)
+                    break
+            at = host.find(".", at) + 1 or -1
+        return (best[0][1] + best[0][2], best[1]) if best else (None, None)
 
 
 def _grams(points: np.ndarray, kind: int) -> np.ndarray:
@@ -162,18 +179,17 @@ def fit(labelled=LABELLED, steps: int = 1500, decay: float = 1e-4) -> tuple[np.n
 
 def judge(pages: DataFrame, rules=RULES, labelled=LABELLED) -> DataFrame:
     """page_id, host, path, rule, verdict and score (the model's probability of block) of each page."""
-    sent = pages.sparkSession.sparkContext.broadcast(fit(labelled))
+    sent = pages.sparkSession.sparkContext.broadcast((fit(labelled), Rules(rules)))  # as large as the driver's lists
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = sent.value
+        (w, b), known = sent.value
         for batch in batches:
             found = [b + w[x].sum() / np.sqrt(len(x)) if len(x) else -np.inf for x in features(batch["host"], batch["path"])]
             score = 1 / (1 + np.exp(-np.array(found, float)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=["page_id", "host", "path", "score"])
+            ruled = [known.find(h, p) for h, p in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), strict=True)]
+            verdicts = [v or ("block" if x >= 0.5 else "allow") for (_, v), x in zip(ruled, score.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r for r, _ in ruled], pa.string()), pa.array(verdicts, pa.string()), pa.array(score, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "score"])
 
     host, path = host_and_path("url")
     kind = pages.schema["page_id"].dataType.simpleString()
-    scored = pages.select("page_id", host.alias("host"), path.alias("path")).mapInArrow(run, f"page_id {kind}, host string, path string, score double")
-    ruled = scored.withColumn("r", rule_of("host", "path", rules))
-    verdict = F.coalesce("r.verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
-    return ruled.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "score")
+    return pages.select("page_id", host.alias("host"), path.alias("path")).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")

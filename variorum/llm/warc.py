@@ -8,16 +8,19 @@ costs the read of one frame.
 
 Equal payloads of at least ``least`` bytes are stored once: the record with the
 smallest page_id is the response, the others are revisits that refer to it and
-carry its digest and length.
+carry its digest and length.  Pages meet the response of their payload in parts
+of a digest, so the copies of one payload do not meet in one task.
 
 Bundles go to a folder that all executors share.  A bundle is written under a
 name of its task attempt and counts once the index names it, so lost executors
 and repeated tasks leave at most files that nothing refers to.
 
 Defined results: a null payload is empty; payloads below ``least`` bytes are
-all responses; rows of one page_id with the payload's smallest id are all
-responses; a null page_id is never referred to; control characters of an url
-are percent-encoded; other columns are ignored.
+all responses; equal rows, as all rows of one page_id with the payload's
+smallest id, are all responses; a null page_id is never referred to; a payload
+longer than a frame has a frame of its own; control characters of an url are
+percent-encoded; an empty table has an empty index and no bundle; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ from variorum.llm._shared import materialize, shared_path
 
 #: Bytes of records in a frame, and of frames in a bundle, about.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 64 << 20
+#: Bytes of records that a task reads, about, and frames that are dealt to one task together.
+READ_BYTES, READ_FRAMES = 32 << 20, 16
 # Fixed values of the seekable format.
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 INDEX = "page_id long, bundle string, frame int, offset long, length long"
@@ -129,6 +134,9 @@ class Reader:
             at += packed
         self.codec, self.last = zstandard.ZstdDecompressor(), (-1, b"")
 
+    def close(self) -> None:
+        self.file.close()
+
     def read(self, frame: int, offset: int, length: int) -> bytes:
         if self.last[0] != frame:
             at, packed, whole = self.frames[frame]
@@ -163,28 +171,38 @@ def archive(pages: DataFrame, least: int = 100, folder: str | None = None) -> Da
     """Writes a record for each row of pages (page_id, url, html) and returns the index, a written table."""
     folder = folder or shared_path(pages.sparkSession, "warc")
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"))
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64("page_id"), F.lit(parts)).alias("part")
+    rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest")).select("*", part)
     long = F.octet_length("payload") >= least
-    first = rows.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    known = rows.join(first.hint("merge"), "digest", "left")
+    some = rows.where(long).groupBy("digest", "part").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    first = some.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1 and first is not null")
+    first = some.select("digest", "part").join(first.select("digest", "first"), "digest")
+    known = rows.join(first.hint("merge"), ["digest", "part"], "left")
     refers = F.when(long & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return materialize(known.select("page_id", "url", "payload", "digest", refers.alias("refers_to")).mapInArrow(_write(folder), INDEX))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     path, reader = None, None
-    for batch in batches:
-        rows, size = [], 0
-        for x in batch.to_pylist():
-            if x["bundle"] != path:
-                path, reader = x["bundle"], Reader(x["bundle"])
-            rows.append(parse(reader.read(x["frame"], x["offset"], x["length"])))
-            size += x["length"]
-            if size >= 8 << 20:
+    try:
+        for batch in batches:
+            rows, size = [], 0
+            for x in batch.to_pylist():
+                if x["bundle"] != path:
+                    if reader is not None:
+                        reader.close()
+                    path, reader = x["bundle"], Reader(x["bundle"])
+                rows.append(parse(reader.read(x["frame"], x["offset"], x["length"])))
+                size += x["length"]
+                if size >= 8 << 20:
+                    yield _records(rows)
+                    rows, size = [], 0
+            if rows:
                 yield _records(rows)
-                rows, size = [], 0
-        if rows:
-            yield _records(rows)
+    finally:
+        if reader is not None:
+            reader.close()
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
@@ -194,8 +212,9 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read(index: DataFrame) -> DataFrame:
-    """The records that rows of an index name, read from their bundles."""
-    near = index.repartition("bundle", F.expr("frame div 64")).sortWithinPartitions("bundle", "frame", "offset")
+    """The records that rows of an index name, read from their bundles, in tasks of about READ_BYTES of records."""
+    tasks = (index.agg(F.sum("length")).first()[0] or 0) // READ_BYTES + 1  # the index is narrow: its own bytes say nothing
+    near = index.repartition(tasks, "bundle", F.expr(f"frame div {READ_FRAMES}")).sortWithinPartitions("bundle", "frame", "offset")
     return near.mapInArrow(_read, RECORD)
 
 
