@@ -4,6 +4,10 @@ Sequences are symbols; each is predicted from those before it, the first from
 ``end``.  Training backpropagates through windows of ``WINDOW`` steps and
 carries the state from window to window; scoring carries it to the end, so a
 score is the log-likelihood of the whole sequence.
+
+Classes are runs of symbols by falling counts, with equal sums of the roots of
+their counts: frequent symbols share a class with few others or none, so the
+softmax within a class is short for most steps.
 """
 
 from __future__ import annotations
@@ -25,21 +29,52 @@ def one_thread() -> None:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return F32(0.5) * (np.tanh(F32(0.5) * x) + F32(1))
+    """In place: exp is a fast loop in numpy everywhere, tanh is not."""
+    np.negative(x, out=x)
+    np.exp(np.minimum(x, F32(80), out=x), out=x)
+    x += F32(1)
+    return np.reciprocal(x, out=x)
+
+
+def steps(p: Params, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(states, zr, n, hn) of each step from inputs g [step, row, gates] and the state h; g is overwritten."""
+    count, rows, size = g.shape[0], len(h), HIDDEN
+    states, zr, n, hn = (np.empty((count, rows, k), g.dtype) for k in (size, 2 * size, size, size))
+    for t in range(count):
+        hu = h @ p["u"]
+        np.add(g[t, :, : 2 * size], hu[:, : 2 * size], out=zr[t])
+        sigmoid(zr[t])
+        hn[t] = hu[:, 2 * size :]
+        x = np.multiply(zr[t, :, size:], hn[t], out=n[t])
+        x += g[t, :, 2 * size :]
+        x *= F32(2)  # tanh(x) = 2 * sigmoid(2 * x) - 1
+        sigmoid(x)
+        x *= F32(2)
+        x -= F32(1)
+        new = np.subtract(h, x, out=states[t])
+        new *= zr[t, :, :size]
+        new += x
+        h = new
+    return states, zr, n, hn
 
 
 def start(counts: np.ndarray) -> Params:
-    """Parameters before training; symbols are sorted by falling counts, and equal slices of them are the classes."""
+    """Parameters before training, and in cut the first symbol of each class; symbols are sorted by falling counts."""
     rng, v, h = np.random.default_rng(7), len(counts), HIDDEN
-    share = (counts + 1.0).reshape(CLASSES, -1)
+    mass = np.cumsum(np.sqrt(counts + 1.0))
+    cut = np.concatenate([[0], np.searchsorted(mass, mass[-1] * np.arange(1, CLASSES) / CLASSES) + 1, [v]])
+    for c in range(1, CLASSES):  # a symbol each at least
+        cut[c] = min(max(cut[c], cut[c - 1] + 1), v - CLASSES + c)
+    sums = np.add.reduceat(counts + 1.0, cut[:-1])
     return {
         "x": rng.normal(0, 0.1, (v, 3 * h)).astype(F32),
         "u": rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)).astype(F32),
         "b": np.zeros(3 * h, F32),
         "wc": rng.normal(0, 0.05, (h, CLASSES)).astype(F32),
-        "bc": np.log(share.sum(1) / share.sum()).astype(F32),
+        "bc": np.log(sums / sums.sum()).astype(F32),
         "wo": rng.normal(0, 0.05, (v, h)).astype(F32),
-        "bo": np.log(share / share.sum(1, keepdims=True)).ravel().astype(F32),
+        "bo": np.log((counts + 1.0) / np.repeat(sums, np.diff(cut))).astype(F32),
+        "cut": cut.astype(F32),
     }
 
 
@@ -73,56 +108,67 @@ def batches(sequences: list[np.ndarray], end: int, rows: int, cells: int = 1 <<
 
 def log_likelihoods(p: Params, sequences: list[np.ndarray], end: int) -> np.ndarray:
     """Natural log-likelihood of each whole sequence and its end."""
-    out, h_size = np.zeros(len(sequences)), HIDDEN
+    out = np.zeros(len(sequences))
     for part, inputs, targets, lengths in batches(sequences, end, 512):
-        h = np.zeros((len(part), h_size), F32)
+        h = np.zeros((len(part), HIDDEN), F32)
         total = np.zeros(len(part))
         for t0 in range(0, inputs.shape[1], WINDOW):
             live = int(np.searchsorted(-lengths, -t0, side="left"))
             t1 = min(t0 + WINDOW, inputs.shape[1])
-            states = np.zeros((t1 - t0, live, h_size), F32)
-            g = p["x"][inputs[:live, t0:t1].T] + p["b"]
-            h = h[:live]
-            for t in range(t1 - t0):
-                hu = h @ p["u"]
-                zr = sigmoid(g[t, :, : 2 * h_size] + hu[:, : 2 * h_size])
-                n = np.tanh(g[t, :, 2 * h_size :] + zr[:, h_size:] * hu[:, 2 * h_size :])
-                h = n + zr[:, :h_size] * (h - n)
-                states[t] = h
+            states = steps(p, p["x"][inputs[:live, t0:t1].T] + p["b"], h[:live])[0]
+            h = states[-1]
             inside = (np.arange(t0, t1)[:, None] < lengths[None, :live]).ravel()
             row = np.tile(np.arange(live), t1 - t0)[inside]
-            total[:live] += np.bincount(row, _log_probs(p, states.reshape(-1, h_size)[inside], targets[:live, t0:t1].T.ravel()[inside]), live)
+            total[:live] += np.bincount(row, _log_probs(p, states.reshape(-1, HIDDEN)[inside], targets[:live, t0:t1].T.ravel()[inside]), live)
         out[part] = total
     return out
 
 
+def _order(symbols: np.ndarray) -> np.ndarray:
+    """Stable, by radix."""
+    return np.argsort(symbols.astype(np.uint16), kind="stable")
+
+
+def _classes(p: Params, symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+    """The class of each of sorted symbols; for classes of several symbols that occur, their places and their symbols."""
+    first = np.rint(p["cut"]).astype(np.int64)
+    at = np.searchsorted(symbols, first)
+    several = np.flatnonzero((np.diff(at) > 0) & (np.diff(first) > 1)).tolist()
+    return np.repeat(np.arange(CLASSES), np.diff(at)), [(slice(at[c], at[c + 1]), slice(first[c], first[c + 1])) for c in several]
+
+
 def _log_probs(p: Params, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    size = len(p["bo"]) // CLASSES
-    order = np.argsort(symbols, kind="stable")
+    order = _order(symbols)
     states, symbols = states[order], symbols[order]
-    cls = symbols // size
-    logits = states @ p["wc"] + p["bc"]
+    cls, several = _classes(p, symbols)
+    logits = states @ p["wc"]
+    logits += p["bc"]
     found = logits[np.arange(len(cls)), cls] - _logsumexp(logits)
-    cut = np.searchsorted(cls, np.arange(CLASSES + 1))
-    for c in np.flatnonzero(np.diff(cut)).tolist():
-        s = slice(cut[c], cut[c + 1])
-        logits = states[s] @ p["wo"][c * size : (c + 1) * size].T + p["bo"][c * size : (c + 1) * size]
-        found[s] += logits[np.arange(s.stop - s.start), symbols[s] - c * size] - _logsumexp(logits)
+    for s, own in several:
+        logits = states[s] @ p["wo"][own].T
+        logits += p["bo"][own]
+        found[s] += logits[np.arange(s.stop - s.start), symbols[s] - own.start] - _logsumexp(logits)
     out = np.empty(len(found))
     out[order] = found
     return out
 
 
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(top, sums): x becomes exp(x - top) in place; top is the largest of all, or each row's where they are far apart."""
+    top = x.max() if x.size else x.dtype.type(0)
+    if x.size and x.min() < top - 40:
+        top = x.max(1)
+        x -= top[:, None]
+    else:
+        x -= top
+    np.exp(x, out=x)
+    return top, x @ np.ones(x.shape[1], x.dtype)
+
+
 def _logsumexp(x: np.ndarray) -> np.ndarray:
-    """Of each row; the largest of all rows stands for a row's own, but where that leaves too little of it."""
-    top = x.max() if x.size else F32(0)
-    total = np.exp(x - top) @ np.ones(x.shape[1], x.dtype)
-    out = top + np.log(np.maximum(total, F32(1e-30)))
-    low = np.flatnonzero(total < 1e-20)
-    if len(low):
-        own = x[low].max(1)
-        out[low] = own + np.log(np.exp(x[low] - own[:, None]).sum(1))
-    return out
+    """Of each row; x is overwritten."""
+    top, sums = _exp(x)
+    return top + np.log(sums)
 
 
 def train(p: Params, sequences: list[np.ndarray], end: int, rate: float = 0.08) -> Params:
@@ -145,69 +191,63 @@ def train(p: Params, sequences: list[np.ndarray], end: int, rate: float = 0.08)
 
 def _window(p: Params, inputs: np.ndarray, targets: np.ndarray, inside: np.ndarray, h: np.ndarray):
     """The state after a window, and the gradients of its mean loss; sparse ones as (rows, gradient)."""
-    steps, rows = inputs.shape
-    hs, size = HIDDEN, len(p["bo"]) // CLASSES
-    g = p["x"][inputs] + p["b"]
-    kept, states = [], np.zeros((steps, rows, hs), F32)
-    for t in range(steps):
-        hu = h @ p["u"]
-        zr = sigmoid(g[t, :, : 2 * hs] + hu[:, : 2 * hs])
-        z, r = zr[:, :hs], zr[:, hs:]
-        n = np.tanh(g[t, :, 2 * hs :] + r * hu[:, 2 * hs :])
-        kept.append((h, z, r, n, hu[:, 2 * hs :]))
-        h = n + z * (h - n)
-        states[t] = h
+    count, rows = inputs.shape
+    size = HIDDEN
+    states, zr, n, hn = steps(p, p["x"][inputs] + p["b"], h)
     at = np.flatnonzero(inside.ravel())
-    s, y = states.reshape(-1, hs)[at], targets.ravel()[at]
-    order = np.argsort(y, kind="stable")
-    at, s, y = at[order], s[order], y[order]
-    weight = F32(1 / len(y))
-    cls = y // size
-    d = _softmax(s @ p["wc"] + p["bc"])
+    y = targets.ravel()[at]
+    order = _order(y)
+    at, y = at[order], y[order]
+    s = states.reshape(-1, size)[at]
+    weight = s.dtype.type(1 / len(y))
+    cls, several = _classes(p, y)
+    logits = s @ p["wc"]
+    logits += p["bc"]
+    d = _softmax(logits)
     d[np.arange(len(cls)), cls] -= 1
-    d *= weight
     ds = d @ p["wc"].T
     grads: dict = {"wc": s.T @ d, "bc": d.sum(0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
-    cut = np.searchsorted(cls, np.arange(CLASSES + 1))
-    for c in np.flatnonzero(np.diff(cut)).tolist():
-        a, own = slice(cut[c], cut[c + 1]), slice(c * size, (c + 1) * size)
-        e = _softmax(s[a] @ p["wo"][own].T + p["bo"][own])
-        e[np.arange(a.stop - a.start), y[a] - c * size] -= 1
-        e *= weight
+    for a, own in several:
+        logits = s[a] @ p["wo"][own].T
+        logits += p["bo"][own]
+        e = _softmax(logits)
+        e[np.arange(a.stop - a.start), y[a] - own.start] -= 1
         ds[a] += e @ p["wo"][own]
         grads["wo"][own] = e.T @ s[a]
         grads["bo"][own] = e.sum(0)
-    back = np.zeros((steps * rows, hs), F32)
+    for gr in grads.values():
+        gr *= weight
+    ds *= weight
+    back = np.zeros((count * rows, size), s.dtype)
     back[at] = ds
-    back = back.reshape(steps, rows, hs)
-    dg = np.zeros((steps, rows, 3 * hs), F32)
-    du = np.zeros_like(p["u"])
-    dh = np.zeros((rows, hs), F32)
-    for t in reversed(range(steps)):
-        before, z, r, n, hn = kept[t]
-        dh = dh + back[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * hn * r * (1 - r)
-        dg[t] = np.concatenate([dz, dr, dn], 1)
-        dhu = np.concatenate([dz, dr, dn * r], 1)
-        du += before.T @ dhu
-        dh = dh * z + dhu @ p["u"].T
+    back = back.reshape(count, rows, size)
+
+    z, r = zr[..., :size], zr[..., size:]
+    before = np.concatenate([h[None], states[:-1]])
+    to_z, to_n, to_r = (before - n) * (z * (1 - z)), (1 - z) * (1 - n * n), hn * (r * (1 - r))
+    dg = np.empty((count, rows, 3 * size), s.dtype)
+    dhu = np.empty_like(dg)
+    dh, turned = np.zeros((rows, size), s.dtype), np.ascontiguousarray(p["u"].T)
+    for t in reversed(range(count)):
+        dh += back[t]
+        dn = dh * to_n[t]
+        np.multiply(dh, to_z[t], out=dg[t, :, :size])
+        np.multiply(dn, to_r[t], out=dg[t, :, size : 2 * size])
+        dg[t, :, 2 * size :] = dn
+        dhu[t, :, : 2 * size] = dg[t, :, : 2 * size]
+        np.multiply(dn, r[t], out=dhu[t, :, 2 * size :])
+        dh *= z[t]
+        dh += dhu[t] @ turned
     flat = inputs.ravel()
-    order = np.argsort(flat, kind="stable")
-    used, first = np.unique(flat[order], return_index=True)
-    dx = np.add.reduceat(dg.reshape(-1, 3 * hs)[order], first, 0)
-    grads |= {"u": du, "b": dg.sum((0, 1)), "x": (used, dx)}
-    return h, grads
+    order = _order(flat)
+    own = flat[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    flat_dg = dg.reshape(-1, 3 * size)
+    grads |= {"u": before.reshape(-1, size).T @ dhu.reshape(-1, 3 * size), "b": flat_dg.sum(0), "x": (own[first], np.add.reduceat(flat_dg[order], first, 0))}
+    return states[-1], grads
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    """Of each row; shifted as in _logsumexp."""
-    out = np.exp(x - x.max())
-    total = out @ np.ones(x.shape[1], x.dtype)
-    low = np.flatnonzero(total < 1e-20)
-    if len(low):
-        out[low] = np.exp(x[low] - x[low].max(1, keepdims=True))
-        total[low] = out[low].sum(1)
-    out /= total[:, None]
-    return out
+    """Of each row, in place."""
+    x /= _exp(x)[1][:, None]
+    return x
