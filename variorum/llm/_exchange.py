@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from variorum.llm._shared import tidy_group
+
 #: Bytes of text whose hashes one bucket takes, about.
 BUCKET_BYTES = 8 << 20
 PACKED = "bucket long, chunk long, hashes binary, places binary, anchors binary"
@@ -149,5 +151,5 @@ def _home(table: pa.Table) -> pa.Table:
 
 def repeated(packed: DataFrame, wide: bool, anchored: bool) -> DataFrame:
     """(key1, key2, marks) of each document with a place whose hash occurs in another place too."""
-    met = packed.groupBy("bucket").applyInArrow(_meet(wide, anchored), "chunk long, directory binary, places binary")
-    return met.groupBy("chunk").applyInArrow(_home, MARKS)
+    met = packed.groupBy("bucket").applyInArrow(tidy_group(_meet(wide, anchored)), "chunk long, directory binary, places binary")
+    return met.groupBy("chunk").applyInArrow(tidy_group(_home), MARKS)

@@ -17,14 +17,15 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-CHUNK_BYTES = 1 << 20
+#: Bytes of rows that are worked on together, and of those whose words are hashed at once.
+CHUNK_BYTES, HASH_BYTES = 1 << 20, 1 << 18
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = max(n, HASH_BYTES + 1)
         inverse = pow(base, -1, 1 << 64)
         up, down = np.full(size, base, U64), np.full(size, inverse, U64)
         up[0] = down[0] = 1
@@ -125,8 +126,8 @@ def words(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet) -> Words:
         closes[tail] = member[tail]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     hashes, i = np.empty(len(starts), U64), 0
-    while i < len(starts):  # one round, but for a row of more than CHUNK_BYTES
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, side="right")))
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + HASH_BYTES, side="right")))
         a, b = starts[i], ends[j - 1]
         up, down = powers(_BASE, b - a + 1)
         sums = np.zeros(b - a + 1, U64)

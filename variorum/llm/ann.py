@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from variorum.llm._shared import materialize
+from variorum.llm._shared import materialize, tidy, tidy_both
 
 #: Tables, and buckets that a query probes in each.
 TABLES, PROBES = 8, 12
@@ -156,17 +156,17 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, tables: int = T
     spark = embeddings.sparkSession
     given = embeddings.select(F.col("vec_id").cast("long"), "embedding")
     few = lambda n: F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, n)  # noqa: E731  a list a batch, each of n ids at most
-    classes = materialize(given.mapInArrow(_valid(k + 1, None), "vec binary, ids array<long>").groupBy("vec").agg(few(k + 1).alias("ids")))
-    asked = materialize(given.where(F.col("vec_id") % every == 0).mapInArrow(_valid(0, every), "vec binary, ids array<long>").select("vec", F.explode("ids").alias("query_id")).distinct())
+    classes = materialize(given.mapInArrow(tidy(_valid(k + 1, None)), "vec binary, ids array<long>").groupBy("vec").agg(few(k + 1).alias("ids")))
+    asked = materialize(given.where(F.col("vec_id") % every == 0).mapInArrow(tidy(_valid(0, every)), "vec binary, ids array<long>").select("vec", F.explode("ids").alias("query_id")).distinct())
     heads = asked.groupBy("vec").agg(F.min("query_id").alias("q"))
     members = materialize(asked.join(heads, "vec").select("query_id", "q", "vec"))
     heads = members.where("query_id = q").select("q", "vec")
 
-    keys = classes.select("vec").mapInArrow(_hashed(tables, 1, []), "key long").groupBy("key").count()
+    keys = classes.select("vec").mapInArrow(tidy(_hashed(tables, 1, [])), "key long").groupBy("key").count()
     parts = F.broadcast(keys.select("key", F.ceil(F.col("count") / PART).cast("int").alias("parts")))  # 2 * tables * dimension rows at most
-    index = classes.mapInArrow(_hashed(tables, 1, ["vec", "ids"]), "key long, vec binary, ids array<long>").join(parts, "key").withColumn("part", F.pmod(F.xxhash64("vec"), F.col("parts").cast("long")).cast("int"))
-    probed = heads.mapInArrow(_hashed(tables, probes, ["vec", "q"]), "key long, vec binary, q long").join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = index.select("key", "part", "vec", "ids").groupBy("key", "part").cogroup(probed.select("key", "part", "vec", "q").groupBy("key", "part")).applyInArrow(_search(k + 1), _FOUND)
+    index = classes.mapInArrow(tidy(_hashed(tables, 1, ["vec", "ids"])), "key long, vec binary, ids array<long>").join(parts, "key").withColumn("part", F.pmod(F.xxhash64("vec"), F.col("parts").cast("long")).cast("int"))
+    probed = heads.mapInArrow(tidy(_hashed(tables, probes, ["vec", "q"])), "key long, vec binary, q long").join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = index.select("key", "part", "vec", "ids").groupBy("key", "part").cogroup(probed.select("key", "part", "vec", "q").groupBy("key", "part")).applyInArrow(tidy_both(_search(k + 1)), _FOUND)
     found = materialize(_best(met, k))
 
     ids = classes.select(F.col("vec").alias("v"), F.size("ids").alias("n")).groupBy(F.length("v").alias("size")).agg(F.sum("n").alias("most"))
@@ -175,7 +175,7 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, tables: int = T
     n = -(-short.count() // BLOCK)
     for b in range(n):
         block = spark.sparkContext.broadcast([(r.q, bytes(r.vec)) for r in short.where(F.pmod(F.xxhash64("q"), F.lit(n)) == b).collect()])  # about BLOCK rows
-        found = materialize(found.union(_best(classes.mapInArrow(_exact(block, k + 1), _FOUND), k)))
+        found = materialize(found.union(_best(classes.mapInArrow(tidy(_exact(block, k + 1)), _FOUND), k)))
     named = _best(found, k).join(members.select("query_id", "q"), "q").where("query_id <> vec_id")
     every_vector = named.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

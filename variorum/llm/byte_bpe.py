@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
+from variorum.llm._shared import tidy
+
 #: Bytes of text whose distinct words are encoded together, about.
 GROUP_BYTES = 4 << 20
 #: Bytes that a vocabulary file may have: it is sent to every executor.
@@ -274,7 +276,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, whole: bool) -> DataFrame
     out = StructType([packed.schema["row"]])
     out = out.add("ids", ArrayType(IntegerType())) if whole else out.add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType())
     vocabulary = docs.sparkSession.sparkContext.broadcast(read_ranks(path))  # of a checked size
-    return packed.mapInArrow(_code(pattern, vocabulary, whole), out)
+    return packed.mapInArrow(tidy(_code(pattern, vocabulary, whole)), out)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

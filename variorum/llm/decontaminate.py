@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from variorum.llm._grams import ALNUM_LOWER, Words, chunks, column_bytes, grams, words
-from variorum.llm._shared import materialize
+from variorum.llm._shared import materialize, tidy
 
 #: Bytes of benchmark text that one block, hence one broadcast, may hold.
 BLOCK_BYTES = 8 << 20
@@ -163,7 +163,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, bloc
     for b, block in enumerate(blocks):
         items = [(r.label, r.text) for r in block.collect()]  # about block_bytes
         index = docs.sparkSession.sparkContext.broadcast(Index(items, span, k))
-        out = out.mapInArrow(_mark(index, b > 0), schema)
+        out = out.mapInArrow(tidy(_mark(index, b > 0)), schema)
         if b + 1 < len(blocks):  # one block at a time is on the executors
             out = materialize(out)
             index.destroy()

@@ -33,7 +33,7 @@ from pyspark.sql.types import DoubleType, LongType, StructType
 from variorum.llm import _exchange as ex
 from variorum.llm import _gru as gru
 from variorum.llm._grams import SPACED_LOWER, chunks, column_bytes, slices, words
-from variorum.llm._shared import materialize
+from variorum.llm._shared import materialize, tidy, tidy_both, tidy_group
 from variorum.llm.toxicity import remainder
 
 #: Words whose counts are broadcast, and symbols of the network: fixed bounds.
@@ -135,7 +135,7 @@ def _tally(counts: DataFrame, values) -> list[tuple[int, int]]:
                 found, times = np.unique(values(ex.unplanes(a, np.uint64), ex.unplanes(b, np.int64)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(times.astype(np.int64))], names=["value", "n"])
 
-    sizes = counts.select("hashes", "counts").mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    sizes = counts.select("hashes", "counts").mapInArrow(tidy(run), "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
     return [(r["value"], r["n"]) for r in sizes.collect()]
 
 
@@ -172,7 +172,7 @@ def common_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         own = _levels(n)
         return (own >= level) | ((own == high) & (n >= least)) | ((n == last) & (_part(h) >= part))
 
-    found = counts.select("hashes", "counts").mapInArrow(_pick(choose), "hash long, n long").toArrow()  # COMMON rows at most
+    found = counts.select("hashes", "counts").mapInArrow(tidy(_pick(choose)), "hash long, n long").toArrow()  # COMMON rows at most
     h, n = found["hash"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.lexsort((h, -n))
     return h[order], n[order]
@@ -293,17 +293,17 @@ def fit(train: DataFrame, vocabulary, params: gru.Params) -> bytes:
     """Parameters after ROUNDS rounds of parallel learners, which share all training documents; each is in one round."""
     spark = train.sparkSession
     keyed = train.select(F.xxhash64("doc_id", "text").alias("deal"), "text")
-    symbols = materialize(keyed.mapInArrow(_symbols_only(vocabulary), "deal long, symbols binary"))
+    symbols = materialize(keyed.mapInArrow(tidy(_symbols_only(vocabulary)), "deal long, symbols binary"))
     tokens = symbols.agg(F.sum(F.length("symbols") / 2)).first()[0] or 0
     learners = int(tokens // LEARNER_TOKENS) + 1
     slot = F.pmod("deal", F.lit(learners * ROUNDS))
     dealt = symbols.select("symbols", (slot % ROUNDS).alias("round"), F.floor(slot / ROUNDS).alias("learner"))
     packed = gru.pack(params)
     for r in range(ROUNDS):
-        rows = dealt.where(F.col("round") == r).drop("round").groupBy("learner").applyInArrow(_learn(vocabulary, spark.sparkContext.broadcast(packed), r), "learner long, tokens long, params binary")
+        rows = dealt.where(F.col("round") == r).drop("round").groupBy("learner").applyInArrow(tidy_group(_learn(vocabulary, spark.sparkContext.broadcast(packed), r)), "learner long, tokens long, params binary")
         rows, n = materialize(rows), learners
         while n > 1:  # averages of 16 at a time, so no task holds more
-            rows = rows.groupBy((F.col("learner") / 16).cast("long").alias("learner_group")).applyInArrow(_average, "learner long, tokens long, params binary")
+            rows = rows.groupBy((F.col("learner") / 16).cast("long").alias("learner_group")).applyInArrow(tidy_group(_average), "learner long, tokens long, params binary")
             rows, n = materialize(rows.withColumn("learner", (F.col("learner") / 16).cast("long"))), -(-n // 16)
         found = rows.first()
         packed = bytes(found["params"]) if found else packed
@@ -343,7 +343,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     docs = docs.select("doc_id", "text")
     train = docs.where(~out_of)
     buckets = ex.buckets_for(docs)
-    counts = materialize(train.select("text").mapInArrow(_count(buckets), _PARTIAL).groupBy("bucket").applyInArrow(_sum_counts, _PARTIAL + ", tokens long, kinds long, levels array<struct<level:long,n:long>>"))
+    counts = materialize(train.select("text").mapInArrow(tidy(_count(buckets)), _PARTIAL).groupBy("bucket").applyInArrow(tidy_group(_sum_counts), _PARTIAL + ", tokens long, kinds long, levels array<struct<level:long,n:long>>"))
     totals = counts.agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     ends = train.count()
     found = Vocabulary.of(*common_words(counts), ends, (totals.tokens or 0) + ends, (totals.kinds or 0) + (ends > 0))
@@ -351,10 +351,10 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     params = spark.sparkContext.broadcast(fit(train, vocabulary, gru.start(found.symbol_counts)))
 
     keyed = docs.select(F.struct("doc_id").alias("row"), "text", F.xxhash64("doc_id").alias("key1"), F.xxhash64("text", "doc_id").alias("key2"))
-    rare = keyed.drop("row").mapInArrow(_rare(vocabulary, buckets), "bucket long, chunk long, hashes binary, owners binary, times binary")
-    met = rare.groupBy("bucket").cogroup(counts.select("bucket", "hashes", "counts").groupBy("bucket")).applyInArrow(_look_up, _SUMS)
-    sums = met.groupBy("chunk").applyInArrow(_home, "key1 long, key2 long, rare_log double, rare_known long").dropDuplicates(["key1", "key2"])
-    own = keyed.mapInArrow(_score(vocabulary, params), StructType([keyed.schema["row"], keyed.schema["key1"], keyed.schema["key2"], *_SCORED.fields]))
+    rare = keyed.drop("row").mapInArrow(tidy(_rare(vocabulary, buckets)), "bucket long, chunk long, hashes binary, owners binary, times binary")
+    met = rare.groupBy("bucket").cogroup(counts.select("bucket", "hashes", "counts").groupBy("bucket")).applyInArrow(tidy_both(_look_up), _SUMS)
+    sums = met.groupBy("chunk").applyInArrow(tidy_group(_home), "key1 long, key2 long, rare_log double, rare_known long").dropDuplicates(["key1", "key2"])
+    own = keyed.mapInArrow(tidy(_score(vocabulary, params)), StructType([keyed.schema["row"], keyed.schema["key1"], keyed.schema["key2"], *_SCORED.fields]))
     both = own.join(sums, ["key1", "key2"], "left").select("row.doc_id", *_SCORED.names, F.coalesce("rare_log", F.lit(0.0)).alias("rare_log"), F.coalesce("rare_known", F.lit(0)).alias("rare_known"))
     end_log, seen = float(np.log10(ends + 1)), int(ends > 0)
     unit, tail = float(np.log10(found.tokens + found.distinct + 1)), float(np.log10(found.tail + 1))

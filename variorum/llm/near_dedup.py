@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from variorum.llm import _exchange as ex
 from variorum.llm._components import components
 from variorum.llm._grams import SPACED_LOWER, Words, chunks, column_bytes, grams, mix, words
-from variorum.llm._shared import materialize
+from variorum.llm._shared import materialize, tidy, tidy_group
 
 #: Classes and shingles that a block of a cluster holds, about.
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 20
@@ -195,8 +195,8 @@ def promising(sets: DataFrame, threshold: Fraction, buckets: int) -> DataFrame:
     """
     p, q = threshold.numerator, threshold.denominator
     level = lambda n: F.floor(F.log2(F.greatest(n, F.lit(1))) * 16).cast("int")
-    marks = ex.repeated(sets.select("cluster", "key", "n", "shingles").mapInArrow(ex.pack(_places, buckets, False), ex.PACKED), False, False)
-    support = marks.mapInArrow(_supports, "cluster long, key long, support long").dropDuplicates(["cluster", "key"])
+    marks = ex.repeated(sets.select("cluster", "key", "n", "shingles").mapInArrow(tidy(ex.pack(_places, buckets, False)), ex.PACKED), False, False)
+    support = marks.mapInArrow(tidy(_supports), "cluster long, key long, support long").dropDuplicates(["cluster", "key"])
     known = sets.select("cluster", "rep", "key", "n").join(support, ["cluster", "key"]).where(F.col("support") * q >= F.col("n") * p)
     most = F.floor(F.col("support") * (p + q) / p) - F.col("n")  # the size of a linked set
     known = materialize(known.select("cluster", "rep", "n", most.alias("most")))
@@ -299,7 +299,7 @@ def links_within(sets: DataFrame, kept: DataFrame, threshold: Fraction, k: int)
     places = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.array("own", F.pmod(F.col("own") + 1, F.col("blocks"))))
     near = sets.select("rep", "shingles").join(cut.select("cluster", "rep", F.explode(places).alias("place")).hint("merge"), "rep")
     compare = _compare(threshold, k)
-    first = materialize(near.groupBy("cluster", "place").applyInArrow(compare, "a long, b long"))
+    first = materialize(near.groupBy("cluster", "place").applyInArrow(tidy_group(compare), "a long, b long"))
     joined = components(first)
 
     wide = cut.where("blocks > 2")
@@ -315,7 +315,7 @@ def links_within(sets: DataFrame, kept: DataFrame, threshold: Fraction, k: int)
     dealt = every.select("cluster", "rep", "label", each("parts").alias("part"), "own", F.lit(False).alias("apart")).union(some)
     dealt = dealt.groupBy("cluster", "part", "own", "rep", "label").agg(F.max("apart").alias("apart"))  # a class that is on both sides once
     far = sets.select("rep", "shingles").join(dealt.hint("merge"), "rep")
-    second = far.groupBy("cluster", "part", "own").applyInArrow(compare, "a long, b long")
+    second = far.groupBy("cluster", "part", "own").applyInArrow(tidy_group(compare), "a long, b long")
     return components(first.union(second))
 
 
@@ -328,16 +328,16 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5), shing
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sketches = materialize(docs.mapInArrow(_sketch(shingle, k), "doc_id long, n_shingles long, key1 long, key2 long, sketch binary"))
+    sketches = materialize(docs.mapInArrow(tidy(_sketch(shingle, k)), "doc_id long, n_shingles long, key1 long, key2 long, sketch binary"))
     classes = sketches.where("n_shingles > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     known = classes.where("rep is not null").select("rep", "n", "sketch")
     buckets = ex.buckets_for(docs)
-    lists = materialize(known.mapInArrow(_lists(threshold, buckets), "bucket long, keys binary, owners binary"))
-    over = lists.where("bucket >= 0").groupBy("bucket").applyInArrow(_overlaps, "a long, b long")
-    links = over.union(lists.where("bucket < 0").mapInArrow(_local_links, "a long, b long")).distinct()
+    lists = materialize(known.mapInArrow(tidy(_lists(threshold, buckets)), "bucket long, keys binary, owners binary"))
+    over = lists.where("bucket >= 0").groupBy("bucket").applyInArrow(tidy_group(_overlaps), "a long, b long")
+    links = over.union(lists.where("bucket < 0").mapInArrow(tidy(_local_links), "a long, b long")).distinct()
     clusters = components(links).select(F.col("component").alias("cluster"), F.col("node").alias("rep"))
     texts = docs.join(clusters.hint("merge"), docs["doc_id"] == clusters["rep"]).select("cluster", "rep", "text")
-    sets = texts.mapInArrow(_sets(shingle), "cluster long, rep long, n long, shingles binary")
+    sets = texts.mapInArrow(tidy(_sets(shingle)), "cluster long, rep long, n long, shingles binary")
     sets = materialize(sets.withColumn("key", F.xxhash64("rep", "shingles")))
     near = links_within(sets, promising(sets, threshold, buckets), threshold, k)
     named = classes.select("key1", "key2", "rep").join(near.withColumnRenamed("node", "rep"), "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("component"))

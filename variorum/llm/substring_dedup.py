@@ -31,7 +31,7 @@ from pyspark.sql.types import StructType
 
 from variorum.llm import _exchange as ex
 from variorum.llm._grams import SPACED, chunks, column_bytes, grams, join_words, words
-from variorum.llm._shared import materialize
+from variorum.llm._shared import materialize, tidy
 
 #: Probes are located to so many words; a hit is extended from all of them.
 _GRAIN = 8
@@ -122,10 +122,10 @@ def _repeats(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
     columns = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     keyed = docs.select(F.struct(*columns).alias("row"), "text", F.xxhash64("doc_id").alias("key1"), F.xxhash64("text", "doc_id").alias("key2"))
     n = ex.buckets_for(docs)
-    hits = materialize(ex.repeated(keyed.drop("row").mapInArrow(ex.pack(_probes(block), n, False), ex.PACKED), False, True).dropDuplicates(_KEYS))
+    hits = materialize(ex.repeated(keyed.drop("row").mapInArrow(tidy(ex.pack(_probes(block), n, False)), ex.PACKED), False, True).dropDuplicates(_KEYS))
     # with row, so that _applied can use the same shuffle of the texts; sorted, so that a repeated task makes the same chunks
     near = keyed.join(hits, _KEYS).sortWithinPartitions(*_KEYS)
-    return keyed, ex.repeated(near.mapInArrow(ex.pack(_windows(span, block), n, True), ex.PACKED), True, False).dropDuplicates(_KEYS)
+    return keyed, ex.repeated(near.mapInArrow(tidy(ex.pack(_windows(span, block), n, True)), ex.PACKED), True, False).dropDuplicates(_KEYS)
 
 
 def _applied(docs: DataFrame, span: int, texts: bool) -> DataFrame:
@@ -133,7 +133,7 @@ def _applied(docs: DataFrame, span: int, texts: bool) -> DataFrame:
     both = keyed.join(marks, _KEYS, "left").select("row", "text", "marks")
     schema = StructType([keyed.schema["row"], *([keyed.schema["text"]] if texts else [])])
     schema = schema.add("n_words", "long").add("n_removed", "long").add("made", "string")
-    return both.mapInArrow(_cut(span, texts), schema)
+    return both.mapInArrow(tidy(_cut(span, texts)), schema)
 
 
 def digest(docs: DataFrame, span: int = 35) -> DataFrame:

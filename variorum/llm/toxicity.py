@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from variorum.llm._grams import chunks, column_bytes
+from variorum.llm._shared import tidy
 
 BITS = 20
 SIZES = (4, 5)
@@ -157,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds:
     sample = F.broadcast(one(0).union(one(1)))  # 2 * per_class ids at most
     docs = docs.select("doc_id", "text")
     texts = docs.join(sample, docs["doc_id"] == sample["labelled"]).select(F.col("toxic").cast("int"), "text")
-    found = texts.mapInArrow(_features, "toxic int, features binary").toArrow()
+    found = texts.mapInArrow(tidy(_features), "toxic int, features binary").toArrow()
     sets = [np.frombuffer(x.as_buffer(), np.uint32) for chunk in found["features"].chunks for x in chunk]
     truth = found["toxic"].to_numpy() == 1
     order = sorted(range(len(sets)), key=lambda i: (truth[i], hashlib.blake2b(sets[i]).digest()))  # as rows come in any order
@@ -178,7 +179,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(found, pa.float64())], names=["row", "score"])
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    return packed.mapInArrow(run, StructType([packed.schema["row"], StructField("score", DoubleType())]))
+    return packed.mapInArrow(tidy(run), StructType([packed.schema["row"], StructField("score", DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

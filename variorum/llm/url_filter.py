@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from variorum.llm._grams import column_bytes
 from variorum.llm.toxicity import code_points
+from variorum.llm._shared import tidy
 
 # Verdict, host and path of the rules.
 RULES = [
@@ -192,4 +193,4 @@ def judge(pages: DataFrame, rules=RULES, labelled=LABELLED) -> DataFrame:
 
     host, path = host_and_path("url")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", host.alias("host"), path.alias("path")).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+    return pages.select("page_id", host.alias("host"), path.alias("path")).mapInArrow(tidy(run), f"page_id {kind}, host string, path string, rule string, verdict string, score double")

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from variorum.llm._shared import materialize, shared_path
+from variorum.llm._shared import materialize, shared_path, tidy
 
 #: Bytes of records in a frame, and of frames in a bundle, about.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 64 << 20
@@ -180,7 +180,7 @@ def archive(pages: DataFrame, least: int = 100, folder: str | None = None) -> Da
     first = some.select("digest", "part").join(first.select("digest", "first"), "digest")
     known = rows.join(first.hint("merge"), ["digest", "part"], "left")
     refers = F.when(long & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return materialize(known.select("page_id", "url", "payload", "digest", refers.alias("refers_to")).mapInArrow(_write(folder), INDEX))
+    return materialize(known.select("page_id", "url", "payload", "digest", refers.alias("refers_to")).mapInArrow(tidy(_write(folder)), INDEX))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +215,7 @@ def read(index: DataFrame) -> DataFrame:
     """The records that rows of an index name, read from their bundles, in tasks of about READ_BYTES of records."""
     tasks = (index.agg(F.sum("length")).first()[0] or 0) // READ_BYTES + 1  # the index is narrow: its own bytes say nothing
     near = index.repartition(tasks, "bundle", F.expr(f"frame div {READ_FRAMES}")).sortWithinPartitions("bundle", "frame", "offset")
-    return near.mapInArrow(_read, RECORD)
+    return near.mapInArrow(tidy(_read), RECORD)
 
 
 def digest(pages: DataFrame) -> DataFrame:
