@@ -29,6 +29,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the table that materialize() wrote for df; nothing may read it any more."""
+    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        delete(df.sparkSession, path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
