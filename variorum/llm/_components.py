@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from variorum.llm._shared import materialize
+from variorum.llm._shared import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,12 +16,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     ends = materialize(edges.where("a <> b").select("a", "b"))  # both directions must come from one evaluation
     both = materialize(ends.union(ends.select(F.col("b"), F.col("a"))).distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    discard(ends)
+    labels = now = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
         lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
         jump = labels.select(F.col("node").alias("at"), F.col("component").alias("next"))
-        now = materialize(lower.join(jump, F.col("c") == F.col("at")).select("node", F.least("c", "next").alias("component"), (F.least("c", "next") < F.col("old")).alias("moved")))
+        before, now = now, materialize(lower.join(jump, F.col("c") == F.col("at")).select("node", F.least("c", "next").alias("component"), (F.least("c", "next") < F.col("old")).alias("moved")))
+        discard(before)
         labels = now.select("node", "component")
         if now.where("moved").isEmpty():
+            discard(both)
             return labels

@@ -271,16 +271,33 @@ def linked(sets: list[np.ndarray], threshold: Fraction, k: int, label: np.ndarra
     return out
 
 
+def _stars(pairs: np.ndarray) -> np.ndarray:
+    """Rows (smallest number, other number) of each component that pairs make."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for x, y in pairs.tolist():
+        low, high = sorted((find(x), find(y)))
+        up[high] = low
+    return np.array([(find(x), x) for x in sorted(up) if find(x) != x], np.int64).reshape(-1, 2)
+
+
 def _compare(threshold: Fraction, k: int):
+    """Links of a table of sets, as stars of what they join: of reps, or of labels where sets have one."""
+
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("rep", "ascending")])  # rows come in any order; the forest must not depend on it
-        if table.num_rows < 2:
-            return _pairs(np.zeros(0), np.zeros(0))
-        rep = table["rep"].to_numpy()
-        label = table["label"].to_numpy() if "label" in table.column_names else None
-        side = table["apart"].to_numpy() if "apart" in table.column_names else None
-        pairs = linked([ex.unplanes(x, np.uint64) for x in table["shingles"].to_pylist()], threshold, k, label, side)
-        return _pairs(rep[[i for i, _ in pairs]], rep[[j for _, j in pairs]])
+        table = table.sort_by([("rep", "ascending")])  # rows come in any order; what is found must not depend on it
+        far = "label" in table.column_names
+        label, side = (table["label"].to_numpy(), table["apart"].to_numpy()) if far else (None, None)
+        name = label if far else table["rep"].to_numpy()
+        pairs = linked([ex.unplanes(x, np.uint64) for x in table["shingles"].to_pylist()], threshold, k, label, side) if len(name) > 1 else []
+        ends = _stars(name[np.array(pairs, np.int64).reshape(-1, 2)])
+        return pa.table({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1]), "wide": pa.array(np.full(len(ends), not far and table["blocks"][0].as_py() > 2))})
 
     return run
 
@@ -295,17 +312,17 @@ def links_within(sets: DataFrame, kept: DataFrame, threshold: Fraction, k: int)
     """(node, component) of the sets that have links; kept (cluster, rep, n) are those that are compared."""
     number = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks).cast("long")).cast("int")
     cut = materialize(_blocks(kept, "blocks").select("cluster", "rep", "n", "blocks", number("blocks").alias("own")))
-    # each block meets the next; two blocks meet in one place
+    # each block meets the next; two blocks meet in one place, which settles their cluster
     places = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.array("own", F.pmod(F.col("own") + 1, F.col("blocks"))))
-    near = sets.select("rep", "shingles").join(cut.select("cluster", "rep", F.explode(places).alias("place")).hint("merge"), "rep")
-    compare = _compare(threshold, k)
-    first = materialize(near.groupBy("cluster", "place").applyInArrow(tidy_group(compare), "a long, b long"))
-    joined = components(first)
-
+    near = sets.select("rep", "shingles").join(cut.select("cluster", "rep", "blocks", F.explode(places).alias("place")).hint("merge"), "rep")
+    compare, found = tidy_group(_compare(threshold, k)), "a long, b long, wide boolean"
+    first = materialize(near.groupBy("cluster", "place").applyInArrow(compare, found))
+    settled = first.where("not wide").select(F.col("b").alias("node"), F.col("a").alias("component"))
     wide = cut.where("blocks > 2")
     if wide.isEmpty():
-        return joined
-    named = joined.withColumnsRenamed({"node": "rep", "component": "label"})
+        return settled
+
+    named = components(first.where("wide")).withColumnsRenamed({"node": "rep", "component": "label"})
     labels = materialize(wide.join(named, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
     most = labels.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("common"))
     apart = materialize(_blocks(labels.join(most, "cluster").where("label <> common").select("cluster", "rep", "n", "label", "blocks", "own"), "parts"))
@@ -315,8 +332,9 @@ def links_within(sets: DataFrame, kept: DataFrame, threshold: Fraction, k: int)
     dealt = every.select("cluster", "rep", "label", each("parts").alias("part"), "own", F.lit(False).alias("apart")).union(some)
     dealt = dealt.groupBy("cluster", "part", "own", "rep", "label").agg(F.max("apart").alias("apart"))  # a class that is on both sides once
     far = sets.select("rep", "shingles").join(dealt.hint("merge"), "rep")
-    second = far.groupBy("cluster", "part", "own").applyInArrow(tidy_group(compare), "a long, b long")
-    return components(first.union(second))
+    second = components(far.groupBy("cluster", "part", "own").applyInArrow(compare, found)).withColumnRenamed("node", "label")
+    joined = labels.join(second, "label", "left").select(F.col("rep").alias("node"), F.coalesce("component", "label").alias("component"))
+    return settled.union(joined)
 
 
 def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5), shingle: int = 5, k: int = 80) -> DataFrame:
