@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from variorum.operators import reshape
-from variorum.storage import materialize
+from variorum.storage import discard, materialize
 
 TYPES = ("root", "version", "chapter", "sentence")
 # Colours and sizes of nodes in the view of a structure and of one version.
@@ -122,11 +122,17 @@ def dangling(g: Graph) -> DataFrame:
     return side("source").union(side("target"))
 
 
+def validation(g: Graph) -> DataFrame:
+    """One row (n_missing, error): ends of links that are no nodes, and what validate() would raise, or null."""
+    n = F.col("n_missing")
+    return dangling(g).agg(F.count("*").alias("n_missing")).withColumn("error", F.when(n > 0, F.concat(n.cast("string"), F.lit(" ends of links are no nodes"))))
+
+
 def validate(g: Graph) -> None:
     """An error with their number if ends of links are missing."""
-    n = dangling(g).count()
-    if n:
-        raise ValueError(f"{n} ends of links are no nodes")
+    error = validation(g).first()["error"]
+    if error:
+        raise ValueError(error)
 
 
 def roots(g: Graph) -> DataFrame:
@@ -181,13 +187,21 @@ def subgraph(g: Graph, start: str, depth: int, types: tuple[str, ...] | None = N
     return None if found.isEmpty() else induced(g, found)
 
 
-def is_acyclic(g: Graph) -> bool:
-    """Whether taking away nodes without incoming edges, again and again, leaves none."""
+def is_acyclic(g: Graph, n_components: int | None = None) -> bool:
+    """Whether the edges make no cycle.
+
+    Where the number of weak components is given, each node has at most one parent and no end is missing, counts
+    decide: such a graph is a forest if it has as many edges as nodes beyond one a component.  Else nodes without
+    incoming or without outgoing edges are taken away, again and again, until none is left or none goes.
+    """
     edges = materialize(g.edges.distinct())
     n = edges.count()
+    if n_components is not None and edges.groupBy("target").count().where("count > 1").isEmpty() and dangling(g).isEmpty():
+        return n == g.nodes.count() - n_components
     while n:
-        inner = edges.select(F.col("target").alias("source")).distinct()
-        edges = materialize(edges.join(inner, "source", "left_semi").select("source", "target"))
+        reached, left_from = edges.select(F.col("target").alias("source")).distinct(), edges.select(F.col("source").alias("target")).distinct()
+        before, edges = edges, materialize(edges.join(reached, "source", "left_semi").join(left_from, "target", "left_semi").select("source", "target"))
+        discard(before)
         left = edges.count()
         if left == n:
             return False
@@ -200,14 +214,16 @@ def weak_components(g: Graph) -> DataFrame:
     ends = g.edges.where("source <> target")
     both = materialize(ends.select("source", "target").union(ends.select("target", "source")).distinct())
     first = both.groupBy(F.col("source").alias("id")).agg(F.min("target").alias("low"))
-    labels = materialize(g.nodes.select("id").join(first, "id", "left").select("id", F.least("id", "low").alias("component")))
+    labels = now = materialize(g.nodes.select("id").join(first, "id", "left").select("id", F.least("id", "low").alias("component")))
     while True:
         near = both.join(labels, F.col("target") == F.col("id")).groupBy("source").agg(F.min("component").alias("low"))
         lower = labels.join(near, F.col("id") == F.col("source"), "left").select("id", F.col("component").alias("old"), F.least("component", "low").alias("c"))
         jump = labels.select(F.col("id").alias("at"), F.col("component").alias("next"))
-        now = materialize(lower.join(jump, F.col("c") == F.col("at")).select("id", F.least("c", "next").alias("component"), (F.least("c", "next") < F.col("old")).alias("moved")))
+        before, now = now, materialize(lower.join(jump, F.col("c") == F.col("at")).select("id", F.least("c", "next").alias("component"), (F.least("c", "next") < F.col("old")).alias("moved")))
+        discard(before)
         labels = now.select("id", "component")
         if now.where("moved").isEmpty():
+            discard(both)
             return labels
 
 
@@ -217,7 +233,7 @@ def statistics(g: Graph) -> DataFrame:
     n = weak_components(g).select("component").distinct().count()
     row = g.nodes.agg(F.count("*").alias("n_nodes")).join(g.edges.agg(F.count("*").alias("n_edges")))
     row = row.join(roots(g).agg(F.count("*").alias("n_roots"))).join(leaves(g).agg(F.count("*").alias("n_leaves")))
-    return row.select("n_nodes", "n_edges", F.lit(is_acyclic(g)).alias("is_acyclic"), F.lit(n == 1).alias("is_connected"), "n_roots", "n_leaves")
+    return row.select("n_nodes", "n_edges", F.lit(is_acyclic(g, n)).alias("is_acyclic"), F.lit(n == 1).alias("is_connected"), "n_roots", "n_leaves")
 
 
 def type_counts(g: Graph) -> DataFrame:
@@ -233,6 +249,17 @@ def chapters_per_version(g: Graph) -> DataFrame:
     return chapters.groupBy("version").agg(F.count("*").alias("n_chapters")).orderBy("version")
 
 
+def samples(g: Graph, n: int = 10) -> DataFrame:
+    """(kind, id, target): the first n leaves, versions, chapters and edges by id; target is null but for edges."""
+    none = F.lit(None).cast("string").alias("target")
+    first = lambda df: df.orderBy("id").limit(n)
+    named = [("leaf", leaves(g)), ("version", of_type(g, "version")), ("chapter", of_type(g, "chapter"))]
+    out = g.edges.select(F.lit("edge").alias("kind"), F.col("source").alias("id"), "target").orderBy("id", "target").limit(n)
+    for kind, nodes in named:
+        out = out.union(first(nodes.select(F.lit(kind).alias("kind"), "id", none)))
+    return out
+
+
 # Views
 
 

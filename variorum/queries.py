@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from variorum.functions import text
@@ -19,7 +19,8 @@ from variorum.operators.edit_script import edit_replay
 from variorum.operators.graph import Graph
 from variorum.sinks import files as sinks
 from variorum.sources import files as sources
-from variorum.sources.xlsx import read_xlsx
+from variorum.sources.annotator import answered
+from variorum.sources.xlsx import inferred, read_workbook, read_xlsx
 from variorum.storage import materialize, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -371,7 +372,7 @@ def node_relations(spark, sf_dir):
     return named("child", graph.children(g, "version_ASIA")).union(named("parent", graph.parents(g, "version_ASIA"))).union(named("neighbour", graph.neighbours(g, "version_ASIA")))
 
 
-@query(f"with {G} select source, target, a.type source_type, b.type target_type from edges join nodes a on a.id = source join nodes b on b.id = target")
+@query(f"with {G.replace('nodes as (', 'nodes as materialized (').replace('edges as (', 'edges as materialized (')} select source, target, a.type source_type, b.type target_type from edges join nodes a on a.id = source join nodes b on b.id = target")
 def edge_types(spark, sf_dir):
     return graph.enriched_edges(_graph(spark, sf_dir))
 
@@ -401,15 +402,14 @@ def node_styles(spark, sf_dir):
     return _graph(spark, sf_dir).nodes.select("id", graph.style(F.col("type")).alias("s")).select("id", "s.*")
 
 
-# Links of orders to customers, some of which there are not: a node-link graph that fails validation
-LINKED = "n as (select 'c' || c_custkey id from customer where c_custkey % 10 <> 0), l as (select 'o' || o_orderkey source, 'c' || o_custkey target from orders)"
+# Links from customers to keys of orders, many of which are no customer's: a node-link graph that fails validation
+LINKED = "n as (select 'c' || c_custkey id from customer), l as (select 'c' || o_custkey source, 'c' || o_orderkey target from orders)"
 
 
 def _links(spark, sf_dir) -> Graph:
-    c = _read(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
-    o = _read(spark, sf_dir, "orders")
-    key = lambda t, k: F.concat(F.lit(t), F.col(k).cast("string"))
-    return Graph(c, o.select(key("o", "o_orderkey").alias("source"), key("c", "o_custkey").alias("target")))
+    key = lambda k: F.concat(F.lit("c"), F.col(k).cast("string"))
+    c, o = _read(spark, sf_dir, "customer").select(key("c_custkey").alias("id")), _read(spark, sf_dir, "orders")
+    return Graph(c, o.select(key("o_custkey").alias("source"), key("o_orderkey").alias("target")))
 
 
 @query(f"with {LINKED} select source, target, 'source' missing from l where source not in (from n) union all select source, target, 'target' from l where target not in (from n)")
@@ -423,6 +423,63 @@ def node_link_nodes(spark, sf_dir):
     return graph.from_node_link(g.nodes, g.edges).nodes.select("id")
 
 
+@query(f"with {LINKED}, m as (select count(*) filter (source not in (from n)) + count(*) filter (target not in (from n)) k from l) select k n_missing, case when k > 0 then k || ' ends of links are no nodes' end error from m")
+def link_validation(spark, sf_dir):
+    return graph.validation(_links(spark, sf_dir))
+
+
+# Suppliers of a nation in a ring: cycles, and a component a nation
+RINGS = "n as (select 's' || s_suppkey id, s_nationkey k from supplier), l as (select 's' || s_suppkey source, 's' || coalesce(lead(s_suppkey) over (partition by s_nationkey order by s_suppkey), min(s_suppkey) over (partition by s_nationkey)) target from supplier)"
+
+
+def _rings(spark, sf_dir) -> Graph:
+    own = _read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), "s_suppkey", "s_nationkey")
+    nation = Window.partitionBy("s_nationkey")
+    after = F.coalesce(F.lead("s_suppkey").over(nation.orderBy("s_suppkey")), F.min("s_suppkey").over(nation))
+    return Graph(own.select("id"), own.select(F.col("id").alias("source"), F.concat(F.lit("s"), after.cast("string")).alias("target")))
+
+
+@query(f"with {RINGS} select (select count(*) from n) n_nodes, (select count(*) from l) n_edges, (select count(*) from l) = 0 is_acyclic, (select count(distinct k) from n) = 1 is_connected, 0::bigint n_roots, 0::bigint n_leaves")
+def ring_stats(spark, sf_dir):
+    return graph.statistics(_rings(spark, sf_dir))
+
+
+@query(f"with {RINGS} select id, min(id) over (partition by k) component from n")
+def ring_components(spark, sf_dir):
+    return graph.weak_components(_rings(spark, sf_dir).cached())
+
+
+@query(f"with {G}, e as (select 'edge' kind, source id, target from edges order by id, target limit 10), f as (select 'leaf' kind, id, null target from nodes where id not in (select source from edges) order by id limit 10), v as (select 'version' kind, id, null target from nodes where type = 'version' order by id limit 10), c as (select 'chapter' kind, id, null target from nodes where type = 'chapter' order by id limit 10) from e union all from f union all from v union all from c")
+def samples(spark, sf_dir):
+    return graph.samples(_graph(spark, sf_dir))
+
+
+@query(f"with {G} select id from nodes where type in ('root', 'version')")
+def structure_view_overflow(spark, sf_dir):
+    return graph.structure_view(_graph(spark, sf_dir).cached(), most_nodes=20).nodes.select("id")
+
+
+@query(f"with {G} select 'child' relation, target id from edges where source = 'version_ASIA' union all select 'parent', source from edges where target = 'version_ASIA' union all select 'node', 'version_ASIA'")
+def node_lookup(spark, sf_dir):
+    found = graph.lookup(_graph(spark, sf_dir), "version_ASIA")
+    named = lambda kind, ids: found.select(F.lit(kind).alias("relation"), ids.alias("id"))
+    return named("child", F.explode("children")).union(named("parent", F.explode("parents"))).union(named("node", F.col("node.id")))
+
+
+@query(f"with {G} select 'root' id, '树状图根节点' description union all select distinct 'version_' || version, '书本版本：' || version from w union all select distinct 'chapter_' || version || '_' || ch, '章节：第' || (ch + 1) || '章（编号：' || ch || '）' from w union all select distinct 'sentence_' || version || '_' || ch || '_' || s, '章节' || ch || '中的第' || (s + 1) || '句' from w")
+def descriptions(spark, sf_dir):
+    return _graph(spark, sf_dir).nodes.select("id", "description")
+
+
+WIDE = [f"c{i}" for i in range(14)]
+
+
+@query(f"select p_partkey, p_size, {', '.join(f"trim('，' || p_name || '。', {TRIM}) {c}" if i < 12 else f"'，' || p_name || '。' {c}" for i, c in enumerate(WIDE))} from part")
+def clean_columns(spark, sf_dir):
+    cell = F.concat(F.lit("，"), "p_name", F.lit("。"))
+    return text.clean_columns(_read(spark, sf_dir, "part").select("p_partkey", "p_size", *[cell.alias(c) for c in WIDE]))
+
+
 @query("select 913::bigint n_nodes, 924::bigint n_edges, 24::bigint n_dangling, 12::bigint n_isolated")
 def generator_graph(spark, sf_dir):
     g = graph.generated_corpus(spark)
@@ -437,17 +494,38 @@ def generator_tree(spark, sf_dir):
     return graph.levels(g, "node_0").select("id", "level")
 
 
-# Requests to external models, without their prompts
+# Requests to external models, and answers of a callable
+
+
+def _filled(template: str, *values: str) -> str:
+    """SQL of a template's text with values for its places."""
+    parts = ["'" + part.replace("'", "''") + "'" for part in template.split("%s")]
+    return " || ".join(x for pair in zip(parts, [*values, "''"], strict=True) for x in pair)
 
 
-@query(f"with recursive {SCRIPTS} select distinct chapter_number, sentence_number, a original_text, b modified_text, original_char, target_char from ops where type = 'replace'")
+@query(f"with recursive {SCRIPTS} select distinct chapter_number, sentence_number, a original_text, b modified_text, original_char, target_char, {_filled(cost.PROMPT, 'a', 'b', 'original_char', 'target_char')} prompt from ops where type = 'replace'")
 def cost_requests(spark, sf_dir):
-    return cost.requests(collate.collate(witness(spark, sf_dir))).drop("prompt")
+    return cost.requests(collate.collate(witness(spark, sf_dir)))
 
 
-@query(f"with {PAIRS} select {KEY_SQL}, count(*) n from prs where a <> b group by all")
+OBJECT = """'{"type":"' || type || '"' || coalesce(',"char":"' || char || '"', '') || coalesce(',"original_char":"' || original_char || '","target_char":"' || target_char || '"', '') || ',"position":' || position || '}'"""
+ASKED = [*KEYS, "a", "b", "levenshtein(a, b)", "'[' || t || ']'"]
+
+
+@query(f"with recursive {SCRIPTS}, o as (select id, string_agg({OBJECT}, ',' order by step) t from ops group by id) select {KEY_SQL}, {_filled(realign.PROMPT, *ASKED)} prompt from prs join o using (id)")
 def realign_requests(spark, sf_dir):
-    return realign.requests(collate.collate(witness(spark, sf_dir))).groupBy(*KEYS).agg(F.count("prompt").alias("n"))
+    return realign.requests(collate.collate(witness(spark, sf_dir)))
+
+
+@query("""select c_custkey, case when length(c_name) % 2 = 0 or c_custkey > 100 then '{"n":' || length(c_name) || '}' end content, case when length(c_name) % 2 = 1 and c_custkey <= 100 then 'TimeoutError: ' || c_name end error from (select c_custkey, case when c_custkey > 100 then c_name else c_name || repeat('x', cast(c_custkey % 2 as int)) end c_name from customer)""")
+def answers(spark, sf_dir):
+    def call(prompt: str) -> str:
+        if len(prompt) % 2 and int(prompt.split("#")[1].rstrip("x")) <= 100:
+            raise TimeoutError(prompt)
+        return f'{{"n":{len(prompt)}}}'
+
+    name = F.when(F.col("c_custkey") > 100, F.col("c_name")).otherwise(F.concat("c_name", F.repeat(F.lit("x"), (F.col("c_custkey") % 2).cast("int"))))
+    return answered(_read(spark, sf_dir, "customer").select("c_custkey", name.alias("prompt")), ["c_custkey"], call, parallel=4)
 
 
 # Files written and read back
@@ -474,6 +552,60 @@ def xlsx_round_trip(spark, sf_dir):
     return read_xlsx(spark, path)
 
 
+@query("select cast(s_suppkey as bigint) s_suppkey, s_name, cast(s_acctbal as double) s_acctbal from supplier")
+def xlsx_inferred_types(spark, sf_dir):
+    path = _scratch(spark, "supplier.xlsx")
+    sinks.write_xlsx(_read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), path)
+    return inferred(read_xlsx(spark, path))
+
+
+@query("select 'nations' sheet, cast(n_nationkey as varchar) key, n_name as name from nation union all select 'regions', cast(r_regionkey as varchar), r_name from region")
+def workbook_sheets(spark, sf_dir):
+    path = _scratch(spark, "places.xlsx")
+    sinks.write_workbook({"nations": _read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "regions": _read(spark, sf_dir, "region").select("r_regionkey", "r_name")}, path)
+    own = [df.toDF("key", "name").select(F.lit(s).alias("sheet"), "key", "name") for s, df in read_workbook(spark, path).items()]
+    return own[0].union(own[1])
+
+
+@query("select 3::bigint n_files, 'supplier' kind, cast(s_suppkey as varchar) key, s_name as name from supplier union all select 3, 'place', cast(n_nationkey as varchar), n_name from nation union all select 3, 'place', cast(r_regionkey as varchar), r_name from region")
+def folder_to_csv(spark, sf_dir):
+    """Workbooks of a folder as CSV files, a file a sheet; then those whose names match, read back."""
+    path = Path(_scratch(spark, "books"))
+    named = lambda table, key, name: _read(spark, sf_dir, table).select(F.col(key).alias("key"), F.col(name).alias("name"))
+    sinks.write_xlsx(named("supplier", "s_suppkey", "s_name"), str(path / "supplier.xlsx"))
+    sinks.write_workbook({"nations": named("nation", "n_nationkey", "n_name"), "regions": named("region", "r_regionkey", "r_name")}, str(path / "place.xlsx"))
+    n = sinks.folder_to_csv(spark, str(path))
+    found = [sources.read_matching(spark, str(path / "csv"), f"{kind}*.csv", "csv", header=True).select(F.lit(n).cast("long").alias("n_files"), F.lit(kind).alias("kind"), "key", "name") for kind in ("supplier", "place")]
+    return found[0].union(found[1])
+
+
+@query(f"with {G} select 'node' kind, id, type as detail from nodes union all select 'edge', source, target from edges")
+def graphml_round_trip(spark, sf_dir):
+    path = _scratch(spark, "graph.graphml")
+    sinks.write_graphml(_graph(spark, sf_dir), path)
+    own = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    nodes = own("node", "_id string, data array<struct<_VALUE:string,_key:string>>")
+    kind = F.get(F.filter("data", lambda d: d["_key"] == "type"), F.lit(0))["_VALUE"]
+    edges = own("edge", "_source string, _target string").select(F.lit("edge"), "_source", "_target")
+    return nodes.select(F.lit("node").alias("kind"), F.col("_id").alias("id"), kind.alias("detail")).union(edges)
+
+
+@query(f"with {G} select id, type as detail, (select count(*) from edges) n_edges from nodes")
+def gml_round_trip(spark, sf_dir):
+    path = _scratch(spark, "graph.gml")
+    sinks.write_gml(_graph(spark, sf_dir), path)
+    blocks = spark.read.option("lineSep", "]\n").text(path)
+    found = lambda name: F.regexp_extract("value", rf'\b{name} "([^"]*)"', 1)
+    n = blocks.agg(F.count_if(F.col("value").contains("edge [")).alias("n_edges"))
+    return blocks.where(F.col("value").contains("node [")).select(found("label").alias("id"), found("type").alias("detail")).join(n)
+
+
+@query("with recursive t(n, level) as (select 0, 0 union all select t.n + 1 + i * ([22, 7, 3, 1])[level + 1], level + 1 from t, range(0, 3) r(i) where level < 4 and i < ([3, 3, 2, 2])[level + 1]) select 'node_' || n id from t")
+def sample_in_place(spark, sf_dir):
+    """A file that is not there: the generated tree stands in."""
+    return sources.graph_or_sample(spark, lambda: sources.read_graph(spark, f"{sf_dir}/no-such-graph.json")).nodes.select("id")
+
+
 @query(f"with recursive {SCRIPTS}, n as (select id, count(*) n from ops group by 1) select {KEY_SQL}, a original_text, b modified_text, cast(levenshtein(a, b) as int) edit_distance, cast(coalesce(n, 0) as int) n_operations from prs left join n using (id)")
 def json_records_round_trip(spark, sf_dir):
     path = _scratch(spark, "pairs.json")

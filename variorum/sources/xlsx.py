@@ -3,6 +3,7 @@
 Options: ``path``, a file; ``sheet``, a name (default: the first); ``naValues``,
 comma-separated texts that count as missing (default: the empty text alone).
 All columns are strings, as the file has them; whole numbers have no point.
+``inferred`` gives columns of numbers their type.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from xml.etree import ElementTree
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructType
 
@@ -129,6 +131,15 @@ def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None, na_value
     return found
 
 
+def inferred(sheet: DataFrame) -> DataFrame:
+    """sheet with columns of whole numbers as long and of other numbers as double, in one pass over it; a column without values stays."""
+    kinds = {"long": r"-?[0-9]{1,18}", "double": r"-?[0-9]*\.?[0-9]+([eE][-+]?[0-9]+)?"}
+    tests = [F.min(F.col(f"`{c}`").rlike(rf"\A{pattern}\z")).alias(f"{k}.{i}") for i, c in enumerate(sheet.columns) for k, pattern in kinds.items()]
+    held = sheet.agg(*tests).first() if tests else {}
+    kind = lambda i: next((k for k in kinds if held[f"{k}.{i}"]), "string")
+    return sheet.select(*[F.col(f"`{c}`").cast(kind(i)).alias(c) for i, c in enumerate(sheet.columns)])
+
+
 def read_workbook(spark: SparkSession, path: str, sheets: list[str] | None = None) -> dict[str, DataFrame]:
     """Sheets by name: all, or the named ones, which must exist."""
     known = sheet_names(path)
