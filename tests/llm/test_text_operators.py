@@ -221,6 +221,17 @@ def test_decontamination(spark, docs, texts, items, block):
     assert sorted(repr(r.doc_id) for r in clean.collect()) == sorted(repr(r[0]) for r in brute_hits(texts, items, 10) if not r[5])
 
 
+def test_windows_that_many_items_share(spark):
+    shared = " ".join(f"s{i}" for i in range(30))
+    items = [(i % 50, shared if i < 60 else f"{shared} own{i}") for i in range(120)] + [(None, shared), (900, "s1 s2")]
+    texts = [(1, f"a b {shared} c"), (2, shared * 40), (3, "nothing s1 s2"), (4, None)]
+    df, benchmark = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (decontaminate.BLOCK_BYTES, 2000):
+        assert rows(decontaminate.digest(decontaminate.mark(df, benchmark, block_bytes=block))) == brute_hits(texts, items, 10)
+    index = decontaminate.Index([(str(i), t) for i, t in items if i is not None], 10, 5)
+    assert len(index.windows[10][0]) <= 21 + 60 and sum(map(len, index.sets)) < 1000
+
+
 def test_bpe(docs, texts):
     wanted = []
     for i, t in texts:
