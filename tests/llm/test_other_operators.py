@@ -166,6 +166,38 @@ def test_licences(spark, docs, no_docs):
     assert not re.search("Python|Pandas|Arrow|MapIn", plan)
 
 
+def brute_licences(text, found, idf):
+    w = [x.decode() for x in WORDS.findall((text or "").encode().lower())]
+    labels, score = set(), 0.0
+    for t in found:
+        rare = t.rare(idf)
+        own = [(i, x) for i, x in enumerate(t.words) if x in rare]
+        total = sum(idf[x] for _, x in own)
+        for s in range(len(w)):
+            begin = s - t.offset
+            share = sum(idf[x] for i, x in own if 0 <= begin + i < len(w) and w[begin + i] == x) / total
+            if share > 0 and w[s : s + len(t.phrase)] == list(t.phrase) and (t.base or share >= license_scan.SHARE):
+                labels.add(t.label)
+                score = max(score, 1.0 if t.base else min(share, 1.0))
+    return ",".join(sorted(labels)), score
+
+
+def test_labels_and_scores_of_licences(spark):
+    found = license_scan.templates()
+    r = random.Random(9)
+    texts = [sentences(i, 40) for i in range(20)] + ["", None]
+    for k, t in enumerate(found):
+        texts += [" ".join(t.words), f"{sentences(k, 9)} {' '.join(t.words).upper()} {sentences(k, 5)}", " ".join(t.words[: 2 * len(t.words) // 3]), " ".join(x for x in t.words if r.random() > 0.1), " ".join(t.phrase), " ".join((*t.words, *r.choice(found).words))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = license_scan.inverse_frequencies(df, found)
+    rows = license_scan.scan(df).collect()
+    assert len(rows) == len(texts) and sum(bool(x.labels) for x in rows) > 60
+    for x in rows:
+        labels, score = brute_licences(texts[x.doc_id], found, idf)
+        assert x.labels == labels and abs(x.score - score) < 1e-9
+    assert {x for row in rows for x in row.labels.split(",")} >= {t.label for t in found}
+
+
 # Language model
 
 

@@ -1,53 +1,41 @@
 """Licence scans by a positional index of rare tokens, in DataFrame functions alone.
 
-Templates are notices and phrases with a label.  Document frequencies of their
-words, over all documents, give each template its rarest words; these and their
-positions are the postings.  A text looks its words up in them, takes every
-posting as a guess of where the template starts, and intersects the guesses:
-those that agree on (template, start) are one candidate, weighed by the IDF of
-the words that agree.  A candidate counts if the template's mandatory phrase
-stands at its place, word by word, and enough weight agrees.
+Templates are notices and whole licence texts with a label.  Document
+frequencies of their words, over all documents, rank them; the rarest of each
+template and their positions are the postings.  A text looks up the words that
+it shares with the postings, rarest first, takes every posting as a guess of
+where a template starts, and intersects the guesses: those that agree on
+(template, start) are one candidate, weighed by the IDF of the words that
+agree.  A candidate counts if the template's mandatory phrase stands at its
+place, word by word, and enough weight agrees.
 
 The base phrases are templates whose phrase is the whole of them; any of their
 rare words is enough, so every place is found.
 
 Defined results: null and empty texts have no words, no places, empty labels
-and a score of 0; equal rows are scanned one by one; columns beside the named
-ones are ignored.
+and a score of 0; very long texts are scanned whole; words that tie in
+frequency rank by their letters; equal rows are scanned one by one; an empty
+table gives an empty one; columns beside the named ones are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from variorum.llm._licences import NOTICES
+
 # The phrases of the base scan with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Usual notices of further licences, the phrase that must stand in each, and their labels.
-NOTICES = [
-    ("released under the mit license", "mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge", "mit"),
-    ("licensed under the apache license version 2 0", "apache license version", "apache"),
-    ("licensed under the gnu general public license version", "gnu general public license", "gpl"),
-    ("licensed under the gnu lesser general public license", "lesser general public license", "lgpl"),
-    ("licensed under the gnu affero general public license", "affero general public license", "agpl"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms", "bsd"),
-    ("subject to the terms of the mozilla public license", "mozilla public license", "mpl"),
-    ("licensed under the eclipse public license", "eclipse public license", "epl"),
-    ("licensed under cc by 4 0", "cc by 4 0", "cc-by"),
-    ("licensed under cc by sa 4 0", "cc by sa", "cc-by-sa"),
-    ("licensed under cc by nc 4 0", "cc by nc", "cc-by-nc"),
-    ("licensed under a creative commons attribution 4 0 international license", "creative commons attribution", "cc-by"),
-    ("this is free and unencumbered software released into the public domain", "free and unencumbered software", "unlicense"),
-]
-
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rare words of a template that are looked up, and the share of their weight that must agree.
-RARE, SHARE = 3, 0.6
+#: Rare words of a short and of a long template that are posted, words of a long one, and the share of their weight that must agree.
+RARE, RARE_OF_LONG, LONG, SHARE = 3, 8, 24, 0.6
 
 
 @dataclass(frozen=True)
@@ -57,6 +45,10 @@ class Template:
     label: str
     base: bool
 
+    def rare(self, idf: dict[str, float]) -> list[str]:
+        """Its rarest words."""
+        return sorted(set(self.words), key=lambda w: (-idf[w], w))[: RARE_OF_LONG if len(self.words) > LONG else RARE]
+
     @property
     def offset(self) -> int:
         n = len(self.phrase)
@@ -65,7 +57,7 @@ class Template:
 
 def templates() -> list[Template]:
     base = [Template(tuple(p.split()), tuple(p.split()), label, True) for p, label in BASE.items()]
-    return base + [Template(tuple(t.split()), tuple(p.split()), label, False) for t, p, label in NOTICES]
+    return base + [Template(tuple(re.findall(WORD, t.lower())), tuple(p.split()), label, False) for t, p, label in NOTICES]
 
 
 def _words(text: str) -> Column:
@@ -90,8 +82,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each document."""
     found = templates()
     idf = inverse_frequencies(docs, found)
-    rare = [sorted(set(t.words), key=lambda w: (-idf[w], w))[:RARE] for t in found]
-    lookup = sorted({w for ws in rare for w in ws})
+    rare = [t.rare(idf) for t in found]
+    lookup = sorted({w for ws in rare for w in ws}, key=lambda w: (-idf[w], w))  # rarest first, and so are a text's own
     number = {w: i for i, w in enumerate(lookup)}
     postings: list[list[tuple[int, int, float]]] = [[] for _ in lookup]
     for k, (t, ws) in enumerate(zip(found, rare, strict=True)):
@@ -103,10 +95,13 @@ def scan(docs: DataFrame) -> DataFrame:
     about = F.array(*[F.struct(_strings(t.phrase).alias("phrase"), F.lit(t.offset).alias("offset"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base")) for t in found])
 
     words = F.col("words")
-    at = F.filter(F.transform(words, lambda w, i: F.struct(F.array_position(_strings(lookup), w).cast("int").alias("n"), i.alias("i"))), lambda s: s["n"] > 0)
-    guesses = F.flatten(F.transform(at, lambda s: F.transform(F.get(listed, s["n"] - 1), lambda p: F.struct(p["k"].alias("k"), (s["i"] - p["i"]).alias("start"), p["x"].alias("x")))))
+    own, posted = F.col("own"), F.col("posted")
+    at = F.filter(F.transform(words, lambda w, i: F.struct(F.array_position(own, w).cast("int").alias("n"), i.alias("i"))), lambda s: s["n"] > 0)
+    guesses = F.flatten(F.transform(at, lambda s: F.transform(F.get(posted, s["n"] - 1), lambda p: F.struct(p["k"].alias("k"), (s["i"] - p["i"]).alias("start"), p["x"].alias("x")))))
     some = docs.select("doc_id", _words("text").alias("words"))
-    some = some.select("doc_id", "words", F.when(F.arrays_overlap(words, _strings(lookup)), F.array_sort(guesses)).alias("g"))
+    some = some.select("doc_id", "words", F.array_intersect(_strings(lookup), words).alias("own"))  # rarest first
+    some = some.select("doc_id", "words", "own", F.transform("own", lambda w: F.get(listed, (F.array_position(_strings(lookup), w) - 1).cast("int"))).alias("posted"))
+    some = some.select("doc_id", "words", F.when(F.size(own) > 0, F.array_sort(guesses)).alias("g"))
 
     g = F.col("g")
     changes = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: (i == 0) | (F.get(g, i)["k"] != F.get(g, i - 1)["k"]) | (F.get(g, i)["start"] != F.get(g, i - 1)["start"]))
