@@ -134,6 +134,24 @@ def test_parts_of_buckets_give_the_same(spark, monkeypatch):
     assert rows(ann.search(df)) == whole
 
 
+def test_longer_hashes_find_the_same(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 16))
+    x = centres[r.integers(0, 40, 3000)] + 0.4 * r.normal(size=(3000, 16))
+    x[5:300] = x[5]  # a very long list of equal copies
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "BUCKET", 2)
+    keys = ann.buckets(x, 3, 8, 32)
+    assert keys.shape == (3000, 8) and (np.diff(np.sort(keys, 1), axis=1) > 0).all() and len(np.unique(keys[:, 0])) > 100
+    assert (ann.buckets(x, 3, 1, 32)[:, 0] == keys[:, 0]).all()
+    found = collections.defaultdict(set)
+    for y in ann.search(df).collect():
+        found[y.query_id].add(y.vec_id)
+    wanted = brute_neighbours([(i, v.tolist()) for i, v in enumerate(x)], 100, 10)
+    assert sum(len(found[q] & {i for _, i in wanted[q]}) for q in wanted) >= 0.9 * 10 * len(wanted)
+    assert found[100] == set(range(5, 15))
+
+
 def test_no_vectors(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert ann.search(spark.createDataFrame([(100, [1.0])], "vec_id long, embedding array<float>")).count() == 0

@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Unit vectors go through pseudo-rotations (three rounds of random signs and a
-fast Hadamard transform) and fall to the nearest signed axis: a bucket of one
-table.  A query probes in each table the buckets of its largest coordinates.
-Vectors and probes meet by (table, bucket); there all candidates are compared
-by their exact distance, and the best of each bucket go on to the final rank.
+fast Hadamard transform) and fall to the nearest signed axis.  As vectors grow
+in number, a bucket of a table takes further hashes, each of a rotation of its
+own and of so many of its axes that a bucket holds about ``BUCKET`` vectors.  A
+query probes in each table the buckets that it misses by the least margin, more
+of them where there are more buckets.  Vectors and probes meet by (table,
+bucket); there all candidates are compared by their exact distance, and the
+best of each bucket go on to the final rank.
 
 Equal vectors are one class with its smallest ids, as many as a result can
 need, so copies cost no more than one vector.  Buckets of many classes are cut
@@ -14,11 +17,14 @@ among all vectors, in blocks.
 Defined results: rows with a null id, a null, empty or zero vector, or null or
 non-finite components take no part; vectors of other dimensions are no
 candidates; copies of a row count once; of several vectors under one id the
-nearest counts.  Other columns are ignored.
+nearest counts; ties go to the smaller id; vectors of very many components are
+hashed whole; an empty table gives an empty one.  Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +34,10 @@ from pyspark.sql import functions as F
 
 from variorum.llm._shared import materialize, tidy, tidy_both
 
-#: Tables, and buckets that a query probes in each.
-TABLES, PROBES = 8, 12
+#: Tables, and buckets that a query probes in each while a bucket is one axis.
+TABLES, PROBES = 8, 10
+#: Vectors that a bucket holds, about, and the power of a bucket's parts by which probes grow.
+BUCKET, GROWTH = 128, 0.75
 #: Classes of a part of a bucket, and queries of a block of the exact search.
 PART, BLOCK = 4096, 1024
 
@@ -52,15 +60,36 @@ def rotate(unit: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
-def buckets(vectors: np.ndarray, table: int, probes: int) -> np.ndarray:
-    """Keys of the nearest signed axes, nearest first: dimension, table and axis in one number."""
-    unit = vectors / np.abs(vectors).max(1, keepdims=True)
-    y = rotate(unit / np.linalg.norm(unit, axis=1, keepdims=True), table)
+def _margins(unit: np.ndarray, rotation: int, axes: int) -> np.ndarray:
+    """By how much each row misses each of the first signed axes, squared; 0 at its nearest."""
+    y = rotate(unit, rotation)[:, : axes // 2]
     both = np.concatenate([y, -y], 1)
-    probes = min(probes, both.shape[1])
-    axes = np.argpartition(-both, probes - 1, 1)[:, :probes]
-    axes = np.take_along_axis(axes, np.argsort(-np.take_along_axis(both, axes, 1), 1, kind="stable"), 1)
-    return (vectors.shape[1] << 32 | table << 24) + axes.astype(np.int64)
+    return np.square(both.max(1, keepdims=True) - both)
+
+
+def buckets(vectors: np.ndarray, table: int, probes: int, parts: int = 1) -> np.ndarray:
+    """Keys of the buckets that rows miss least, nearest first: dimension, table and number of the bucket in one.
+
+    A bucket is a signed axis, cut into parts by further hashes: a power of two.
+    """
+    unit = vectors / np.abs(vectors).max(1, keepdims=True)
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+    size = 1 << max(vectors.shape[1] - 1, 1).bit_length() if vectors.shape[1] > 1 else 2
+    axes = [2 * size]
+    while parts > 1:
+        axes.append(min(parts, 2 * size))
+        parts //= axes[-1]
+    number, missed = np.zeros((len(unit), 1), np.int64), np.zeros((len(unit), 1))
+    for level, n in enumerate(axes):
+        own = _margins(unit, table + 256 * level, n)
+        every = (missed[:, :, None] + own[:, None, :]).reshape(len(unit), -1)
+        kept = min(probes, every.shape[1])
+        at = np.argpartition(every, kept - 1, 1)[:, :kept]
+        missed = np.take_along_axis(every, at, 1)
+        order = np.argsort(missed, 1, kind="stable")
+        at, missed = np.take_along_axis(at, order, 1), np.take_along_axis(missed, order, 1)
+        number = np.take_along_axis(number, at // n, 1) * n + at % n
+    return (vectors.shape[1] << 40 | table << 32) + number
 
 
 def _valid(keep: int, every: int | None):
@@ -90,13 +119,15 @@ def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, np.frombuffer(b"".join([raw[i] for i in at]), np.float64).reshape(len(at), -1)
 
 
-def _hashed(tables: int, probes: int, names: list[str]):
+def _hashed(tables: int, probes: int, parts: int, names: list[str]):
+    step = max(1, (1 << 14) // probes)  # rows whose sums of margins are held at once
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, vectors in _matrices(batch["vec"]):
                 rows = pa.array(at)
                 for t in range(tables):
-                    keys = buckets(vectors, t, probes)
+                    keys = np.concatenate([buckets(vectors[i : i + step], t, probes, parts) for i in range(0, len(vectors), step)])
                     for j in range(keys.shape[1]):
                         yield pa.RecordBatch.from_arrays([pa.array(keys[:, j]), *(batch[n].take(rows) for n in names)], names=["key", *names])
 
@@ -155,17 +186,23 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, tables: int = T
     """query_id, rank, vec_id and score: the k nearest found of each vector whose id ``every`` divides."""
     spark = embeddings.sparkSession
     given = embeddings.select(F.col("vec_id").cast("long"), "embedding")
-    few = lambda n: F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, n)  # noqa: E731  a list a batch, each of n ids at most
-    classes = materialize(given.mapInArrow(tidy(_valid(k + 1, None)), "vec binary, ids array<long>").groupBy("vec").agg(few(k + 1).alias("ids")))
+    order = F.dense_rank().over(Window.partitionBy("vec").orderBy("id"))  # limited before it is shuffled
+    ids = given.mapInArrow(tidy(_valid(k + 1, None)), "vec binary, ids array<long>").select("vec", F.explode("ids").alias("id"))
+    few = ids.withColumn("r", order).where(F.col("r") <= k + 1)
+    classes = materialize(few.groupBy("vec").agg(F.sort_array(F.collect_set("id")).alias("ids")))  # k + 1 at most
     asked = materialize(given.where(F.col("vec_id") % every == 0).mapInArrow(tidy(_valid(0, every)), "vec binary, ids array<long>").select("vec", F.explode("ids").alias("query_id")).distinct())
     heads = asked.groupBy("vec").agg(F.min("query_id").alias("q"))
     members = materialize(asked.join(heads, "vec").select("query_id", "q", "vec"))
     heads = members.where("query_id = q").select("q", "vec")
 
-    keys = classes.select("vec").mapInArrow(tidy(_hashed(tables, 1, [])), "key long").groupBy("key").count()
-    parts = F.broadcast(keys.select("key", F.ceil(F.col("count") / PART).cast("int").alias("parts")))  # 2 * tables * dimension rows at most
-    index = classes.mapInArrow(tidy(_hashed(tables, 1, ["vec", "ids"])), "key long, vec binary, ids array<long>").join(parts, "key").withColumn("part", F.pmod(F.xxhash64("vec"), F.col("parts").cast("long")).cast("int"))
-    probed = heads.mapInArrow(tidy(_hashed(tables, probes, ["vec", "q"])), "key long, vec binary, q long").join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    widest = classes.agg(F.max(F.length("vec"))).first()[0] or 16
+    axes = 2 << max(widest // 8 - 1, 1).bit_length()
+    cut = 1 << max(0, math.ceil(math.log2(max(1, classes.count()) / (axes * BUCKET))))  # parts of an axis
+    probes = math.ceil(probes * cut**GROWTH)
+    keys = classes.select("vec").mapInArrow(tidy(_hashed(tables, 1, cut, [])), "key long").groupBy("key").count()
+    parts = keys.select("key", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
+    index = classes.mapInArrow(tidy(_hashed(tables, 1, cut, ["vec", "ids"])), "key long, vec binary, ids array<long>").join(parts, "key").withColumn("part", F.pmod(F.xxhash64("vec"), F.col("parts").cast("long")).cast("int"))
+    probed = heads.mapInArrow(tidy(_hashed(tables, probes, cut, ["vec", "q"])), "key long, vec binary, q long").join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = index.select("key", "part", "vec", "ids").groupBy("key", "part").cogroup(probed.select("key", "part", "vec", "q").groupBy("key", "part")).applyInArrow(tidy_both(_search(k + 1)), _FOUND)
     found = materialize(_best(met, k))
 
