@@ -14,8 +14,11 @@ CPU budget of whole corpora leaves, so documents take the arrays.
 Everything is one narrow stage: no shuffle, no table of words that would grow
 with the corpus.
 
-Defined results: null counts as empty and has no ids; special tokens have no
-meaning; equal rows are encoded one by one; other columns pass through.
+Defined results: null counts as empty and has no ids, but null ids decode to
+null; special tokens have no meaning; very long texts are encoded whole, and
+their longest words by a heap; of pairs that tie in rank the leftmost merges;
+equal rows are encoded one by one; an empty table gives an empty one; other
+columns pass through, whatever their names, but ``encode`` replaces a column ids.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -257,7 +261,7 @@ def _code(pattern: str, vocabulary, whole: bool):
             for i, text in enumerate(batch["text"]):
                 text = text.as_py() or ""
                 tokens.append(np.array([words.setdefault(w, len(words)) for w in find(text)], np.uint32))
-                size += len(text)
+                size += len(text.encode())
                 if size >= GROUP_BYTES:
                     rows.append(batch["row"].slice(done, i + 1 - done))
                     done = i + 1
@@ -286,12 +290,26 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """encoded with a last column decoded, the bytes that the ids stand for; null for null, an error for ids without a piece."""
-    table = {rank: piece for piece, rank in read_ranks(path).items()}
-    sent = encoded.sparkSession.sparkContext.broadcast(table)
-
-    @F.udf("binary", useArrow=True)
-    def pieces(own):
-        return None if own is None else b"".join([sent.value[int(i)] for i in own])
+    sent = encoded.sparkSession.sparkContext.broadcast(read_ranks(path))  # of a checked size
+
+    @F.arrow_udf("binary")
+    def pieces(own: pa.Array) -> pa.Array:
+        ranks = sent.value
+        known = np.array(sorted(ranks.values()), np.int64)
+        spelt = sorted(ranks, key=ranks.get)
+        sizes = np.array([len(p) for p in spelt], np.int64)
+        first, every = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(spelt), np.uint8)
+        flat = np.array(own.flatten(), np.int64)
+        at = np.searchsorted(known, flat)
+        if len(flat) and (flat != known[np.minimum(at, len(known) - 1)]).any():
+            raise ValueError("an id has no piece")
+        k = sizes[at]
+        data = every[np.repeat(first[at] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+        ends = np.concatenate([[0], np.cumsum(k)])
+        rows = np.concatenate([[0], np.cumsum(np.array(own.value_lengths().fill_null(0), np.int64))])
+        cut = ends[rows].astype(np.int64)
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(data.tobytes())])
+        return pa.compute.if_else(own.is_null(), None, found).cast(pa.binary())
 
     return encoded.withColumn("decoded", pieces(ids))
 

@@ -14,9 +14,12 @@ words, of which v are distinct.  Counts of the ``COMMON`` most frequent words
 are broadcast; the others' meet their documents in a packed exchange by hash,
 so every count is exact and none is gathered.
 
-Defined results: null and empty texts are the end token alone; a null doc_id
-is learnt from (its remainder is unknown); rows with equal doc_id and text are
-learnt from and scored one by one; without training documents all counts are 0.
+Defined results: null and empty texts are the end token alone; very long texts
+are scored whole, with the state carried over all windows; a null doc_id is
+learnt from (its remainder is unknown); rows with equal doc_id and text are
+learnt from, by one learner, and scored one by one; words that tie in frequency
+rank by their hash; without training documents all counts are 0; an empty table
+gives an empty one.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,10 +12,16 @@ repeats, whose words go.
 Both steps use the packed exchange of ``_exchange``, so the index is never
 gathered and a passage that every document shares costs one entry a chunk.
 
+Windows are compared by 64-bit hashes: of n windows near hits, some n * n / 2**65
+pairs would be taken for equal without being so, none below about 10**9.
+
 Defined results: windows are judged on the input, in all places at once, so
 every copy of a repeat goes; null and empty texts have no words; texts shorter
-than ``span`` words are left whole; rows with equal doc_id and text share their
-marks, each counts as a place of its own.  Other columns pass through.
+than ``span`` words are left whole; very long texts are worked on whole, as one
+chunk; repeated rows, with equal doc_id and text, share their marks, and each
+counts as a place of its own; no order decides anything, so there are no ties;
+an empty table gives an empty one.  Other columns pass through, whatever their
+names.
 """
 
 from __future__ import annotations

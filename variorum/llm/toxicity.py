@@ -6,14 +6,21 @@ clean training texts; a logistic regression over the scaled features, with
 classes weighted alike, gives the score.
 
 The model is fitted on at most ``per_class`` labelled texts of each class, the
-first by a hash of their ids: a documented bound of what the driver holds.
+first by a hash of their ids: a documented bound of what the driver holds, of
+each text no more than its distinct features, 4 MB for the longest.  N-grams in
+fewer than ``_KEEP_COUNT`` of these texts, or as frequent in either class, have
+no weight.
 Every text is scored whole, in one narrow pass; nothing but the labels and the
 sample is shuffled.
 
 Defined results: null and empty texts have no n-grams and get the score of the
-intercept; rows without a label are not learnt from; several labels of one id
-count one by one; without labels of both classes every score is the share of
-toxic ones among those there are, or 0; a null doc_id is not held out.
+intercept; very long texts are scored whole; rows without a label are not learnt
+from; several labels of one id, and repeated rows, count one by one; ids that
+tie in their hash are taken by their order; without labels of both classes every
+score is the share of toxic ones among those there are, or 0; a null doc_id is
+not held out; an empty table gives an empty one.  Other columns are ignored by
+``digest`` and pass through elsewhere, whatever their names; ``score`` replaces
+a column toxicity.
 """
 
 from __future__ import annotations
