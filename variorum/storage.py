@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, as the cluster sets it; a temporary folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir, as the cluster sets it; a temporary folder only where it is unset in local mode, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="variorum-shared-"))
     return found.rstrip("/")
 
