@@ -1,4 +1,5 @@
 import json
+import time
 from xml.etree import ElementTree
 
 import pytest
@@ -11,6 +12,7 @@ from variorum.plans import collation
 from variorum.sinks import files as sinks
 from variorum.sources import files as sources
 from variorum.sources import xlsx
+from variorum.sources.annotator import answered
 from variorum.streaming import cells as streaming
 
 SHEET = [(1, 2, "。道可道", "道可道也", None), (1, 1, "名可名", None, None), (1, 1, " ", "x", None), (0, 0, "上德", "上德。", None), (None, 3, "無", None, None), (2, 0, None, None, None)]
@@ -227,3 +229,36 @@ def test_streams(spark, tmp_path):
     found = spark.table("cells").orderBy("text").collect()
     assert [(r.text, r.cleaned, r.edit_distance) for r in found] == [("12", None, None), ("。德", "德", 1)]
     assert found[1].operations[0].target_char == "c"
+
+
+def test_pauses_and_errors(spark):
+    def call(prompt):
+        if prompt == "bad":
+            raise ValueError("no")
+        return prompt.upper()
+
+    requests = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None), (4, "")], "k int, prompt string").coalesce(1)
+    began = time.monotonic()
+    found = {r.k: (r.content, r.error) for r in answered(requests, ["k"], call, pause=0.2, attempts=2).collect()}
+    assert found == {1: ("A", None), 2: (None, "ValueError: no"), 3: (None, None), 4: ("", None)}
+    assert time.monotonic() - began >= 4 * 0.2
+
+
+def test_order_without_one_window(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("a"), F.lit(1).alias("range"), F.lit(2).alias("at"))
+    found = reshape.by_order(df, ["a"], "row_idx")
+    assert found.columns == ["a", "range", "at", "row_idx"] and found.where("a <> row_idx").count() == 0
+    assert reshape.by_order(df.limit(0), ["a"], "row_idx").count() == 0
+    assert reshape.numbered(df, by=["a"]).where("a <> row_idx").count() == 0
+
+
+def test_cyclic_and_many_parents(spark):
+    def graph_of(pairs, more=()):
+        ids = sorted({x for p in pairs for x in p} | set(more))
+        return graph.Graph(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(pairs, "source string, target string"))
+
+    path = [(f"n{i:03}", f"n{i + 1:03}") for i in range(6)]
+    diamond = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")]
+    for pairs, wanted in ((path, True), (diamond, True), (path + diamond, True), ([*path, ("n006", "n002")], False), ([*diamond, ("d", "a")], False), ([("x", "x")], False), ([*path, ("x", "y"), ("y", "x")], False)):
+        g = graph_of(pairs, ["alone"])
+        assert graph.statistics(g).first()["is_acyclic"] is wanted is graph.is_acyclic(g)

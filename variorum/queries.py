@@ -138,6 +138,15 @@ def pair_cost_with_responses(spark, sf_dir):
     return cost.cost_pairs(pairs, responses).select(*KEYS, *TEXTS, "custom_edit_distance")
 
 
+@query(f"with recursive {SCRIPTS} select {KEY_SQL}, a original_text, b modified_text, step, type, position, case when type = 'replace' then original_char || '!' end original_char, target_char from ops")
+def merged_operations(spark, sf_dir):
+    """Responses that give a field of the operation, too."""
+    pairs = materialize(collate.collate(witness(spark, sf_dir)))  # read for the requests and for the costs
+    reply = F.to_json(F.struct(F.lit("其他").alias("relation_type"), F.concat("original_char", F.lit("!")).alias("original_char")))
+    found = cost.cost_pairs(pairs, cost.requests(pairs).withColumn("content", reply), any_field=True)
+    return found.select(*KEYS, *TEXTS, F.posexplode("operations").alias("step", "op")).select(*KEYS, *TEXTS, "step", "op.type", "op.position", "op.original_char", "op.target_char")
+
+
 def _realigned(spark, sf_dir) -> DataFrame:
     """Canned responses by the sentence's numbers: right, none, malformed, a wrong count, another target."""
     pairs = materialize(collate.collate(witness(spark, sf_dir)))  # read for the responses and for their validation
