@@ -69,3 +69,28 @@ def test_run_is_the_stages_in_a_row(spark, tables, tmp_path):
     found = __spark_entry__.queries()["pipeline"](spark, root)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, docs.collect()))
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def through(spark, root, docs, folder):
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, root).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
+
+
+def test_empty_tables_through_all_stages(spark, tables, tmp_path):
+    root, _ = tables
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{root}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs = spark.createDataFrame([(1, "some words", "en", "s", 10), (2, None, None, None, None), (3, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = through(spark, str(tmp_path), docs, f"{tmp_path}/out").collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in found) == [(1, 2), (2, 0), (3, 0)]
+
+
+def test_clashing_columns_through_all_stages(spark, tables, docs, tmp_path):
+    root, _ = tables
+    plain = through(spark, root, docs.select(*COLUMNS), f"{tmp_path}/plain").collect()
+    clashing = through(spark, root, docs, f"{tmp_path}/clashing").collect()
+    assert plain and sorted(map(repr, plain)) == sorted(map(repr, clashing))
+    assert spark.read.parquet(f"{tmp_path}/clashing/3").columns == docs.columns
