@@ -270,6 +270,25 @@ def test_network_learns_from_every_document(spark):
     assert moved[v.find(own)[0]].all()
 
 
+def test_held_out_documents_are_likelier_than_by_counts(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(2500):
+        at = r.randrange(40)
+        rows.append((i, " ".join(f"w{(at + j) % 40}" for j in range(r.randrange(30, 90)))))
+    found = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first()
+    assert found["sum(score)"] / found["sum(n_tokens)"] > found["sum(base_score)"] / found["sum(n_tokens)"] + 0.02
+
+
+def test_long_and_short_sequences_share_rows():
+    p = _gru.start(np.arange(128)[::-1] + 1)
+    r = np.random.default_rng(6)
+    some = [r.integers(1, 128, n) for n in (0, 1, 5000, 3, 40, 0, 700, 31, 32, 33, 1)]
+    whole = _gru.log_likelihoods(p, some, 0)
+    assert np.allclose(whole, [_gru.log_likelihoods(p, [s], 0)[0] for s in some], rtol=1e-4)
+    assert _gru.log_likelihoods(p, [], 0).shape == (0,) and _gru.train(p, [], 0).keys() == p.keys()
+
+
 def test_network_is_a_distribution_and_learns_order():
     counts = np.sort(np.random.default_rng(0).integers(1, 99, 128))[::-1]
     p = _gru.start(counts)
@@ -289,11 +308,14 @@ def test_gradients(monkeypatch):
     p = {k: v.astype(np.float64) for k, v in _gru.start(np.arange(128)[::-1] + 1).items()}
     inputs, targets, inside, h = r.integers(0, 128, (5, 3)), r.integers(0, 128, (5, 3)), np.ones((5, 3), bool), r.normal(size=(3, _gru.HIDDEN))
     inside[3:, 2] = False
+    keep = np.ones((5, 3, 1))
+    keep[2, 1] = keep[0, 2] = 0
 
     def loss(p):
         # the state does not depend on the outputs, so one pass gives the states and another the loss
         states, state = [], h
         for t in range(5):
+            state = state * keep[t]
             g, hu, n = p["x"][inputs[t]] + p["b"], state @ p["u"], _gru.HIDDEN
             zr = 1 / (1 + np.exp(-g[:, : 2 * n] - hu[:, : 2 * n]))
             new = np.tanh(g[:, 2 * n :] + zr[:, n:] * hu[:, 2 * n :])
@@ -301,7 +323,7 @@ def test_gradients(monkeypatch):
             states.append(state)
         return -_gru._log_probs(p, np.array(states).reshape(-1, _gru.HIDDEN)[inside.ravel()], targets.ravel()[inside.ravel()]).mean()
 
-    _, grads = _gru._window(p, inputs, targets, inside, h)
+    _, grads = _gru._window(p, inputs, targets, inside, h, keep)
     used, dx = grads["x"]
     grads["x"] = np.zeros_like(p["x"])
     grads["x"][used] = dx

@@ -1,9 +1,10 @@
 """A gated recurrent language model in numpy, with a softmax over classes and one within the class.
 
 Sequences are symbols; each is predicted from those before it, the first from
-``end``.  Training backpropagates through windows of ``WINDOW`` steps and
-carries the state from window to window; scoring carries it to the end, so a
-score is the log-likelihood of the whole sequence.
+``end``.  Sequences follow one another in rows of a table, with a new state for
+each, so every step works on full rows.  Training backpropagates through windows
+of ``WINDOW`` steps and carries the state from window to window; scoring carries
+it to the end, so a score is the log-likelihood of the whole sequence.
 
 Classes are runs of symbols by falling counts, with equal sums of the roots of
 their counts: frequent symbols share a class with few others or none, so the
@@ -13,11 +14,14 @@ softmax within a class is short for most steps.
 from __future__ import annotations
 
 import ctypes
+import heapq
 from pathlib import Path
 
 import numpy as np
 
-HIDDEN, WINDOW, CLASSES = 24, 32, 64
+HIDDEN, WINDOW, CLASSES = 24, 32, 32
+#: Rows of a table in training and in scoring, at most.
+TRAIN_ROWS, SCORE_ROWS = 128, 512
 F32 = np.float32
 Params = dict[str, np.ndarray]
 
@@ -36,11 +40,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def steps(p: Params, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(states, zr, n, hn) of each step from inputs g [step, row, gates] and the state h; g is overwritten."""
+def steps(p: Params, g: np.ndarray, h: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(states, zr, n, hn) of each step from inputs g [step, row, gates] and the state h, which keep [step, row, 1] makes 0."""
     count, rows, size = g.shape[0], len(h), HIDDEN
     states, zr, n, hn = (np.empty((count, rows, k), g.dtype) for k in (size, 2 * size, size, size))
     for t in range(count):
+        h = h * keep[t]
         hu = h @ p["u"]
         np.add(g[t, :, : 2 * size], hu[:, : 2 * size], out=zr[t])
         sigmoid(zr[t])
@@ -90,37 +95,56 @@ def unpack(data: bytes, like: Params) -> Params:
     return out
 
 
-def batches(sequences: list[np.ndarray], end: int, rows: int, cells: int = 1 << 21):
-    """(positions, inputs, targets, lengths), longest sequences first; each target sequence closes with end."""
-    order = np.argsort([-len(s) for s in sequences], kind="stable")
-    at = 0
-    while at < len(order):
-        longest = len(sequences[order[at]]) + 1
-        part = order[at : at + max(1, min(rows, cells // longest))]
-        at += len(part)
-        targets = np.full((len(part), longest), end, np.int32)
-        for i, j in enumerate(part):
-            targets[i, : len(sequences[j])] = sequences[j]
-        inputs = np.full_like(targets, end)
-        inputs[:, 1:] = targets[:, :-1]
-        yield part, inputs, targets, np.array([len(sequences[j]) + 1 for j in part])
+def table(rows: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, targets, lengths) of rows of symbols, longest first; a row's first input is end."""
+    rows = sorted(rows, key=len, reverse=True)
+    lengths = np.array([len(r) for r in rows])
+    targets = np.full((len(rows), lengths[0]), end, np.int32)
+    for to, own in zip(targets, rows, strict=True):
+        to[: len(own)] = own
+    inputs = np.full_like(targets, end)
+    inputs[:, 1:] = targets[:, :-1]
+    return inputs, targets, lengths
+
+
+def windows(inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, end: int):
+    """(first step, rows that are left, inputs, targets, whether inside, keep) of each window, by step and row."""
+    for t0 in range(0, inputs.shape[1], WINDOW):
+        live = int(np.searchsorted(-lengths, -t0, side="left"))
+        t1 = min(t0 + WINDOW, inputs.shape[1])
+        x = inputs[:live, t0:t1].T
+        yield t0, live, x, targets[:live, t0:t1].T, np.arange(t0, t1)[:, None] < lengths[None, :live], (x != end)[..., None].astype(F32)
 
 
 def log_likelihoods(p: Params, sequences: list[np.ndarray], end: int) -> np.ndarray:
     """Natural log-likelihood of each whole sequence and its end."""
-    out = np.zeros(len(sequences))
-    for part, inputs, targets, lengths in batches(sequences, end, 512):
-        h = np.zeros((len(part), HIDDEN), F32)
-        total = np.zeros(len(part))
-        for t0 in range(0, inputs.shape[1], WINDOW):
-            live = int(np.searchsorted(-lengths, -t0, side="left"))
-            t1 = min(t0 + WINDOW, inputs.shape[1])
-            states = steps(p, p["x"][inputs[:live, t0:t1].T] + p["b"], h[:live])[0]
-            h = states[-1]
-            inside = (np.arange(t0, t1)[:, None] < lengths[None, :live]).ravel()
-            row = np.tile(np.arange(live), t1 - t0)[inside]
-            total[:live] += np.bincount(row, _log_probs(p, states.reshape(-1, HIDDEN)[inside], targets[:live, t0:t1].T.ravel()[inside]), live)
-        out[part] = total
+    out, sizes = np.zeros(len(sequences)), np.array([len(s) + 1 for s in sequences], np.int64)
+    if not len(sizes):
+        return out
+    count = int(min(SCORE_ROWS, -(-sizes.sum() // sizes.max())))
+    held: list[list[int]] = [[] for _ in range(count)]
+    heap = [(0, i) for i in range(count)]
+    for j in np.argsort(-sizes, kind="stable").tolist():  # the longest first, each to the shortest row
+        n, i = heap[0]
+        held[i].append(j)
+        heapq.heapreplace(heap, (n + int(sizes[j]), i))
+    held.sort(key=lambda own: -int(sizes[own].sum()))
+    tail = np.array([end], np.int64)
+    inputs, targets, lengths = table([np.concatenate([x for j in own for x in (sequences[j], tail)]) for own in held if own], end)
+    owner = table([np.repeat(own, sizes[own]) for own in held if own], 0)[1]
+    h = np.zeros((len(inputs), HIDDEN), F32)
+    found: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for t0, live, x, y, inside, keep in windows(inputs, targets, lengths, end):
+        states = steps(p, p["x"][x] + p["b"], h[:live], keep)[0]
+        h = states[-1]
+        at = inside.ravel()
+        found.append((states.reshape(-1, HIDDEN)[at], y.ravel()[at], owner[:live, t0 : t0 + len(x)].T.ravel()[at]))
+        size += len(found[-1][1])
+        if size >= 1 << 14 or t0 + WINDOW >= inputs.shape[1]:
+            states, y, own = (np.concatenate(c) for c in zip(*found, strict=True))
+            out += np.bincount(own, _log_probs(p, states, y), len(out))
+            found, size = [], 0
     return out
 
 
@@ -172,28 +196,30 @@ def _logsumexp(x: np.ndarray) -> np.ndarray:
 
 
 def train(p: Params, sequences: list[np.ndarray], end: int, rate: float = 0.08) -> Params:
-    """Parameters after one pass over the sequences, by Adagrad."""
+    """Parameters after one pass over the sequences, by Adagrad; a sequence that two rows share starts anew in the second."""
     p = {k: v.copy() for k, v in p.items()}
     squares = {k: np.full_like(v, 1e-6) for k, v in p.items()}
-    for _, inputs, targets, lengths in batches(sequences, end, 256):
-        h = np.zeros((len(inputs), HIDDEN), F32)
-        for t0 in range(0, inputs.shape[1], WINDOW):
-            live = int(np.searchsorted(-lengths, -t0, side="left"))
-            t1 = min(t0 + WINDOW, inputs.shape[1])
-            h, grads = _window(p, inputs[:live, t0:t1].T, targets[:live, t0:t1].T, np.arange(t0, t1)[:, None] < lengths[None, :live], h[:live])
-            for k, gr in grads.items():
-                at, gr = gr if isinstance(gr, tuple) else (slice(None), gr)
-                np.clip(gr, -1, 1, out=gr)
-                squares[k][at] += gr * gr
-                p[k][at] -= F32(rate) * gr / np.sqrt(squares[k][at])
+    if not sequences:
+        return p
+    tail = np.array([end], np.int64)
+    whole = np.concatenate([x for s in sequences for x in (s, tail)])
+    inputs, targets, lengths = table([x for x in np.array_split(whole, min(TRAIN_ROWS, -(-len(whole) // WINDOW))) if len(x)], end)
+    h = np.zeros((len(inputs), HIDDEN), F32)
+    for _, live, x, y, inside, keep in windows(inputs, targets, lengths, end):
+        h, grads = _window(p, x, y, inside, h[:live], keep)
+        for k, gr in grads.items():
+            at, gr = gr if isinstance(gr, tuple) else (slice(None), gr)
+            np.clip(gr, -1, 1, out=gr)
+            squares[k][at] += gr * gr
+            p[k][at] -= F32(rate) * gr / np.sqrt(squares[k][at])
     return p
 
 
-def _window(p: Params, inputs: np.ndarray, targets: np.ndarray, inside: np.ndarray, h: np.ndarray):
+def _window(p: Params, inputs: np.ndarray, targets: np.ndarray, inside: np.ndarray, h: np.ndarray, keep: np.ndarray):
     """The state after a window, and the gradients of its mean loss; sparse ones as (rows, gradient)."""
     count, rows = inputs.shape
     size = HIDDEN
-    states, zr, n, hn = steps(p, p["x"][inputs] + p["b"], h)
+    states, zr, n, hn = steps(p, p["x"][inputs] + p["b"], h, keep)
     at = np.flatnonzero(inside.ravel())
     y = targets.ravel()[at]
     order = _order(y)
@@ -224,6 +250,7 @@ def _window(p: Params, inputs: np.ndarray, targets: np.ndarray, inside: np.ndarr
 
     z, r = zr[..., :size], zr[..., size:]
     before = np.concatenate([h[None], states[:-1]])
+    before *= keep
     to_z, to_n, to_r = (before - n) * (z * (1 - z)), (1 - z) * (1 - n * n), hn * (r * (1 - r))
     dg = np.empty((count, rows, 3 * size), s.dtype)
     dhu = np.empty_like(dg)
@@ -238,6 +265,7 @@ def _window(p: Params, inputs: np.ndarray, targets: np.ndarray, inside: np.ndarr
         np.multiply(dn, r[t], out=dhu[t, :, 2 * size :])
         dh *= z[t]
         dh += dhu[t] @ turned
+        dh *= keep[t]
     flat = inputs.ravel()
     order = _order(flat)
     own = flat[order]

@@ -268,8 +268,7 @@ def _learn(vocabulary, params, seed: int):
         p = gru.unpack(params.value, gru.start(v.symbol_counts))
         found = [np.frombuffer(x, np.uint16) for x in sorted(table["symbols"].to_pylist())]
         order = np.random.default_rng(seed).permutation(len(found))
-        for i in range(0, len(found), 1024):
-            p = gru.train(p, [found[j] for j in order[i : i + 1024]], v.end)
+        p = gru.train(p, [found[j] for j in order], v.end)
         tokens = sum(map(len, found)) + len(found)
         return pa.table({"learner": table["learner"].slice(0, 1), "tokens": pa.array([tokens], pa.int64()), "params": pa.array([gru.pack(p)], pa.binary())})
 
@@ -303,7 +302,8 @@ def fit(train: DataFrame, vocabulary, params: gru.Params) -> bytes:
     dealt = symbols.select("symbols", (slot % ROUNDS).alias("round"), F.floor(slot / ROUNDS).alias("learner"))
     packed = gru.pack(params)
     for r in range(ROUNDS):
-        rows = dealt.where(F.col("round") == r).drop("round").groupBy("learner").applyInArrow(tidy_group(_learn(vocabulary, spark.sparkContext.broadcast(packed), r)), "learner long, tokens long, params binary")
+        own = dealt.where(F.col("round") == r).drop("round").repartition(2 * learners, "learner")  # their bytes are few, their work is not
+        rows = own.groupBy("learner").applyInArrow(tidy_group(_learn(vocabulary, spark.sparkContext.broadcast(packed), r)), "learner long, tokens long, params binary")
         rows, n = materialize(rows), learners
         while n > 1:  # averages of 16 at a time, so no task holds more
             rows = rows.groupBy((F.col("learner") / 16).cast("long").alias("learner_group")).applyInArrow(tidy_group(_average), "learner long, tokens long, params binary")
@@ -318,7 +318,7 @@ def _score(vocabulary, params):
         v: Vocabulary = vocabulary.value
         gru.one_thread()
         p = gru.unpack(params.value, gru.start(v.symbol_counts))
-        for batch in (part for b in batches for part in slices(b, "text", 4 * PIECE_BYTES)):
+        for batch in (part for b in batches for part in slices(b, "text", PIECE_BYTES)):
             pairs = list(_sequences(batch, v))
             model = gru.log_likelihoods(p, [s for s, _ in pairs], v.end) / np.log(10)
             logs = [np.log10(np.maximum(c, 0) + 1.0) for _, c in pairs]
