@@ -21,7 +21,7 @@ import numpy as np
 
 HIDDEN, WINDOW, CLASSES = 24, 32, 32
 #: Rows of a table in training and in scoring, at most.
-TRAIN_ROWS, SCORE_ROWS = 128, 512
+TRAIN_ROWS, SCORE_ROWS = 256, 512
 F32 = np.float32
 Params = dict[str, np.ndarray]
 
