@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from variorum.llm._shared import materialize, tidy, tidy_both
 
 #: Tables, and buckets that a query probes in each while a bucket is one axis.
-TABLES, PROBES = 8, 10
+TABLES, PROBES = 8, 12
 #: Vectors that a bucket holds, about, and the power of a bucket's parts by which probes grow.
-BUCKET, GROWTH = 128, 0.75
+BUCKET, GROWTH = 512, 0.75
 #: Classes of a part of a bucket, and queries of a block of the exact search.
 PART, BLOCK = 4096, 1024
 
