@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from variorum.llm import ann, byte_bpe, decontaminate, license_scan, lm_scoring, near_dedup, substring_dedup, toxicity, url_filter, warc
+from variorum.llm import ann, byte_bpe, collocations, decontaminate, license_scan, lm_scoring, near_dedup, packing, substring_dedup, toxicity, url_filter, warc, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.mark(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.digest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -67,13 +79,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
+    "op11_packing": op11_packing,
+    "op12_whitening": op12_whitening,
+    "op13_collocations": op13_collocations,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-#: Queries without SQL (4 to 9) learn, search approximately, merge ranks or add labels of their own.
+#: Queries without SQL (4 to 9, 11, 12) learn, search approximately, merge ranks, add labels of their own or decompose.
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": f"""
 with recursive w as (select doc_id, {_SPACED.format(_LOWER)} w from documents),
@@ -109,4 +124,20 @@ hit as (select doc_id, j, n, array_to_string(w[j:j + n - 1], ' ') x from spot wh
 pos as (select doc_id, count(distinct j + k) n_hit from hit, range(10) r(k) where k < n group by 1),
 names as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) t from (select distinct doc_id, cast(item_id as varchar) item from hit join iw using (n, x)) group by 1)
 select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(t, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated from d left join pos using (doc_id) left join names using (doc_id)""",
+    "op13_collocations": rf"""
+with piece as (select coalesce(lang, 'und') lang, unnest(regexp_extract_all({_LOWER}, '[^.,;:!?\x0A-\x0D]+')) p from documents),
+w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') w from piece),
+spot as (select lang, w, size, unnest(range(1, len(w) - size + 2)) i from w, range(1, 5) s(size) where len(w) >= size),
+f as (select lang, size, array_to_string(w[i:i + size - 1], ' ') phrase, count(*) a from spot group by all),
+n as (select lang, sum(len(w)) n from w group by 1),
+cand as (select lang, size, phrase, string_split(phrase, ' ') w, a from f where size > 1 and a >= 30),
+inside as (select lang, w, size, a, unnest(range(2, size)) z from cand where size > 2),
+sub as (select lang, a, z, w, unnest(range(1, size - z + 2)) i from inside),
+longer as (select lang, array_to_string(w[i:i + z - 1], ' ') phrase, max(a) most from sub group by all),
+kept as (select c.* from cand c left join longer o using (lang, phrase) where most is null or 100 * cast(most as hugeint) < 80 * cast(a as hugeint)),
+cut as (select *, unnest(range(1, size)) k from kept),
+score as (select c.lang, c.phrase, c.a, c.k, x.a l, y.a r, (2000000 * cast(c.a as hugeint)) // (cast(x.a as hugeint) + y.a) score from cut c join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:c.k], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+best as (select * from score qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+placed as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from best)
+select lang, rank, phrase, a, l, r, cast(n as bigint) n, cast(score as bigint) score from placed join n using (lang) where rank <= 2000""",
 }
