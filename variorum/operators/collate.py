@@ -74,9 +74,9 @@ def collate(witness: DataFrame, distinct_texts: bool = False, most_cells: int |
 
 def pair_index(records: DataFrame, witness: DataFrame) -> DataFrame:
     """records with pair_index: sentences by their first place in the source, then pairs by versions."""
-    place = F.min(F.struct("version_idx", "chapter_number", "row_idx")).alias("place")
-    first = witness.groupBy(*SENTENCE).agg(place)
-    order = ["place.version_idx", "place.chapter_number", "place.row_idx", "original_text_version", "modified_text_version", "original_text", "modified_text"]
+    order = ["ordinal"] if "ordinal" in witness.columns else ["version_idx", "chapter_number", "row_idx"]  # as a tree is read
+    first = witness.groupBy(*SENTENCE).agg(F.min(F.struct(*order)).alias("place"))
+    order = [*[f"place.{c}" for c in order], "original_text_version", "modified_text_version", "original_text", "modified_text"]
     return by_order(records.join(first, SENTENCE), order, "pair_index").select(*records.columns, "pair_index")
 
 

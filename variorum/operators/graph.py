@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from variorum.operators import reshape
+from variorum import schema
+from variorum.operators import reshape, trees
 from variorum.storage import discard, materialize
 
 TYPES = ("root", "version", "chapter", "sentence")
@@ -54,16 +55,40 @@ def from_witness(witness: DataFrame, name: str = "道德经", description: str =
     return Graph(nodes, edges)
 
 
+def _typed(nodes: DataFrame) -> DataFrame:
+    """(id, node_id, the attributes that operators know, ordinal, fields) of trees.merged()."""
+    known = [a.split(" ") for a in schema.NODE_ATTRIBUTES.split(", ")]
+    return nodes.select("id", F.col("id").alias("node_id"), *[trees.field(F.col("fields"), name, kind).alias(name) for name, kind in known], "ordinal", "fields")
+
+
 def from_tree(tree: DataFrame) -> Graph:
-    return from_witness(reshape.flatten(tree))
+    """The graph of a tree of any shape: all its nodes, with all their fields, and an edge from each parent.
+
+    Nodes that share an id are one, with the last value of each field.  ordinal is the place in the tree, for nodes
+    and, as that of the lower end, for edges.
+    """
+    found = materialize(trees.identified(tree))
+    edges = found.where("parent is not null").groupBy(F.col("parent").alias("source"), F.col("id").alias("target")).agg(F.min("ordinal").alias("ordinal"))
+    return Graph(_typed(trees.merged(found)), edges)
 
 
 def from_node_link(nodes: DataFrame, links: DataFrame) -> Graph:
-    """A graph of node and link tables; ends of links that are no node become one, without attributes."""
-    ends = links.select(F.col("source").alias("id")).union(links.select("target")).distinct()
-    missing = ends.join(nodes.select("id"), "id", "left_anti")
-    own = nodes.dropDuplicates(["id"])
-    return Graph(own.unionByName(missing, allowMissingColumns=True), links.select("source", "target").distinct())
+    """A graph of node and link tables; ends of links that are no node become one, without attributes.
+
+    With fields and ordinal, as read_node_link() gives them: nodes that share an id and links that share their ends
+    are one, with the last value of each field, and nodes that only links name come after the others.
+    """
+    if "fields" not in nodes.columns:
+        ends = links.select(F.col("source").alias("id")).union(links.select("target")).distinct()
+        missing = ends.join(nodes.select("id"), "id", "left_anti")
+        own = nodes.dropDuplicates(["id"])
+        return Graph(own.unionByName(missing, allowMissingColumns=True), links.select("source", "target").distinct())
+    late = F.lit(1 << 40) + F.col("ordinal") * 2
+    ends = links.select(F.col("source").alias("id"), late.alias("ordinal")).union(links.select("target", late + 1))
+    missing = ends.groupBy("id").agg(F.min("ordinal").alias("ordinal")).join(nodes.select("id"), "id", "left_anti")
+    every = trees.merged(nodes).union(missing.select("id", "ordinal", F.create_map().cast(trees.FIELDS)))
+    pair = trees.merged(links.select(F.struct("source", "target").alias("id"), "ordinal", "fields"))
+    return Graph(_typed(every), pair.select("id.source", "id.target", "ordinal", "fields"))
 
 
 # Lookups
@@ -151,10 +176,15 @@ def degrees(g: Graph) -> DataFrame:
     return g.nodes.select("id").join(sums, "id", "left").select("id", zero("in_degree"), zero("out_degree"))
 
 
+def _place(g: Graph) -> str:
+    """The column that nodes are ordered by: their place in the file, where it is known."""
+    return "ordinal" if "ordinal" in g.nodes.columns else "id"
+
+
 def levels(g: Graph, start: str | None = None, most: int | None = None, types: tuple[str, ...] | None = None) -> DataFrame:
-    """(id, level): edges from start, by default from the first root; walks stop at nodes of other types than given."""
+    """(id, level): edges from start, by default from the first root, by place in the file or else by id; walks stop at nodes of other types than given."""
     if start is None:
-        first = roots(g).agg(F.min("id")).first()[0]
+        first = roots(g).agg(F.min_by("id", _place(g))).first()[0]
         start = "root" if first is None else first
     allowed = g.nodes.select("id") if types is None else g.nodes.where(F.col("type").isin(*types)).select("id")
     seen = materialize(g.nodes.where(F.col("id") == start).select("id", F.lit(0).alias("level")))
@@ -249,14 +279,27 @@ def chapters_per_version(g: Graph) -> DataFrame:
     return chapters.groupBy("version").agg(F.count("*").alias("n_chapters")).orderBy("version")
 
 
-def samples(g: Graph, n: int = 10) -> DataFrame:
-    """(kind, id, target): the first n leaves, versions, chapters and edges by id; target is null but for edges."""
+def samples(g: Graph, n: int = 10, children: bool = False) -> DataFrame:
+    """(kind, id, target): the first n leaves, versions, chapters and edges, and, if asked for, children of the first root.
+
+    They come in the order of the file, where it is known, edges by their upper ends first; else by id.  target is
+    null but for edges.
+    """
     none = F.lit(None).cast("string").alias("target")
-    first = lambda df: df.orderBy("id").limit(n)
+    first = lambda df: df.orderBy(_place(g)).limit(n).select("kind", "id", "target")
     named = [("leaf", leaves(g)), ("version", of_type(g, "version")), ("chapter", of_type(g, "chapter"))]
-    out = g.edges.select(F.lit("edge").alias("kind"), F.col("source").alias("id"), "target").orderBy("id", "target").limit(n)
+    if children:
+        top = roots(g).orderBy(_place(g)).limit(1).select(F.col("id").alias("source"))
+        below = g.edges.join(F.broadcast(top), "source", "left_semi").select(F.col("target").alias("id"))  # of one row
+        named.append(("child", g.nodes.join(below, "id", "left_semi")))
+    edges = g.edges.select(F.lit("edge").alias("kind"), F.col("source").alias("id"), "target", *(["ordinal"] if "ordinal" in g.edges.columns else []))
+    if "ordinal" in g.edges.columns:
+        edges = edges.join(g.nodes.select("id", F.col("ordinal").alias("upper")), "id").orderBy("upper", "ordinal")
+    else:
+        edges = edges.orderBy("id", "target")
+    out = edges.limit(n).select("kind", "id", "target")
     for kind, nodes in named:
-        out = out.union(first(nodes.select(F.lit(kind).alias("kind"), "id", none)))
+        out = out.union(first(nodes.select(F.lit(kind).alias("kind"), *dict.fromkeys(("id", _place(g))), none)))
     return out
 
 

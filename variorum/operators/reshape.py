@@ -79,7 +79,11 @@ def version_description(version: Column) -> Column:
     return F.concat(F.lit("书本版本："), version)
 
 
-def nest(witness: DataFrame, name: str = "道德经", description: str = "树状图根节点") -> DataFrame:
+# The root's name and description in the sheet's tree; graphs of the text itself name it 道德经.
+ROOT = ("root", "树状图根节点")
+
+
+def nest(witness: DataFrame, name: str = ROOT[0], description: str = ROOT[1]) -> DataFrame:
     """One row, the tree: versions in column order, chapters ascending, sentences in row order; always one row.
 
     A tree is one value by its nature, so all of the text meets in the last aggregate: for exports, not for analysis,
@@ -112,7 +116,15 @@ def nest(witness: DataFrame, name: str = "道德经", description: str = "树状
 
 
 def flatten(tree: DataFrame) -> DataFrame:
-    """The witness table of a tree: its sentences in pre-order; row_idx numbers those of a version."""
+    """The witness table of a tree: its sentences in pre-order; row_idx numbers those of a version.
+
+    A VARIANT tree may have any shape: see trees.sentences().  A tree with typed columns, as nest() makes it, can only
+    hold sentences below chapters below versions.
+    """
+    if "tree" in tree.columns:
+        from variorum.operators.trees import sentences  # needs this module's order
+
+        return sentences(tree)
     versions = tree.select(F.posexplode("children").alias("v", "version_node"))
     chapters = versions.select("v", "version_node.name", F.posexplode("version_node.children").alias("c", "chapter"))
     sentences = chapters.select("v", "name", "c", F.posexplode("chapter.children").alias("s", "n"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from variorum.functions import text
-from variorum.operators import collate, cost, graph, realign, reshape
+from variorum.operators import collate, cost, graph, realign, reshape, trees
 from variorum.operators.edit_script import edit_replay
 from variorum.operators.graph import Graph
 from variorum.sinks import files as sinks
@@ -463,6 +463,86 @@ def samples(spark, sf_dir):
     return graph.samples(_graph(spark, sf_dir))
 
 
+# A forest of no fixed shape, a tree a customer: sentences under the root, under chapters and under parts in parts;
+# chapters without numbers or children; nodes without a type; fields that only some nodes have.
+
+
+def _forest(spark, sf_dir) -> DataFrame:
+    line = _read(spark, sf_dir, "lineitem").withColumn("n", F.struct(F.col("l_linenumber").alias("at"), F.col("l_returnflag").alias("mode")))
+    lines = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list("n")).alias("lines"))
+    own = _read(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
+    key, chapter, lit = F.col("o_orderkey"), (F.col("o_orderkey") % 7).alias("chapter_number"), lambda v, name="type": F.lit(v).alias(name)
+    words = [F.col("o_orderstatus").alias("version"), F.col("o_orderpriority").alias("text")]
+    below = F.to_json(F.transform("lines", lambda n: F.struct(lit("sentence"), chapter, n["at"].alias("sentence_number"), n["mode"].alias("text"))))
+    deep = F.to_json(F.struct(lit("sentence"), chapter, lit(1, "sentence_number"), *words))
+    # children go in as text, since no two have the same fields
+    node = (
+        F.when(key % 4 == 0, F.to_json(F.struct(lit("sentence"), chapter, (key % 5).alias("sentence_number"), *words)))
+        .when(key % 4 == 1, F.concat(F.regexp_replace(F.to_json(F.struct(lit("version"), F.concat(F.lit("v"), key % 9).alias("name"), F.col("o_orderpriority").alias("color"))), r"\}$", ""), F.lit(', "children": ['), F.regexp_replace(F.to_json(F.struct(lit("chapter"), chapter)), r"\}$", ""), F.lit(', "children": '), F.coalesce(below, F.lit("[]")), F.lit("}]}")))
+        .when(key % 4 == 2, F.concat(F.lit('{"type": "part", "children": [{"type": "part", "children": ['), deep, F.lit(']}, {"type": "chapter", "children": []}]}')))
+        .otherwise(F.concat(F.lit('{"line": '), key, F.lit(', "children": null}')))
+    )
+    grouped = own.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", node.alias("node")))).alias("nodes")).orderBy("o_custkey")
+    return grouped.select(F.parse_json(F.concat(F.lit('{"type": "root", "name": "R", "children": ['), F.array_join(F.transform("nodes", lambda n: n["node"]), ", "), F.lit("]}"))).alias("tree"))
+
+
+FOREST = """o as (select o_custkey c, o_orderkey k, o_orderkey % 7 ch, 'v' || (o_orderkey % 9) v, o_orderstatus st, o_orderpriority pr from orders),
+raw as (select distinct c, -1 k, -1 d, -1 e, 'root' as type, null::bigint ch, null::bigint s, null as version, null as text, 'R' as name, null as color, null::bigint line, null as up from o
+  union all select c, k, -1, -1, 'sentence', ch, k % 5, st, pr, null, null, null, 'root' from o where k % 4 = 0
+  union all select c, k, -1, -1, 'version', null, null, null, null, v, pr, null, 'root' from o where k % 4 = 1
+  union all select c, k, 0, -1, 'chapter', ch, null, null, null, null, null, null, v from o where k % 4 = 1
+  union all select c, k, 0, l_linenumber, 'sentence', ch, l_linenumber, v, l_returnflag, null, null, null, v from o join lineitem on l_orderkey = k where k % 4 = 1
+  union all select c, k, -1, -1, 'part', null, null, null, null, null, null, null, 'root' from o where k % 4 = 2
+  union all select c, k, 0, -1, 'part', null, null, null, null, null, null, null, null from o where k % 4 = 2
+  union all select c, k, 0, 0, 'sentence', ch, 1, st, pr, null, null, null, null from o where k % 4 = 2
+  union all select c, k, 1, -1, 'chapter', null, null, null, null, null, null, null, null from o where k % 4 = 2
+  union all select c, k, -1, -1, 'unknown', null, null, null, null, null, null, k, 'root' from o where k % 4 = 3),
+num as (select *, row_number() over (order by c, k, d, e, text) - 1 ord, row_number() over (partition by type order by c, k, d, e, text) - 1 ct from raw),
+part as (select k, max(ct) filter (where d = -1) outerct, max(ct) filter (where d = 0) innerct from num where type = 'part' group by 1),
+named as (select num.*, case type when 'root' then 'root' when 'version' then 'version_' || name when 'chapter' then 'chapter_' || coalesce(up, '' || outerct) || '_' || coalesce(ch, ct)
+    when 'sentence' then 'sentence_' || coalesce(case up when 'root' then 'unknown' else up end, '' || innerct) || '_' || ch || '_' || s else type || '_' || ct end id, outerct, innerct from num left join part using (k)),
+merged as (select id, min(type) as type, min(ord) ord, arg_max(text, ord) filter (where text is not null) as text, arg_max(color, ord) filter (where color is not null) color, arg_max(line, ord) filter (where line is not null) line from named group by 1),
+edge as (select case when d = -1 then 'root' when type = 'chapter' and up is not null then 'version_' || up when type = 'chapter' or type = 'part' then 'part_' || outerct when up is not null then 'chapter_' || up || '_' || ch else 'part_' || innerct end source, id target, min(ord) ord from named where k >= 0 group by 1, 2)"""
+
+
+@query(f"with {FOREST} select version, cast(ch as int) chapter_number, cast(s as int) sentence_number, text, ord ordinal from named where type = 'sentence'")
+def forest_sentences(spark, sf_dir):
+    return reshape.flatten(_forest(spark, sf_dir)).select("version", "chapter_number", "sentence_number", "text", "ordinal")
+
+
+@query(f"with {FOREST} select id, type, ord ordinal, text, color, line from merged")
+def forest_nodes(spark, sf_dir):
+    nodes = graph.from_tree(_forest(spark, sf_dir)).nodes
+    return nodes.select("id", F.coalesce("type", F.lit("unknown")).alias("type"), "ordinal", "text", trees.field(F.col("fields"), "color", "string").alias("color"), trees.field(F.col("fields"), "line", "long").alias("line"))
+
+
+@query(f"with {FOREST} select source, target from edge")
+def forest_edges(spark, sf_dir):
+    return graph.from_tree(_forest(spark, sf_dir)).edges.select("source", "target")
+
+
+@query(f"""with {FOREST}, e as (select 'edge' kind, source id, target from edge join merged m on m.id = source order by m.ord, edge.ord limit 10), f as (select 'leaf' kind, id, null target from merged where id not in (select source from edge) order by ord limit 10),
+v as (select 'version' kind, id, null target from merged where type = 'version' order by ord limit 10), c as (select 'chapter' kind, id, null target from merged where type = 'chapter' order by ord limit 10), d as (select 'child' kind, id, null target from merged where id in (select target from edge where source = 'root') order by ord limit 10)
+from e union all from f union all from v union all from c union all from d""")
+def forest_samples(spark, sf_dir):
+    return graph.samples(graph.from_tree(_forest(spark, sf_dir)).cached(), children=True)
+
+
+@query(f"with {FOREST} select 'node' kind, id, color, line from merged union all select 'link', source || ' ' || target, null, (select min(ord) from edge x where x.target = edge.target) from edge where source in (select id from merged where type = 'part')")
+def node_link_fields(spark, sf_dir):
+    """Fields that only some nodes and links have, written to a node-link file and read back."""
+    g = graph.from_tree(_forest(spark, sf_dir)).cached()
+    first = g.edges.groupBy("target").agg(F.min("ordinal").alias("line"))
+    links = g.edges.join(first, "target").select("source", "target", "ordinal", F.map_from_arrays(F.array(F.lit("line")), F.array(F.to_variant_object(F.array("line")))).alias("fields"))
+    path = _scratch(spark, "fields.json")
+    sinks.write_node_link(Graph(g.nodes, links), path)
+    back = sources.read_graph(spark, path)
+    value = lambda name, kind, at="$": F.try_variant_get(F.try_element_at("fields", F.lit(name)), at, kind).alias(name)
+    of_part = back.edges.join(back.nodes.where("type = 'part'").select(F.col("id").alias("source")), "source", "left_semi")
+    nodes = back.nodes.select(F.lit("node").alias("kind"), "id", value("color", "string"), value("line", "long"))
+    return nodes.union(of_part.select(F.lit("link"), F.concat_ws(" ", "source", "target"), F.lit(None).cast("string"), value("line", "long", "$[0]")))
+
+
 @query(f"with {G} select id from nodes where type in ('root', 'version')")
 def structure_view_overflow(spark, sf_dir):
     return graph.structure_view(_graph(spark, sf_dir).cached(), most_nodes=20).nodes.select("id")
