@@ -52,6 +52,29 @@ def test_scripts_are_shortest_and_lead_to_the_target(pairs):
     assert replay_array(pa.array(a, pa.string()), found).field("text").to_pylist() == b
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(texts, texts), max_size=20))
+def test_bands_give_the_script_of_the_whole_table(pairs):
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    found = script_array(a, b, None, [distance(s, t) for s, t in pairs]).field("operations").to_pylist()
+    assert found == script_array(a, b).field("operations").to_pylist()
+    for (s, t), ops in zip(pairs, found, strict=True):
+        x, y = (module._points([z], len(z) + 1, 0)[0][:-1] for z in (s, t))
+        kind, i, _ = module._trace_long(x, y, 4)[:, ::-1]
+        assert [(module.NAMES[k], at) for k, at in zip(kind.tolist(), i.tolist(), strict=True)] == [(o["type"], o["position"]) for o in ops]
+
+
+def test_tables_are_as_wide_as_the_distance(monkeypatch):
+    cells, tables = [], module._tables
+    monkeypatch.setattr(module, "_tables", lambda *x: cells.append((out := tables(*x)).size) or out)
+    r = random.Random(4)
+    s = "".join(r.choice("abcdefgh") for _ in range(9000))
+    near = [s[:at] + "Z" + s[at + 1 :] for at in (0, 500, 8999)] + ["Q" + s, s[:-1], s[:4000] + s[4003:]]
+    found = script_array([s] * 6, near, None, [1, 1, 1, 1, 1, 3]).field("operations").to_pylist()
+    assert [len(o) for o in found] == [1, 1, 1, 1, 1, 3]
+    assert sum(cells) <= 6 * 9001 * 5
+
+
 kinds = st.sampled_from(["replace", "delete", "insert", "insert", "move", None])
 one_op = st.fixed_dictionaries({"type": kinds, "char": st.sampled_from(["x", "yz", "", None]), "original_char": st.none(), "target_char": st.sampled_from(["X", "Y", None]), "position": st.sampled_from([None, -1, 0, 1, 2, 3, 9])})
 

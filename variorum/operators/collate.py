@@ -55,7 +55,8 @@ def distance_summary(witness: DataFrame) -> DataFrame:
 def collate(witness: DataFrame, distinct_texts: bool = False, most_cells: int | None = None) -> DataFrame:
     """Pair records: pairs() with edit_distance, operations and script_error.
 
-    Equal texts have no operations, and nulls go to Python in their place; distances and scripts are made in one pass.
+    Equal texts have no operations, and nulls go to Python in their place; distances and scripts are made in one pass,
+    and a script's table is a band as wide as the distance.
     With distinct_texts, each pair of texts is aligned once and joined back: for corpora where the same two texts stand
     in many places.  A pair whose table would have more than most_cells cells has a null script and an error.
     """
@@ -63,12 +64,12 @@ def collate(witness: DataFrame, distinct_texts: bool = False, most_cells: int |
     texts = ["original_text", "modified_text"]
     differ = F.col("original_text") != F.col("modified_text")
     if distinct_texts:
-        other = found.where(differ).select(*texts).distinct()
-        scripts = other.select(*texts, edit_script(*map(F.col, texts), most_cells).alias("script"))
+        other = found.where(differ).select(*texts, "edit_distance").distinct()
+        scripts = other.select(*texts, edit_script(*map(F.col, texts), most_cells, F.col("edit_distance")).alias("script"))
         none = F.struct(F.array().cast(OPERATIONS).alias("operations"), F.lit(None).cast("string").alias("error"))
         scripted = found.join(scripts, texts, "left").withColumn("script", F.when(differ, F.col("script")).otherwise(none))
     else:
-        scripted = found.withColumn("script", edit_script(*[F.when(differ, F.col(t)) for t in texts], most_cells))
+        scripted = found.withColumn("script", edit_script(*[F.when(differ, F.col(t)) for t in texts], most_cells, F.when(differ, F.col("edit_distance"))))
     return scripted.select(*found.columns, F.col("script.operations").alias("operations"), F.col("script.error").alias("script_error"))
 
 
