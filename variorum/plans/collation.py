@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from variorum.functions.text import clean_columns
 from variorum.operators import collate, cost, graph, realign, reshape
 from variorum.sources.files import read_tree
 from variorum.sources.xlsx import read_xlsx
+from variorum.streaming import annotation
 
 
 def sheet_to_witness(spark: SparkSession, path: str, sheet: str | None = None, clean: bool = True) -> DataFrame:
@@ -39,5 +43,18 @@ def realigned(pairs: DataFrame, responses: DataFrame, start: int = 0, end: int |
     return realign.accepted(done), realign.rejected(done)
 
 
+def realigned_by(pairs: DataFrame, call: Callable[[str], str], folder: str, attempts: int = 2, **options) -> tuple[DataFrame, DataFrame]:
+    """Accepted pairs and dead letters by what call answers; with the same folder a run that was stopped goes on.
+
+    Replies that do not lead from one text to the other are asked again with their error.  options are those of
+    streaming.annotation.run().
+    """
+    replies = annotation.run(realign.requests(pairs), realign.KEYS, call, folder, attempts, realign.checked(pairs), realign.again, **options)
+    done = realign.realign(pairs, replies)
+    failed = replies.where("error is not null").select(*realign.KEYS, F.col("error").alias("__error"))
+    done = done.join(failed, realign.KEYS, "left").withColumn("error", F.coalesce("__error", "error")).drop("__error")
+    return realign.accepted(done), realign.rejected(done)
+
+
 def tree_to_graph(spark: SparkSession, path: str) -> graph.Graph:
     return graph.from_tree(read_tree(spark, path))

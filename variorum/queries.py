@@ -22,6 +22,7 @@ from variorum.sources import files as sources
 from variorum.sources.annotator import answered
 from variorum.sources.xlsx import inferred, read_workbook, read_xlsx
 from variorum.storage import materialize, shared_path
+from variorum.streaming import annotation
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -617,6 +618,31 @@ def answers(spark, sf_dir):
     return answered(_read(spark, sf_dir, "customer").select("c_custkey", name.alias("prompt")), ["c_custkey"], call, parallel=4)
 
 
+def _replied(prompt: str) -> str:
+    """A service that answers a third of the prompts at once, a third when it is asked again, and the rest never."""
+    kind = len(prompt.split("\nYour last reply")[0]) % 3
+    if kind == 2:
+        raise TimeoutError("slow")
+    if kind == 1 and "Your last reply" not in prompt:
+        return "no JSON"
+    return f'{{"edit_distance": {re.search("Fewest operations: ([0-9]+)", prompt)[1]}, "operations": {re.search("that were found: (.*)", prompt)[1]}}}'
+
+
+# One text for each sentence of a version, so that versions and numbers tell pairs apart.
+ONE_EACH = SCRIPTS.replace(WIT, WIT[:-1] + " qualify row_number() over (partition by p_brand, p_size, p_partkey % 8 order by p_partkey desc) = 1)")
+
+
+@query(f"""with recursive {ONE_EACH}, o as (select id, string_agg({OBJECT}, ',' order by step) t from ops group by id), p as (select prs.*, length({_filled(realign.PROMPT, *ASKED)}) % 3 kind from prs join o using (id))
+select {KEY_SQL}, cast(case kind when 0 then 1 else 2 end as int) attempt, case kind when 2 then 'TimeoutError: slow' end error from p""")
+def retried_requests(spark, sf_dir):
+    """Realignments asked in two attempts: the second has the dead letters of the first."""
+    own = witness(spark, sf_dir)
+    last = own.groupBy("version_idx", "version", "chapter_number", "sentence_number").agg(F.max_by("text", "row_idx").alias("text"), F.max("row_idx").alias("row_idx"))
+    pairs = materialize(collate.collate(last))
+    found = annotation.run(realign.requests(pairs), KEYS, _replied, shared_path(spark, "run"), 2, realign.checked(pairs), realign.again)
+    return found.select(*KEYS, "attempt", "error")
+
+
 # Files written and read back
 
 
