@@ -11,7 +11,7 @@ of a phrase in it, so only phrases whose cells both reach the least count can be
 frequent, and of these only those whose parts can be, too.  The second pass
 counts just these, by their words, and exactly.
 
-The rows have as many cells as the corpus has bytes, whatever its size.  What
+The rows have a cell for every eight bytes of the corpus, whatever its size.  What
 goes to the tasks of the second pass is a bit a cell, or a bit for several
 neighbouring cells where ``BITS`` would not do: then more phrases survive to the
 exact counts, none is lost.
@@ -175,16 +175,17 @@ def sketch(docs: DataFrame, most: int, least: int) -> Sketch:
     """Of docs (key, text): merged count-min sketches of the phrases of one to most words."""
     buckets = buckets_for(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(total.bit_length(), buckets.bit_length() - 1 + 12)
+    bits = max(total.bit_length() - 3, buckets.bit_length() - 1 + 12)
     low = bits - (buckets.bit_length() - 1)
     fold = min(low - 3, max(0, bits - (BITS.bit_length() - 1)))
     sent = docs.mapInArrow(tidy(_sketched(most, bits, buckets)), "slot long, cells binary, counts binary")
     merged = sent.groupBy("slot").applyInArrow(tidy_group(_merged(low, least, fold)), "slot long, marks binary")
     size = 1 << (low - fold - 3)
     marks = [np.zeros(size * buckets, np.uint8) for _ in range(ROWS)]
-    for r in merged.toLocalIterator():  # ROWS * BITS bits in all
-        row, b = divmod(r["slot"], buckets)
-        marks[row][b * size : (b + 1) * size] = np.frombuffer(r["marks"], np.uint8)
+    found = merged.toArrow()  # ROWS * BITS bits in all
+    for slot, part in zip(found["slot"].to_pylist(), found["marks"], strict=True):
+        row, b = divmod(slot, buckets)
+        marks[row][b * size : (b + 1) * size] = np.frombuffer(part.as_buffer(), np.uint8)
     return Sketch(bits, fold, marks)
 
 
