@@ -57,6 +57,30 @@ def test_toxicity_ignores_labels_of_held_out_rows(spark, labelled):
     assert rows(toxicity.digest(docs, labels)) == rows(toxicity.digest(docs, flipped))
 
 
+def test_toxicity_learns_from_bounded_rows(spark, monkeypatch):
+    """However often a labelled row is repeated, the driver gets one text of an id, and so many n-grams in all."""
+    rows_ = [(i % 3, f"text {i % 3} {'x' * (i % 2)}") for i in range(3000)] + [(10 + i, sentences(i, 400)) for i in range(40)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 3, "doc_id long, toxic int")
+    fitted = []
+    fit = toxicity.Model.fit
+    monkeypatch.setattr(toxicity.Model, "fit", staticmethod(lambda rows, toxic: fitted.append((rows, toxic)) or fit(rows, toxic, steps=3)))
+    toxicity.train(docs, labels, per_class=20)
+    toxicity.train(docs, labels, per_class=4)
+    monkeypatch.setattr(toxicity, "FEATURES", 5000)
+    toxicity.train(docs, labels, per_class=20)
+    learnt = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in [0, 1, 2, *range(10, 50)])
+    assert len(fitted[0][0]) <= min(40, learnt) and len(fitted[1][0]) <= 8
+    assert {0, 1} == set(fitted[2][1].tolist()) and sum(map(len, fitted[2][0])) <= 5000 and len(fitted[2][0]) < len(fitted[0][0])
+
+
+def test_toxicity_keeps_every_n_gram():
+    r = np.random.default_rng(0)
+    sets = [np.unique(r.integers(0, 1 << toxicity.BITS, 50)).astype(np.uint32) for _ in range(40)] + [np.zeros(0, np.uint32)]
+    model = toxicity.Model.fit(sets, np.arange(41) % 4 == 0, steps=5)
+    assert set(model.buckets.tolist()) == set(np.concatenate(sets).tolist()) and np.isfinite(model.weights).all()
+
+
 def test_toxicity_of_odd_rows(docs, no_docs, labelled):
     _, labels, _ = labelled
     found = toxicity.digest(docs, labels)
