@@ -262,3 +262,11 @@ def test_cyclic_and_many_parents(spark):
     for pairs, wanted in ((path, True), (diamond, True), (path + diamond, True), ([*path, ("n006", "n002")], False), ([*diamond, ("d", "a")], False), ([("x", "x")], False), ([*path, ("x", "y"), ("y", "x")], False)):
         g = graph_of(pairs, ["alone"])
         assert graph.statistics(g).first()["is_acyclic"] is wanted is graph.is_acyclic(g)
+
+
+def test_sheets_asked_for_one_at_a_time(spark, tmp_path):
+    one = spark.createDataFrame([("a",)], "x string")
+    path = str(tmp_path / "book.xlsx")
+    sinks.write_workbook({"x": one, "y": one}, path)
+    found = [sinks.workbook_to_csv(spark, path, sheets=[s])[0].rsplit("/", 1)[1] for s in ("x", "y")]
+    assert found == ["book_x.csv", "book_y.csv"]

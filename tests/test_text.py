@@ -67,3 +67,10 @@ def test_labels(spark):
 def test_id_parts(spark):
     df = spark.createDataFrame([("chapter_gd_3",)], "id string")
     assert tuple(df.select(text.id_part(F.col("id"), 1), text.id_part(F.col("id"), -1), text.id_part(F.col("id"), 7)).collect()[0]) == ("gd", "3", None)
+
+
+def test_patterns_that_are_no_regular_expressions(spark):
+    cells = spark.createDataFrame([("(",), (" ( ",), ("x(",), ("a)|(b",), ("12",), ("[",), (None,)], "cell string")
+    found = {r.cell: r.s for r in cells.select("cell", text.is_special(F.col("cell"), ["(", "a)|(b", r"\d+"]).alias("s")).collect()}
+    assert found == {"(": True, " ( ": True, "x(": False, "a)|(b": True, "12": True, "[": False, None: None}
+    assert cells.where(text.is_special(F.col("cell"), ["["])).count() == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +33,24 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)\A{_SPACE}|{_SPACE}\z", "")
 
 
+def _compiles(pattern: str) -> bool:
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def is_special(text: Column, patterns: list[str] | None = None) -> Column:
-    """Whether a cell, without outer white space, matches a pattern from its start to the end of the last alternative."""
-    joined = "|".join(f"(?:{p}$)" for p in (SPECIAL if patterns is None else patterns))
-    if not joined:
-        return F.lit(False)
-    return strip(text).rlike(rf"(?dU)\A(?:{joined})")
+    """Whether a cell, without outer white space, matches a pattern from its start to the end of the last alternative.
+
+    A pattern that is no regular expression is compared as it stands.
+    """
+    given = SPECIAL if patterns is None else patterns
+    good = [p for p in given if _compiles(f"{p}$")]
+    found = strip(text).rlike(rf"(?dU)\A(?:{'|'.join(f'(?:{p}$)' for p in good)})") if good else F.lit(False)
+    broken = [p for p in given if p not in good]
+    return found | strip(text).isin(*broken) if broken else found
 
 
 def null_special(text: Column, patterns: list[str] | None = None) -> Column:
