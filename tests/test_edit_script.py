@@ -87,6 +87,24 @@ def test_replay_of_arrays_is_that_of_rows(rows):
     assert [(r["text"], r["error"]) for r in found] == [replay(s, o) for s, o in rows]
 
 
+def test_replay_in_any_order():
+    """Long scripts whose positions are shuffled: deletions in runs, insertions into them before and after."""
+    draw = random.Random(6)
+    kind = pa.list_(pa.struct([(k, pa.string()) for k in ("type", "char", "original_char", "target_char")] + [("position", pa.int32())]))
+    texts, given = [], []
+    for size in (0, 1, 7, 40, 300):
+        for _ in range(8):
+            at = draw.sample(range(size), size * 3 // 4)
+            ops = [{"type": "delete", "position": p} for p in at] + [{"type": "insert", "char": draw.choice(["x", "yz", ""]), "position": draw.randint(-2, size + 2)} for _ in range(size // 2 + 1)]
+            ops += [{"type": "replace", "target_char": draw.choice("XYZ"), "position": p} for p in set(range(size)) - set(at)]
+            draw.shuffle(ops)
+            texts.append("".join(draw.choice("ab道🂡") for _ in range(size)))
+            given.append(ops)
+    found = replay_array(pa.array(texts), pa.array(given, kind)).to_pylist()
+    assert [(r["text"], r["error"]) for r in found] == [replay(s, o) for s, o in zip(texts, given, strict=True)]
+    assert replay_array(pa.array(["a"]), pa.array([[None]], kind)).to_pylist() == [{"text": None, "error": "operation None without a position"}]
+
+
 def test_replay_rules():
     op = lambda kind, at, ch="x": {"type": kind, "position": at, "char": ch, "target_char": ch, "original_char": "never compared"}
     assert replay("abc", [op("insert", 1, "x"), op("insert", 1, "y")]) == ("axybc", None)
