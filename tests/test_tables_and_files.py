@@ -264,6 +264,64 @@ def test_cyclic_and_many_parents(spark):
         assert graph.statistics(g).first()["is_acyclic"] is wanted is graph.is_acyclic(g)
 
 
+@pytest.fixture
+def tables(monkeypatch):
+    """Counts the tables that graph operators write."""
+    written = []
+    real = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df: (written.append(1), real(df))[1])
+    return written
+
+
+def _graph_of(spark, pairs, more=()):
+    ids = sorted({x for p in pairs for x in p} | set(more))
+    return Graph(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(pairs, "source string, target string"))
+
+
+def test_long_ways_cost_few_tables(spark, tables):
+    n = 500
+    ids = spark.range(n + 1).select(F.format_string("n%05d", "id").alias("id"))
+    path = spark.range(n).select(F.format_string("n%05d", "id").alias("source"), F.format_string("n%05d", F.col("id") + 1).alias("target"))
+    assert graph.max_depth(Graph(ids, path)).first()[0] == n and len(tables) <= 12
+    found = graph.levels(Graph(ids, path), "n00100").orderBy("id").collect()
+    assert [(r.id, r.level) for r in found[:2]] == [("n00100", 0), ("n00101", 1)] and len(found) == n - 99
+    tables.clear()
+    jump = spark.createDataFrame([("n00000", "n00250")], path.schema)
+    assert graph.is_acyclic(Graph(ids, path.union(jump))) and len(tables) <= 16
+    tables.clear()
+    back = spark.createDataFrame([("n00480", "n00010")], path.schema)
+    assert not graph.is_acyclic(Graph(ids, path.union(jump).union(back))) and len(tables) <= 50
+
+
+def test_depth_with_cycles_and_foreign_ends(spark):
+    pairs = [("r", "a"), ("a", "b"), ("b", "c"), ("x", "y"), ("y", "z"), ("z", "x"), ("r", "a")]
+    g = _graph_of(spark, pairs, ["alone"])
+    level = lambda *a, **k: {r.id: r.level for r in graph.levels(*a, **k).collect()}
+    assert level(g, "r") == {"r": 0, "a": 1, "b": 2, "c": 3} and level(g, "alone") == {"alone": 0} and level(g, "none") == {}
+    assert level(g, "y") == {"y": 0, "z": 1, "x": 2}
+    only = Graph(g.nodes.where("id <> 'b'"), g.edges)
+    assert level(only, "r") == {"r": 0, "a": 1} and level(only, "c") == {"c": 0} and level(only, "b") == {}
+    typed = Graph(g.nodes.withColumn("type", F.when(F.col("id") == "b", "other").otherwise("own")), g.edges)
+    assert level(typed, "r", types=("own",)) == {"r": 0, "a": 1} and level(typed, "b", types=("own",)) == {"b": 0, "c": 1}
+
+
+def test_cycles_of_any_graph(spark):
+    """Random graphs against a walk that takes away nodes without parents."""
+    import random
+
+    draw = random.Random(3)
+    for size, edges, cyclic in ((8, 14, False), (8, 14, True)):
+        pairs = {tuple(sorted(draw.sample(range(size), 2))) for _ in range(edges)}
+        if cyclic:
+            pairs |= {(b, a) for a, b in draw.sample(sorted(pairs), 1)}
+        left = set(pairs)
+        while any(rest := {(a, b) for a, b in left if a in {y for _, y in left}}) and rest != left:
+            left = rest
+        wanted = not left or not rest
+        names = [(f"n{a:02}", f"n{b:02}") for a, b in sorted(pairs)]
+        assert graph.is_acyclic(_graph_of(spark, names)) is wanted is not cyclic
+
+
 def test_sheets_asked_for_one_at_a_time(spark, tmp_path):
     one = spark.createDataFrame([("a",)], "x string")
     path = str(tmp_path / "book.xlsx")

@@ -181,12 +181,46 @@ def _place(g: Graph) -> str:
     return "ordinal" if "ordinal" in g.nodes.columns else "id"
 
 
+def _heads(pointers: DataFrame) -> tuple[DataFrame, bool]:
+    """(id, head, steps, done) of (id, up), where each id stands once, and whether every way ends.
+
+    head is where the way up ends, a row without up, and steps their distance.  Each round doubles the reach of all
+    pointers, so the rounds grow with the logarithm of the longest way.  A way that runs into a cycle has no end: a
+    round that ends none is the last, and such rows are not done.
+    """
+    up = F.col("up")
+    now = materialize(pointers.select("id", F.coalesce(up, "id").alias("head"), up.isNotNull().cast("long").alias("steps"), up.isNull().alias("done")))
+    left = now.where("not done").count()
+    while left:
+        jump = now.select(F.col("id").alias("head"), F.col("head").alias("next"), F.col("steps").alias("more"), F.col("done").alias("ends"))
+        far = now.where("not done").join(jump, "head").select("id", F.col("next").alias("head"), F.col("steps") + F.col("more"), F.col("ends").alias("done"))
+        before, now = now, materialize(now.where("done").union(far))
+        discard(before)
+        open_, left = left, now.where("not done").count()
+        if left == open_:
+            return now, False
+    return now, True
+
+
 def levels(g: Graph, start: str | None = None, most: int | None = None, types: tuple[str, ...] | None = None) -> DataFrame:
-    """(id, level): edges from start, by default from the first root, by place in the file or else by id; walks stop at nodes of other types than given."""
+    """(id, level): edges from start, by default from the first root, by place in the file or else by id; walks stop at nodes of other types than given.
+
+    Where no node has two parents and no most is given, pointers to ancestors double their reach each round; else each
+    round is a level.
+    """
     if start is None:
         first = roots(g).agg(F.min_by("id", _place(g))).first()[0]
         start = "root" if first is None else first
     allowed = g.nodes.select("id") if types is None else g.nodes.where(F.col("type").isin(*types)).select("id")
+    if most is None:
+        ids = g.nodes.select("id").distinct()
+        ways = g.edges.select("source", "target").where(F.col("target") != start).distinct().join(allowed.select(F.col("id").alias("target")), "target", "left_semi")
+        ways = materialize(ways.join(ids.select(F.col("id").alias("source")), "source", "left_semi"))
+        if ways.groupBy("target").count().where("count > 1").isEmpty():
+            found, _ = _heads(ids.join(ways.select(F.col("target").alias("id"), F.col("source").alias("up")), "id", "left"))
+            discard(ways)
+            return found.where(F.col("done") & (F.col("head") == start)).select("id", F.col("steps").cast("int").alias("level"))
+        discard(ways)
     seen = materialize(g.nodes.where(F.col("id") == start).select("id", F.lit(0).alias("level")))
     rim, level = seen, 0
     while most is None or level < most:
@@ -221,19 +255,35 @@ def is_acyclic(g: Graph, n_components: int | None = None) -> bool:
     """Whether the edges make no cycle.
 
     Where the number of weak components is given, each node has at most one parent and no end is missing, counts
-    decide: such a graph is a forest if it has as many edges as nodes beyond one a component.  Else nodes without
-    incoming or without outgoing edges are taken away, again and again, until none is left or none goes.
+    decide: such a graph is a forest if it has as many edges as nodes beyond one a component.  Else a node with one
+    parent is taken into it, whole chains and trees at a time by doubling pointers, which keeps every cycle; edges that
+    come from nodes without parents go; and the next round does the same the other way round.  So long ways cost the
+    logarithm of their length, and rounds count only levels of nodes with several parents and several children.
     """
-    edges = materialize(g.edges.distinct())
+    edges = materialize(g.edges.select("source", "target").distinct())
     n = edges.count()
     if n_components is not None and edges.groupBy("target").count().where("count > 1").isEmpty() and dangling(g).isEmpty():
         return n == g.nodes.count() - n_components
+    still = 0  # rounds in a row that changed nothing
     while n:
-        reached, left_from = edges.select(F.col("target").alias("source")).distinct(), edges.select(F.col("source").alias("target")).distinct()
-        before, edges = edges, materialize(edges.join(reached, "source", "left_semi").join(left_from, "target", "left_semi").select("source", "target"))
-        discard(before)
+        if not edges.where("source = target").isEmpty():
+            return False
+        by_target = edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n"), F.min("source").alias("low"))
+        ids = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
+        pointers = ids.join(by_target, "id", "left").select("id", F.when(F.col("n") == 1, F.col("low")).alias("up"), F.col("n").isNull().alias("first"))
+        pointers = materialize(pointers)
+        heads, ends = _heads(pointers)
+        if not ends:
+            return False
+        own = heads.select(F.col("id").alias("source"), "head").join(pointers.where("not first").select(F.col("id").alias("head")), "head", "left_semi")
+        several = pointers.where("not first and up is null").select(F.col("id").alias("target"))
+        kept = edges.join(several, "target", "left_semi").join(own, "source").select(F.col("target").alias("source"), F.col("head").alias("target")).distinct()
+        before, edges = edges, materialize(kept)  # turned round
+        for table in (before, pointers, heads):
+            discard(table)
         left = edges.count()
-        if left == n:
+        still = still + 1 if left == n else 0
+        if still == 2:
             return False
         n = left
     return True
