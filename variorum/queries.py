@@ -306,7 +306,8 @@ def _graph(spark, sf_dir) -> Graph:
     return graph.from_witness(_tree_witness(spark, sf_dir))
 
 
-G = """w as (select r_name as version, n_nationkey ch, c_custkey s, c_name as text from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+W = "w as (select r_name as version, n_nationkey ch, c_custkey s, c_name as text from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"
+G = f"""{W},
 nodes as (select 'root' id, 'root' as type, '道德经' as name, null as version
   union all select distinct 'version_' || version, 'version', version, null from w
   union all select distinct 'chapter_' || version || '_' || ch, 'chapter', 'Chapter ' || ch, null from w
@@ -382,7 +383,12 @@ def node_relations(spark, sf_dir):
     return named("child", graph.children(g, "version_ASIA")).union(named("parent", graph.parents(g, "version_ASIA"))).union(named("neighbour", graph.neighbours(g, "version_ASIA")))
 
 
-@query(f"with {G.replace('nodes as (', 'nodes as materialized (').replace('edges as (', 'edges as materialized (')} select source, target, a.type source_type, b.type target_type from edges join nodes a on a.id = source join nodes b on b.id = target")
+EDGE_TYPES = """select distinct 'root' source, 'version_' || version target, 'root' source_type, 'version' target_type from w
+  union all select distinct 'version_' || version, 'chapter_' || version || '_' || ch, 'version', 'chapter' from w
+  union all select distinct 'chapter_' || version || '_' || ch, 'sentence_' || version || '_' || ch || '_' || s, 'chapter', 'sentence' from w"""
+
+
+@query(f"with {W} {EDGE_TYPES}")
 def edge_types(spark, sf_dir):
     return graph.enriched_edges(_graph(spark, sf_dir))
 
