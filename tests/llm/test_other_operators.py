@@ -176,6 +176,30 @@ def test_longer_hashes_find_the_same(spark, monkeypatch):
     assert found[100] == set(range(5, 15))
 
 
+def test_rows_sent_on_do_not_grow_with_the_probes(spark, monkeypatch):
+    """Vectors spread evenly, with short and with long hashes: eleven rows a probe without bounds."""
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(6000, 16)))], "vec_id long, embedding array<double>").cache()
+    real, sent = ann._search, []
+    for bucket in (200, 8):
+        rows_out = spark.sparkContext.accumulator(0)
+
+        def counted(k, rows_out=rows_out):
+            def run(classes, probes):
+                out = real(k)(classes, probes)
+                rows_out.add(out.num_rows)
+                return out
+
+            return run
+
+        monkeypatch.setattr(ann, "_search", counted)
+        monkeypatch.setattr(ann, "BUCKET", bucket)
+        assert ann.search(df).count() == 600
+        sent.append(rows_out.value / 60)
+    assert max(sent) < 400 and list(ann._waves(3, 40)) == [(range(1), range(1)), (range(1), range(1, 16)), (range(1), range(16, 40)), (range(1, 3), range(40))]
+    df.unpersist()
+
+
 def test_no_vectors(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert ann.search(spark.createDataFrame([(100, [1.0])], "vec_id long, embedding array<float>")).count() == 0

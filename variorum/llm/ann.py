@@ -9,6 +9,12 @@ of them where there are more buckets.  Vectors and probes meet by (table,
 bucket); there all candidates are compared by their exact distance, and the
 best of each bucket go on to the final rank.
 
+Probes go in waves: the first table's nearest bucket, then its other buckets,
+up to sixteen times as many a wave, then the other tables.  The farthest of the
+best that the waves before have found bounds a query's next wave, which
+compares all candidates of its probes and sends on only those within the bound;
+so the rows a query sends on do not grow with its probes.
+
 Equal vectors are one class with its smallest ids, as many as a result can
 need, so copies cost no more than one vector.  Buckets of many classes are cut
 into parts.  Queries that their probes leave short of results are searched
@@ -32,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from variorum.llm._shared import materialize, tidy, tidy_both
+from variorum.llm._shared import discard, materialize, tidy, tidy_both
 
 #: Tables, and buckets that a query probes in each while a bucket is one axis.
 TABLES, PROBES = 8, 12
 #: Vectors that a bucket holds, about, and the power of a bucket's parts by which probes grow.
-BUCKET, GROWTH = 512, 0.75
+BUCKET, GROWTH = 128, 0.75
+#: Probes of the first table after a wave for one before it.
+WAVE = 16
 #: Classes of a part of a bucket, and queries of a block of the exact search.
 PART, BLOCK = 4096, 1024
 
@@ -119,16 +127,16 @@ def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, np.frombuffer(b"".join([raw[i] for i in at]), np.float64).reshape(len(at), -1)
 
 
-def _hashed(tables: int, probes: int, parts: int, names: list[str]):
-    step = max(1, (1 << 14) // probes)  # rows whose sums of margins are held at once
+def _hashed(tables: range, probes: range, parts: int, names: list[str]):
+    step = max(1, (1 << 14) // probes.stop)  # rows whose sums of margins are held at once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, vectors in _matrices(batch["vec"]):
                 rows = pa.array(at)
-                for t in range(tables):
-                    keys = np.concatenate([buckets(vectors[i : i + step], t, probes, parts) for i in range(0, len(vectors), step)])
-                    for j in range(keys.shape[1]):
+                for t in tables:
+                    keys = np.concatenate([buckets(vectors[i : i + step], t, probes.stop, parts) for i in range(0, len(vectors), step)])
+                    for j in range(probes.start, keys.shape[1]):
                         yield pa.RecordBatch.from_arrays([pa.array(keys[:, j]), *(batch[n].take(rows) for n in names)], names=["key", *names])
 
     return run
@@ -147,9 +155,13 @@ def nearest(queries: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[
             yield at, np.sqrt(np.square(vectors[at] - q).sum(1))
 
 
-def _found(queries: list, wanted: np.ndarray, ids: list[list[int]], vectors: np.ndarray, k: int) -> pa.Table:
+def _found(queries: list, wanted: np.ndarray, limits: np.ndarray | None, ids: list[list[int]], vectors: np.ndarray, k: int) -> pa.Table:
+    """The k nearest of each query, of those no farther than its limit."""
     out = []
-    for q, (at, distance) in zip(queries, nearest(wanted, vectors, k), strict=True):
+    for n, (q, (at, distance)) in enumerate(zip(queries, nearest(wanted, vectors, k), strict=True)):
+        if limits is not None:
+            within = distance <= limits[n]
+            at, distance = at[within], distance[within]
         best = sorted((d, i) for a, d in zip(at.tolist(), distance.tolist(), strict=True) for i in ids[a])
         out += [(q, i, d) for d, i in best[:k]]
     cols = list(zip(*out, strict=True)) or [(), (), ()]
@@ -162,9 +174,9 @@ _FOUND = "q long, vec_id long, score double"
 def _search(k: int):
     def run(classes: pa.Table, probes: pa.Table) -> pa.Table:
         if not classes.num_rows or not probes.num_rows:
-            return _found([], np.zeros((0, 1)), [], np.zeros((1, 1)), k)
+            return _found([], np.zeros((0, 1)), None, [], np.zeros((1, 1)), k)
         read = lambda t: np.frombuffer(b"".join(t["vec"].to_pylist()), np.float64).reshape(t.num_rows, -1)  # noqa: E731  a key has one dimension
-        return _found(probes["q"].to_pylist(), read(probes), classes["ids"].to_pylist(), read(classes), k)
+        return _found(probes["q"].to_pylist(), read(probes), probes["far"].to_numpy(), classes["ids"].to_pylist(), read(classes), k)
 
     return run
 
@@ -177,11 +189,21 @@ def _exact(block, k: int):
                 own = [(q, v) for q, v in block.value if len(v) == vectors.shape[1] * 8]
                 if own:
                     wanted = np.frombuffer(b"".join([v for _, v in own]), np.float64).reshape(len(own), -1)
-                    yield from _found([q for q, _ in own], wanted, [ids[i] for i in at], vectors, k).to_batches()
+                    yield from _found([q for q, _ in own], wanted, None, [ids[i] for i in at], vectors, k).to_batches()
 
     return run
 
 
+def _waves(tables: int, probes: int) -> Iterator[tuple[range, range]]:
+    """Tables and probes that follow one another."""
+    done, upto = 0, 1
+    while done < probes:
+        yield range(1), range(done, min(upto, probes))
+        done, upto = upto, upto * WAVE
+    if tables > 1:
+        yield range(1, tables), range(probes)
+
+
 def search(embeddings: DataFrame, every: int = 100, k: int = 10, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found of each vector whose id ``every`` divides."""
     spark = embeddings.sparkSession
@@ -199,12 +221,22 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, tables: int = T
     axes = 2 << max(widest // 8 - 1, 1).bit_length()
     cut = 1 << max(0, math.ceil(math.log2(max(1, classes.count()) / (axes * BUCKET))))  # parts of an axis
     probes = math.ceil(probes * cut**GROWTH)
-    keys = classes.select("vec").mapInArrow(tidy(_hashed(tables, 1, cut, [])), "key long").groupBy("key").count()
-    parts = keys.select("key", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-    index = classes.mapInArrow(tidy(_hashed(tables, 1, cut, ["vec", "ids"])), "key long, vec binary, ids array<long>").join(parts, "key").withColumn("part", F.pmod(F.xxhash64("vec"), F.col("parts").cast("long")).cast("int"))
-    probed = heads.mapInArrow(tidy(_hashed(tables, probes, cut, ["vec", "q"])), "key long, vec binary, q long").join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = index.select("key", "part", "vec", "ids").groupBy("key", "part").cogroup(probed.select("key", "part", "vec", "q").groupBy("key", "part")).applyInArrow(tidy_both(_search(k + 1)), _FOUND)
-    found = materialize(_best(met, k))
+    keys = classes.select("vec").mapInArrow(tidy(_hashed(range(tables), range(1), cut, [])), "key long").groupBy("key").count()
+    parts = materialize(keys.select("key", F.ceil(F.col("count") / PART).cast("int").alias("parts")))
+    found = None
+    for wave in _waves(tables, probes):
+        index = classes.mapInArrow(tidy(_hashed(wave[0], range(1), cut, ["vec", "ids"])), "key long, vec binary, ids array<long>").join(parts, "key")
+        index = index.withColumn("part", F.pmod(F.xxhash64("vec"), F.col("parts").cast("long")).cast("int"))
+        far = F.lit(math.inf) if found is None else F.when(F.col("n") > k, F.col("far")).otherwise(math.inf)
+        limited = heads if found is None else heads.join(found.groupBy("q").agg(F.count("*").alias("n"), F.max("score").alias("far")), "q", "left")
+        limited = limited.select("q", "vec", far.alias("far"))
+        probed = limited.mapInArrow(tidy(_hashed(*wave, cut, ["vec", "q", "far"])), "key long, vec binary, q long, far double").join(parts, "key")
+        probed = probed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        met = index.select("key", "part", "vec", "ids").groupBy("key", "part").cogroup(probed.select("key", "part", "vec", "q", "far").groupBy("key", "part")).applyInArrow(tidy_both(_search(k + 1)), _FOUND)
+        before, found = found, materialize(_best(met if found is None else found.union(met), k))
+        if before is not None:
+            discard(before)
+    discard(parts)
 
     ids = classes.select(F.col("vec").alias("v"), F.size("ids").alias("n")).groupBy(F.length("v").alias("size")).agg(F.sum("n").alias("most"))
     short = members.select("q", F.length("vec").alias("size"), "vec").dropDuplicates(["q"]).join(found.groupBy("q").count(), "q", "left").join(ids, "size")
