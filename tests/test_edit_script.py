@@ -201,3 +201,32 @@ def test_seven_witnesses_make_21_pairs(spark):
 def test_exploded_operations(witness):
     found = collate.exploded_operations(collate.collate(witness))
     assert {"step", "type", "position"} <= set(found.columns) and found.where("step < 0").count() == 0
+
+
+def test_copies_are_paired_once(spark):
+    """Work goes by different rows; each pair still comes as often as there are copies of its sides."""
+    rows = [(v, f"v{v}", c, 1, 100 * c + 10 * v + k, f"text {v} {k % 2}") for c in (1, 2) for v in range(3) for k in range(8)]
+    own = spark.createDataFrame(rows, "version_idx int, version string, chapter_number int, sentence_number int, row_idx long, text string")
+    found = collate.distinct_pairs(own)
+    assert found.count() == 2 * 3 * 2 * 2 and found.agg(F.sum("n_copies")).first()[0] == 2 * 3 * 64
+    assert collate.text_scripts(own).count() == 12
+    names = ["chapter_number", "original_text_version", "original_text", "modified_text_version", "modified_text"]
+    wanted = sorted((a[2], a[1], a[5], b[1], b[5]) for a in rows for b in rows if a[2] == b[2] and a[1] < b[1])
+    for many in (collate.pairs(own), collate.pairs(own, hot=5), collate.collate(own), collate.collate(own, distinct_texts=True)):
+        assert sorted(map(tuple, many.select(*names).collect())) == wanted
+    assert collate.distance_summary(own).agg(F.sum("n_pairs")).first()[0] == len(wanted)
+
+
+def test_expanded_beyond_one_list(spark):
+    counts = [1, 4095, 4096, 4097, 10_000]
+    found = collate.expanded(spark.createDataFrame([(n, n) for n in counts], "a long, n_copies long"))
+    assert {r["a"]: r["count"] for r in found.groupBy("a").count().collect()} == {n: n for n in counts}
+
+
+@pytest.mark.parametrize(("start", "end"), [(0, 5), (70, 140), (-3, 2), (190, None), (10, 10)])
+def test_slice_of_pairs_that_are_not_made(spark, start, end):
+    rows = [(v, f"v{v}", c, s, 1000 * c + 100 * s + 10 * v + k, f"text {k % 2}") for c in (2, 1) for s in (1, 2) for v in range(3) for k in range(5)]
+    own = spark.createDataFrame(rows, "version_idx int, version string, chapter_number int, sentence_number int, row_idx long, text string")
+    wanted = collate.index_slice(collate.pair_index(collate.pairs(own), own), start, end)
+    found = collate.pair_slice(own, start, end)
+    assert sorted(map(tuple, found.select(*wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
