@@ -1,4 +1,5 @@
 import json
+import re
 import time
 from xml.etree import ElementTree
 
@@ -328,3 +329,40 @@ def test_sheets_asked_for_one_at_a_time(spark, tmp_path):
     sinks.write_workbook({"x": one, "y": one}, path)
     found = [sinks.workbook_to_csv(spark, path, sheets=[s])[0].rsplit("/", 1)[1] for s in ("x", "y")]
     assert found == ["book_x.csv", "book_y.csv"]
+
+
+def test_parts_are_whole_documents(spark, tmp_path, monkeypatch):
+    """Folders of documents of a few records each, written by tasks, read back as one file is."""
+    rows = [(f"n{i:02}", "chapter", f'a "b" & <{i}>') for i in range(25)]
+    nodes = spark.createDataFrame(rows, "id string, type string, name string").repartition(3)
+    edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(24)] + [("n00", "gone")], "source string, target string")
+    g = Graph(nodes, edges)
+    monkeypatch.setattr(sinks._write_parts, "__defaults__", (4,))
+    monkeypatch.setattr(type(nodes), "toLocalIterator", None)  # nothing streams through the driver
+    sinks.write_node_link_parts(g, str(tmp_path / "link"))
+    sinks.write_graphml_parts(g, str(tmp_path / "graphml"))
+    sinks.write_gml_parts(g, str(tmp_path / "gml"))
+    sinks.write_json_arrays(nodes, str(tmp_path / "json"))
+    monkeypatch.undo()
+    names = lambda kind: sorted((tmp_path / kind).glob("part-*"))
+    assert all(len(names(kind)) >= 7 for kind in ("link", "graphml", "gml", "json"))
+    assert sorted(x["id"] for f in names("json") for x in json.loads(f.read_text())) == [r[0] for r in rows]
+    whole = [ElementTree.parse(f).getroot() for f in names("graphml")]
+    assert sum(len(x.findall(".//{*}node")) for x in whole) == 25 and sum(len(x.findall(".//{*}edge")) for x in whole) == 25
+    texts = [f.read_text() for f in names("gml")]
+    assert all(t.count("[") == t.count("]") for t in texts) and sum(t.count("edge [") for t in texts) == 24
+    number = {b: int(a) for t in texts for a, b in re.findall(r'id (\d+)\n    label "(n\d+)"', t)}
+    assert number == {r[0]: i for i, r in enumerate(rows)}
+    back = sources.read_graph(spark, str(tmp_path / "link"))
+    assert sorted(r.id for r in back.nodes.collect()) == sorted([r[0] for r in rows] + ["gone"]) and back.edges.count() == 25
+    assert back.nodes.where("id <> 'gone'").select("ordinal").distinct().count() == 25
+
+
+def test_trees_in_parts(spark, tmp_path):
+    rows = [(v, f"v{v}", c, s, 100 * v + 10 * c + s, f"t{s}") for v in (1, 2) for c in (3, 4) for s in range(7)]
+    own = spark.createDataFrame(rows, "version_idx int, version string, chapter_number int, sentence_number int, row_idx long, text string")
+    parts = reshape.nest_parts(own, most=5)
+    assert parts.count() == 6
+    sinks.write_trees(parts, str(tmp_path / "trees"))
+    for found in (reshape.flatten(parts), reshape.flatten(sources.read_tree(spark, str(tmp_path / "trees")))):
+        assert sorted(map(tuple, found.select("version", "chapter_number", "sentence_number", "text").collect())) == sorted((r[1], r[2], r[3], r[5]) for r in rows)
