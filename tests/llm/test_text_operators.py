@@ -285,3 +285,22 @@ def test_estimates_keep_links_far_in_the_tail():
     for t in (threshold, Fraction(8, 10)):
         for u, least in enumerate(near_dedup.least_shared(t, 2 * k).tolist()):
             assert sum(math.comb(u, s) * t**s * (1 - t) ** (u - s) for s in range(least)) <= 1e-9
+
+
+def test_components_join_only_edges_that_are_left(spark, monkeypatch):
+    """A long way and a star: edge tables shrink to nothing, and in all rounds together hold few times the edges."""
+    from variorum.llm import _components
+
+    sizes, write = [], _components.materialize
+
+    def counted(df):
+        found = write(df)
+        if found.columns == ["a", "b"]:
+            sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(_components, "materialize", counted)
+    edges = [(i, i + 1) for i in range(100, 228)] + [(999, k) for k in range(500, 520)] + [(520, 500), (7, 7)]
+    found = dict(_components.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert found == {i: 100 for i in range(100, 229)} | {k: 500 for k in [*range(500, 521), 999]}
+    assert sizes[0] == 149 and sizes[-1] == 0 and sum(sizes) < 6 * 149
