@@ -384,6 +384,31 @@ def test_gradients(monkeypatch):
             assert abs((loss(up) - loss(down)) / 2e-5 - grads[k][at]) < 1e-6
 
 
+def test_large_logits_are_shifted_and_states_may_saturate():
+    p = _gru.start(np.arange(128)[::-1] + 1)
+    states = np.random.default_rng(2).normal(size=(6, _gru.HIDDEN)).astype(np.float32)
+    for scale, safe in ((1, True), (3000, False)):
+        q = p | {k: p[k] * np.float32(scale) for k in ("wc", "wo")}
+        out = _gru._Outputs(q)
+        assert out.safe(out.states(states))[0] == safe
+        found = np.array([out.log_probs(states, np.full(6, s)) for s in range(128)])
+        assert np.isfinite(found).all() and np.allclose(np.exp(found).sum(0), 1, atol=1e-4)
+    with np.errstate(over="raise"):
+        last = _gru.steps(_gru.by_gate(p | {"b": p["b"] - np.float32(1000)}), np.ones((3, 2), int), np.ones((2, _gru.HIDDEN), np.float32), [np.array([1]), *[np.zeros(0, int)] * 2])
+    assert np.array_equal(last[-1], np.full((2, _gru.HIDDEN), -1))  # no gate lets the state before through
+
+
+def test_words_are_found_whatever_their_slot():
+    r = np.random.default_rng(3)
+    own = np.unique(np.concatenate([r.integers(0, 1 << 64, 3000, np.uint64), np.arange(500, dtype=np.uint64), ~np.arange(500, dtype=np.uint64)]))
+    counts = np.sort(r.integers(1, 10_000, len(own)))[::-1]
+    v = lm_scoring.Vocabulary.of(own, counts, 5, int(counts.sum()) + 5, len(own) + 1)
+    assert len(v.first) == 1 << lm_scoring.SLOT_BITS
+    asked = np.concatenate([own, own + np.uint64(1), r.integers(0, 1 << 64, 3000, np.uint64)])
+    given = dict(zip(own.tolist(), counts.tolist(), strict=True))
+    assert v.find(asked)[1].tolist() == [given.get(h, -1) for h in asked.tolist()]
+
+
 # URLs
 
 

@@ -32,35 +32,65 @@ def one_thread() -> None:
         ctypes.CDLL(str(path)).scipy_openblas_set_num_threads64_(1)
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place: exp is a fast loop in numpy everywhere, tanh is not."""
-    np.negative(x, out=x)
-    np.exp(np.minimum(x, F32(80), out=x), out=x)
+def by_gate(p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs' parts with b, state's parts), the gates z, r and n apart: slices of rows would be short loops in numpy.
+
+    Signs and the 2 of tanh(x) = 2 / (1 + exp(-2 * x)) - 1 are in them: exp is a fast loop in numpy everywhere, tanh is not.
+    """
+    scale = np.array([-1, -1, -2], F32)[:, None, None]
+    apart = lambda m: np.ascontiguousarray(m.reshape(len(m), 3, HIDDEN).swapaxes(0, 1))
+    x, u = apart(p["x"]), apart(p["u"])
+    x += p["b"].reshape(3, 1, HIDDEN)
+    x *= scale
+    u *= scale
+    return x, u
+
+
+def _logistic(x: np.ndarray, out: np.ndarray, top: float = 1) -> np.ndarray:
+    """top / (1 + exp(x)); x is overwritten, and where it overflows, the result is 0 as it should be."""
+    np.exp(x, out=x)
     x += F32(1)
-    return np.reciprocal(x, out=x)
-
-
-def steps(p: Params, g: np.ndarray, h: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(states, zr, n, hn) of each step from inputs g [step, row, gates] and the state h, which keep [step, row, 1] makes 0."""
-    count, rows, size = g.shape[0], len(h), HIDDEN
-    states, zr, n, hn = (np.empty((count, rows, k), g.dtype) for k in (size, 2 * size, size, size))
-    for t in range(count):
-        h = h * keep[t]
-        hu = h @ p["u"]
-        np.add(g[t, :, : 2 * size], hu[:, : 2 * size], out=zr[t])
-        sigmoid(zr[t])
-        hn[t] = hu[:, 2 * size :]
-        x = np.multiply(zr[t, :, size:], hn[t], out=n[t])
-        x += g[t, :, 2 * size :]
-        x *= F32(2)  # tanh(x) = 2 * sigmoid(2 * x) - 1
-        sigmoid(x)
-        x *= F32(2)
-        x -= F32(1)
-        new = np.subtract(h, x, out=states[t])
-        new *= zr[t, :, :size]
-        new += x
-        h = new
-    return states, zr, n, hn
+    return np.divide(F32(top), x, out=out)
+
+
+def steps(gates: tuple[np.ndarray, np.ndarray], inputs: np.ndarray, h: np.ndarray, anew: list[np.ndarray], kept: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+    """States of each step for symbols inputs [step, row] from the state h, which is 0 before step t in rows anew[t].
+
+    kept are arrays that take what backpropagation needs: the states before, z and r, n, and the state's part of n (by -2).
+    """
+    x, u = gates
+    count, rows = inputs.shape
+    states = np.empty((count, rows, HIDDEN), x.dtype)
+    g, hu, gate, n = (np.empty((*k, rows, HIDDEN), x.dtype) for k in ((3,), (3,), (2,), ()))
+    with np.errstate(over="ignore"):
+        for t in range(count):
+            if len(anew[t]):
+                h = h.copy()
+                h[anew[t]] = 0
+            np.matmul(h, u, out=hu)
+            np.take(x, inputs[t], axis=1, out=g, mode="clip")
+            if kept is not None:
+                before, zr, ns, hn = kept
+                before[t], hn[t] = h, hu[2]
+                gate, n = zr[:, t], ns[t]
+            add = g[:2]
+            add += hu[:2]
+            _logistic(add, gate)
+            new = np.multiply(gate[1], hu[2], out=states[t])
+            new += g[2]
+            _logistic(new, n, 2)
+            n -= F32(1)
+            np.subtract(h, n, out=new)
+            new *= gate[0]
+            new += n
+            h = new
+    return states
+
+
+def _anew(keep: np.ndarray) -> list[np.ndarray]:
+    """Of each step, the rows that keep [step, row, 1] makes 0."""
+    step, row = np.nonzero(keep[..., 0] == 0)
+    return np.split(row, np.searchsorted(step, np.arange(1, len(keep))))
 
 
 def start(counts: np.ndarray) -> Params:
@@ -112,7 +142,7 @@ def windows(inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, end: i
     for t0 in range(0, inputs.shape[1], WINDOW):
         live = int(np.searchsorted(-lengths, -t0, side="left"))
         t1 = min(t0 + WINDOW, inputs.shape[1])
-        x = inputs[:live, t0:t1].T
+        x = np.ascontiguousarray(inputs[:live, t0:t1].T, np.intp)
         yield t0, live, x, targets[:live, t0:t1].T, np.arange(t0, t1)[:, None] < lengths[None, :live], (x != end)[..., None].astype(F32)
 
 
@@ -133,17 +163,18 @@ def log_likelihoods(p: Params, sequences: list[np.ndarray], end: int) -> np.ndar
     inputs, targets, lengths = table([np.concatenate([x for j in own for x in (sequences[j], tail)]) for own in held if own], end)
     owner = table([np.repeat(own, sizes[own]) for own in held if own], 0)[1]
     h = np.zeros((len(inputs), HIDDEN), F32)
+    gates, likely = by_gate(p), _Outputs(p)
     found: list[tuple[np.ndarray, ...]] = []
     size = 0
     for t0, live, x, y, inside, keep in windows(inputs, targets, lengths, end):
-        states = steps(p, p["x"][x] + p["b"], h[:live], keep)[0]
+        states = steps(gates, x, h[:live], _anew(keep))
         h = states[-1]
         at = inside.ravel()
         found.append((states.reshape(-1, HIDDEN)[at], y.ravel()[at], owner[:live, t0 : t0 + len(x)].T.ravel()[at]))
         size += len(found[-1][1])
         if size >= 1 << 14 or t0 + WINDOW >= inputs.shape[1]:
             states, y, own = (np.concatenate(c) for c in zip(*found, strict=True))
-            out += np.bincount(own, _log_probs(p, states, y), len(out))
+            out += np.bincount(own, likely.log_probs(states, y), len(out))
             found, size = [], 0
     return out
 
@@ -153,45 +184,71 @@ def _order(symbols: np.ndarray) -> np.ndarray:
     return np.argsort(symbols.astype(np.uint16), kind="stable")
 
 
-def _classes(p: Params, symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
-    """The class of each of sorted symbols; for classes of several symbols that occur, their places and their symbols."""
-    first = np.rint(p["cut"]).astype(np.int64)
-    at = np.searchsorted(symbols, first)
-    several = np.flatnonzero((np.diff(at) > 0) & (np.diff(first) > 1)).tolist()
-    return np.repeat(np.arange(CLASSES), np.diff(at)), [(slice(at[c], at[c + 1]), slice(first[c], first[c + 1])) for c in several]
+class _Outputs:
+    """Both softmaxes with their biases as a last column, beside states with a last 1."""
 
+    #: Logits within this need no shift: exponentials and their sums stay far from the ends of float32.
+    SAFE = 60
 
-def _log_probs(p: Params, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    order = _order(symbols)
-    states, symbols = states[order], symbols[order]
-    cls, several = _classes(p, symbols)
-    logits = states @ p["wc"]
-    logits += p["bc"]
-    found = logits[np.arange(len(cls)), cls] - _logsumexp(logits)
-    for s, own in several:
-        logits = states[s] @ p["wo"][own].T
-        logits += p["bo"][own]
-        found[s] += logits[np.arange(s.stop - s.start), symbols[s] - own.start] - _logsumexp(logits)
-    out = np.empty(len(found))
-    out[order] = found
-    return out
+    def __init__(self, p: Params) -> None:
+        self.first = np.rint(p["cut"]).astype(np.int64)
+        self.wc, self.wo = np.concatenate([p["wc"], p["bc"][None]]).T, np.concatenate([p["wo"], p["bo"][:, None]], 1)
+        self.most = [(np.abs(w[:, :-1]).sum(1), np.abs(w[:, -1])) for w in (self.wc, self.wo)]
+
+    @staticmethod
+    def states(states: np.ndarray) -> np.ndarray:
+        out = np.empty((len(states), HIDDEN + 1), states.dtype)
+        out[:, :-1], out[:, -1] = states, 1
+        return out
+
+    def classes(self, symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+        """The class of each of sorted symbols; for classes of several symbols that occur, their places and their symbols."""
+        at = np.searchsorted(symbols, self.first)
+        several = np.flatnonzero((np.diff(at) > 0) & (np.diff(self.first) > 1)).tolist()
+        return np.repeat(np.arange(CLASSES), np.diff(at)), [(slice(at[c], at[c + 1]), slice(self.first[c], self.first[c + 1])) for c in several]
+
+    def safe(self, s: np.ndarray) -> tuple[bool, np.ndarray]:
+        """Whether the logits of classes, and those of each symbol, are within SAFE for all of states s."""
+        largest = np.abs(s[:, :-1]).max() if len(s) else 0
+        cls, own = (w * largest + b <= self.SAFE for w, b in self.most)
+        return bool(cls.all()), own
+
+    def log_probs(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        order = _order(symbols)
+        s, symbols = self.states(states[order]), symbols[order]
+        cls, several = self.classes(symbols)
+        safe, own_safe = self.safe(s)
+        logits = s @ self.wc.T
+        found = logits[np.arange(len(cls)), cls] - _logsumexp(logits, safe)
+        for at, own in several:
+            logits = s[at] @ self.wo[own].T
+            found[at] += logits[np.arange(at.stop - at.start), symbols[at] - own.start] - _logsumexp(logits, own_safe[own].all())
+        out = np.empty(len(found))
+        out[order] = found
+        return out
 
 
-def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(top, sums): x becomes exp(x - top) in place; top is the largest of all, or each row's where they are far apart."""
-    top = x.max() if x.size else x.dtype.type(0)
-    if x.size and x.min() < top - 40:
-        top = x.max(1)
-        x -= top[:, None]
-    else:
-        x -= top
+def _log_probs(p: Params, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    return _Outputs(p).log_probs(states, symbols)
+
+
+def _exp(x: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(top, sums): x becomes exp(x - top) in place; top is 0 if that is safe, else the largest of all, or each row's where they are far apart."""
+    top = x.dtype.type(0)
+    if not safe and x.size:
+        top = x.max()
+        if x.min() < top - 40:
+            top = x.max(1)
+            x -= top[:, None]
+        else:
+            x -= top
     np.exp(x, out=x)
     return top, x @ np.ones(x.shape[1], x.dtype)
 
 
-def _logsumexp(x: np.ndarray) -> np.ndarray:
+def _logsumexp(x: np.ndarray, safe: bool) -> np.ndarray:
     """Of each row; x is overwritten."""
-    top, sums = _exp(x)
+    top, sums = _exp(x, safe)
     return top + np.log(sums)
 
 
@@ -218,64 +275,68 @@ def train(p: Params, sequences: list[np.ndarray], end: int, rate: float = 0.08)
 def _window(p: Params, inputs: np.ndarray, targets: np.ndarray, inside: np.ndarray, h: np.ndarray, keep: np.ndarray):
     """The state after a window, and the gradients of its mean loss; sparse ones as (rows, gradient)."""
     count, rows = inputs.shape
-    size = HIDDEN
-    states, zr, n, hn = steps(p, p["x"][inputs] + p["b"], h, keep)
+    size, gates, anew, out = HIDDEN, by_gate(p), _anew(keep), _Outputs(p)
+    kept = before, zr, n, hn = [np.empty((*k, count, rows, size), h.dtype) for k in ((), (2,), (), ())]
+    states = steps(gates, inputs, h, anew, kept)
     at = np.flatnonzero(inside.ravel())
     y = targets.ravel()[at]
     order = _order(y)
     at, y = at[order], y[order]
-    s = states.reshape(-1, size)[at]
+    s = out.states(states.reshape(-1, size)[at])
     weight = s.dtype.type(1 / len(y))
-    cls, several = _classes(p, y)
-    logits = s @ p["wc"]
-    logits += p["bc"]
-    d = _softmax(logits)
-    d[np.arange(len(cls)), cls] -= 1
-    ds = d @ p["wc"].T
-    grads: dict = {"wc": s.T @ d, "bc": d.sum(0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
+    cls, several = out.classes(y)
+    safe, own_safe = out.safe(s)
+    ds, dc = _back(s @ out.wc.T, safe, cls, s, p["wc"].T, weight)
+    do = np.zeros_like(out.wo)
     for a, own in several:
-        logits = s[a] @ p["wo"][own].T
-        logits += p["bo"][own]
-        e = _softmax(logits)
-        e[np.arange(a.stop - a.start), y[a] - own.start] -= 1
-        ds[a] += e @ p["wo"][own]
-        grads["wo"][own] = e.T @ s[a]
-        grads["bo"][own] = e.sum(0)
-    for gr in grads.values():
-        gr *= weight
-    ds *= weight
+        more, do[own] = _back(s[a] @ out.wo[own].T, own_safe[own].all(), y[a] - own.start, s[a], p["wo"][own], weight)
+        ds[a] += more
     back = np.zeros((count * rows, size), s.dtype)
     back[at] = ds
     back = back.reshape(count, rows, size)
 
-    z, r = zr[..., :size], zr[..., size:]
-    before = np.concatenate([h[None], states[:-1]])
-    before *= keep
-    to_z, to_n, to_r = (before - n) * (z * (1 - z)), (1 - z) * (1 - n * n), hn * (r * (1 - r))
-    dg = np.empty((count, rows, 3 * size), s.dtype)
-    dhu = np.empty_like(dg)
-    dh, turned = np.zeros((rows, size), s.dtype), np.ascontiguousarray(p["u"].T)
+    z, r = zr
+    one = s.dtype.type(1)
+    to_z, to_n, to_r = (before - n) * z, one - n * n, hn * r
+    rest = one - z
+    to_z *= rest
+    to_n *= rest
+    to_r *= one - r
+    to_r *= s.dtype.type(-0.5)
+    dg, dhn = np.empty((3, count, rows, size), s.dtype), np.empty((count, rows, size), s.dtype)
+    u = np.ascontiguousarray(p["u"].reshape(size, 3, size).transpose(1, 2, 0))
+    dh, dhu, turned = np.zeros((rows, size), s.dtype), np.empty((3, rows, size), s.dtype), np.empty((3, rows, size), s.dtype)
     for t in reversed(range(count)):
         dh += back[t]
-        dn = dh * to_n[t]
-        np.multiply(dh, to_z[t], out=dg[t, :, :size])
-        np.multiply(dn, to_r[t], out=dg[t, :, size : 2 * size])
-        dg[t, :, 2 * size :] = dn
-        dhu[t, :, : 2 * size] = dg[t, :, : 2 * size]
-        np.multiply(dn, r[t], out=dhu[t, :, 2 * size :])
+        dn = np.multiply(dh, to_n[t], out=dg[2, t])
+        np.multiply(dh, to_z[t], out=dhu[0])
+        np.multiply(dn, to_r[t], out=dhu[1])
+        np.multiply(dn, r[t], out=dhu[2])
+        dg[:2, t], dhn[t] = dhu[:2], dhu[2]
         dh *= z[t]
-        dh += dhu[t] @ turned
-        dh *= keep[t]
+        np.matmul(dhu, u, out=turned)
+        for part in turned:
+            dh += part
+        dh[anew[t]] = 0
+    flat, long = before.reshape(-1, size).T, dg.reshape(3, -1, size)
+    du = np.concatenate([flat @ long[0], flat @ long[1], flat @ dhn.reshape(-1, size)], 1)
     flat = inputs.ravel()
     order = _order(flat)
     own = flat[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    flat_dg = dg.reshape(-1, 3 * size)
-    grads |= {"u": before.reshape(-1, size).T @ dhu.reshape(-1, 3 * size), "b": flat_dg.sum(0), "x": (own[first], np.add.reduceat(flat_dg[order], first, 0))}
-    return states[-1], grads
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Of each row, in place."""
-    x /= _exp(x)[1][:, None]
-    return x
+    pairs = f"c{2 * dg.itemsize}"  # two numbers in one sum: reduceat takes its time by sums, not by bytes
+    dx = np.concatenate([np.add.reduceat(np.take(part, order, 0).view(pairs), first, 0).view(dg.dtype) for part in long], 1)
+    return states[-1], {"wc": dc[:, :-1].T, "bc": dc[:, -1], "wo": do[:, :-1], "bo": do[:, -1], "u": du, "b": dx.sum(0), "x": (own[first], dx)}
+
+
+def _back(logits: np.ndarray, safe: bool, targets: np.ndarray, s: np.ndarray, w: np.ndarray, weight: np.generic) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients by states and by weights, of weight times each row's loss; logits are overwritten.
+
+    Rows of exponentials stay undivided, and their sums divide the narrower states.
+    """
+    sums = _exp(logits, safe)[1]
+    logits[np.arange(len(targets)), targets] -= sums
+    by = (weight / sums)[:, None]
+    ds = logits @ w
+    ds *= by
+    return ds, logits.T @ (s * by)

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ from variorum.llm.toxicity import remainder
 
 #: Words whose counts are broadcast, and symbols of the network: fixed bounds.
 COMMON, SYMBOLS = 1 << 17, 4096
+#: Leading bits of a hash by which common words are found.
+SLOT_BITS = 19
 #: Rounds of the one pass over the training documents.
 ROUNDS = 8
 #: Training tokens of a learner in all rounds, about.
@@ -78,11 +81,19 @@ class Vocabulary:
         kinds = distinct - (ends > 0) - n
         return Vocabulary(hashes[order], counts[order], symbols[order].astype(np.int32), np.sort(every)[::-1], int(place[n]), int(place[n + 1]), tokens, distinct, rest + kinds)
 
+    @cached_property
+    def first(self) -> np.ndarray:
+        """The place of the first hash whose leading SLOT_BITS are at least this slot's, or the last place."""
+        at = np.searchsorted(self.hashes >> np.uint64(64 - SLOT_BITS), np.arange(1 << SLOT_BITS, dtype=np.uint64))
+        return np.minimum(at, len(self.hashes) - 1).astype(np.int32)
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each word's symbol and count; the count of words that are not common is -1."""
         if not len(self.hashes):
             return np.full(len(hashes), self.other, np.int32), np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        at = self.first[hashes >> np.uint64(64 - SLOT_BITS)]
+        later = np.flatnonzero(self.hashes[at] < hashes)  # not the first of its slot
+        at[later] = np.minimum(np.searchsorted(self.hashes, hashes[later]), len(self.hashes) - 1)
         known = self.hashes[at] == hashes
         return np.where(known, self.symbols[at], self.other).astype(np.int32), np.where(known, self.counts[at], -1)
 
