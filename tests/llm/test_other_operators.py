@@ -409,6 +409,40 @@ def test_words_are_found_whatever_their_slot():
     assert v.find(asked)[1].tolist() == [given.get(h, -1) for h in asked.tolist()]
 
 
+def test_one_pass_learns_order_from_few_updates():
+    r = np.random.default_rng(5)
+    seen = [(np.arange(n) + a) % 40 + 1 for a, n in zip(r.integers(0, 40, 400), r.integers(30, 90, 400), strict=True)]
+    asked = [(np.arange(60) + a) % 40 + 1 for a in range(40)]
+    p = _gru.train(_gru.start(np.arange(128)[::-1] + 1), seen, 0)
+    assert _gru.log_likelihoods(p, asked, 0).sum() / np.log(10) / (61 * 40) > -0.5
+
+
+def test_scores_come_from_texts_that_are_read_once(spark, tmp_path):
+    rows = [(i, None if i % 9 == 0 else "" if i % 9 == 1 else f"w{i % 5} W{i % 5}\trare{i} rare{i}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents")
+    found = lm_scoring.score(spark.read.parquet(f"{tmp_path}/documents"))
+    assert found.inputFiles() and not any(str(tmp_path) in x for x in found.inputFiles())
+    assert {r.doc_id: r.n_tokens for r in found.collect()} == {i: len((t or "").split()) + 1 for i, t in rows}
+
+
+def test_encoded_documents(spark, monkeypatch):
+    texts = ["", "a b a zz", None, "zz zz y", "b", "é x"]
+    data, offsets = column_bytes(pa.array(["a", "b", "x"]))
+    own = words(data, offsets, SPACED_LOWER).hashes
+    monkeypatch.setattr(lm_scoring, "SYMBOLS", 4)  # a and b are symbols, x is common, all others are rare
+    v = lm_scoring.Vocabulary.of(own, np.array([9, 5, 3]), 6, 40, 9)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    found = {r.row.doc_id: r for r in lm_scoring.encode(df, spark.sparkContext.broadcast(v)).collect()}
+    known, symbol = {"a": 9, "b": 5, "x": 3}, dict(zip(["a", "b"], v.find(own[:2])[0].tolist(), strict=True))
+    for i, t in enumerate(texts):
+        w, r = (t or "").split(), found[i]
+        assert np.frombuffer(r.symbols, np.uint16).tolist() == [symbol.get(x, v.other) for x in w]
+        assert len(r.rare) == 8 * sum(x not in known for x in w)
+        assert (r.n_tokens, r.n_known, r.n_other) == (len(w) + 1, sum(x in known for x in w), sum(x not in symbol for x in w))
+        assert abs(r.base - sum(math.log10(known.get(x, 0) + 1) for x in w)) < 1e-12
+        assert abs(r.rest - sum(math.log10(known.get(x, 0) + 1) for x in w if x not in symbol)) < 1e-12
+
+
 # URLs
 
 

@@ -19,9 +19,11 @@ from pathlib import Path
 
 import numpy as np
 
-HIDDEN, WINDOW, CLASSES = 24, 32, 32
-#: Rows of a table in training and in scoring, at most.
-TRAIN_ROWS, SCORE_ROWS = 256, 512
+HIDDEN, WINDOW, CLASSES = 16, 32, 32
+#: Rows of a table in training and in scoring, at most; in training fewer, where there would be less than UPDATES windows.
+TRAIN_ROWS, SCORE_ROWS, UPDATES = 512, 512, 16
+#: Adagrad's rate, and the sums of squares that it begins with: small ones, as a learner makes few updates in a round.
+RATE, SQUARES = 0.16, 1e-9
 F32 = np.float32
 Params = dict[str, np.ndarray]
 
@@ -132,9 +134,13 @@ def table(rows: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.
     targets = np.full((len(rows), lengths[0]), end, np.int32)
     for to, own in zip(targets, rows, strict=True):
         to[: len(own)] = own
+    return _shifted(targets, end), targets, lengths
+
+
+def _shifted(targets: np.ndarray, end: int) -> np.ndarray:
     inputs = np.full_like(targets, end)
     inputs[:, 1:] = targets[:, :-1]
-    return inputs, targets, lengths
+    return inputs
 
 
 def windows(inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, end: int):
@@ -158,10 +164,16 @@ def log_likelihoods(p: Params, sequences: list[np.ndarray], end: int) -> np.ndar
         n, i = heap[0]
         held[i].append(j)
         heapq.heapreplace(heap, (n + int(sizes[j]), i))
-    held.sort(key=lambda own: -int(sizes[own].sum()))
-    tail = np.array([end], np.int64)
-    inputs, targets, lengths = table([np.concatenate([x for j in own for x in (sequences[j], tail)]) for own in held if own], end)
-    owner = table([np.repeat(own, sizes[own]) for own in held if own], 0)[1]
+    held = sorted((own for own in held if own), key=lambda own: -int(sizes[own].sum()))
+    lengths = np.array([sizes[own].sum() for own in held])
+    targets = np.full((len(held), lengths[0]), end, np.int32)
+    owner = np.zeros_like(targets)
+    for i, own in enumerate(held):
+        at = 0
+        for j, n in zip(own, sizes[own].tolist(), strict=True):
+            targets[i, at : at + n - 1], owner[i, at : at + n] = sequences[j], j
+            at += n
+    inputs = _shifted(targets, end)
     h = np.zeros((len(inputs), HIDDEN), F32)
     gates, likely = by_gate(p), _Outputs(p)
     found: list[tuple[np.ndarray, ...]] = []
@@ -252,15 +264,15 @@ def _logsumexp(x: np.ndarray, safe: bool) -> np.ndarray:
     return top + np.log(sums)
 
 
-def train(p: Params, sequences: list[np.ndarray], end: int, rate: float = 0.08) -> Params:
+def train(p: Params, sequences: list[np.ndarray], end: int, rate: float = RATE) -> Params:
     """Parameters after one pass over the sequences, by Adagrad; a sequence that two rows share starts anew in the second."""
     p = {k: v.copy() for k, v in p.items()}
-    squares = {k: np.full_like(v, 1e-6) for k, v in p.items()}
+    squares = {k: np.full_like(v, SQUARES) for k, v in p.items()}
     if not sequences:
         return p
-    tail = np.array([end], np.int64)
+    tail = np.array([end], sequences[0].dtype)
     whole = np.concatenate([x for s in sequences for x in (s, tail)])
-    inputs, targets, lengths = table([x for x in np.array_split(whole, min(TRAIN_ROWS, -(-len(whole) // WINDOW))) if len(x)], end)
+    inputs, targets, lengths = table([x for x in np.array_split(whole, min(TRAIN_ROWS, -(-len(whole) // (WINDOW * UPDATES)))) if len(x)], end)
     h = np.zeros((len(inputs), HIDDEN), F32)
     for _, live, x, y, inside, keep in windows(inputs, targets, lengths, end):
         h, grads = _window(p, x, y, inside, h[:live], keep)

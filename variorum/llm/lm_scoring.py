@@ -3,6 +3,7 @@
 1. Words of all training documents are counted, in buckets of their hash.
 2. The most frequent words are the model's symbols, beside one for the end and
    one for all other words; symbols are split over classes by falling counts.
+   All documents are written as symbols, from which the next steps work.
 3. All training documents train the network, each once: learners in parallel,
    each on its part of the round's documents, dealt to rounds and learners by a
    hash of doc_id and text, whose parameters are averaged after every round.
@@ -30,9 +31,10 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructType
 
 from variorum.llm import _exchange as ex
 from variorum.llm import _gru as gru
@@ -48,8 +50,8 @@ SLOT_BITS = 19
 ROUNDS = 8
 #: Training tokens of a learner in all rounds, about.
 LEARNER_TOKENS = 1 << 21
-#: Bytes of text that a task works on at once, about.
-PIECE_BYTES = 8 << 20
+#: Bytes of text that a task works on at once, about; and bytes of symbols that it scores, or of rare words that it packs.
+PIECE_BYTES, ENCODED_BYTES = 8 << 20, 8 << 20
 _PARTIAL = "bucket long, hashes binary, counts binary"
 
 
@@ -81,6 +83,10 @@ class Vocabulary:
         kinds = distinct - (ends > 0) - n
         return Vocabulary(hashes[order], counts[order], symbols[order].astype(np.int32), np.sort(every)[::-1], int(place[n]), int(place[n + 1]), tokens, distinct, rest + kinds)
 
+    @cached_property
+    def network(self) -> gru.Params:
+        return gru.start(self.symbol_counts)
+
     @cached_property
     def first(self) -> np.ndarray:
         """The place of the first hash whose leading SLOT_BITS are at least this slot's, or the last place."""
@@ -192,24 +198,73 @@ def common_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def _rare(vocabulary, buckets: int):
-    """Occurrences of words that are not common: a row for each bucket of each chunk, and the chunk's documents."""
+def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary for each of sizes: that many of the values in a row."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of binaries, and how many each has."""
+    column = column.cast(pa.binary())
+    sizes = pc.binary_length(column).to_numpy().astype(np.int64)
+    _, at, data = column.buffers()
+    first = int(np.frombuffer(at, np.int32)[column.offset]) if len(column) else 0
+    own = np.frombuffer(data, np.uint8)[first : first + sizes.sum()] if data is not None and data.size else np.zeros(0, np.uint8)
+    return own.view(kind), sizes // np.dtype(kind).itemsize
+
+
+def _parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Batches in parts with about ENCODED_BYTES of a column."""
+    for batch in batches:
+        for lo, hi in chunks(np.concatenate([[0], np.cumsum(pc.binary_length(batch[column]).to_numpy(), dtype=np.int64)]), ENCODED_BYTES):
+            yield batch.slice(lo, hi - lo)
+
+
+def _encode(vocabulary):
+    """Of each document: symbols, sums over its words, and the hashes of words that are not common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = vocabulary.value
-        task, seq = TaskContext.get().partitionId(), 0
         for batch in (part for b in batches for part in slices(b, "text", PIECE_BYTES)):
             data, offsets = column_bytes(batch["text"])
-            keys = np.stack([batch["key1"].to_numpy(), batch["key2"].to_numpy()], 1)
-            hashes, owners = [], []
             for lo, hi in chunks(offsets):
                 w = words(data, offsets[lo : hi + 1], SPACED_LOWER)
-                rare = v.find(w.hashes)[1] < 0
-                hashes.append(w.hashes[rare])
-                owners.append(w.row()[rare] + lo)
-            h, o = np.concatenate(hashes), np.concatenate(owners)
+                symbols, counts = v.find(w.hashes)
+                docs, row = hi - lo, w.row()
+                count = lambda at: np.bincount(row[at], minlength=docs)  # noqa: E731, B023
+                logs, tail, rare = np.log10(np.maximum(counts, 0) + 1.0), symbols == v.other, counts < 0
+                total = lambda at: np.bincount(row[at], logs[at], docs).astype(np.float64)  # noqa: E731, B023 - integers if there are none
+                sums = [np.diff(w.first) + 1, count(counts > 0), total(slice(None)), total(tail), count(tail)]
+                own = [_packed(symbols.astype(np.uint16), np.diff(w.first)), _packed(w.hashes[rare], count(rare)), *(pa.array(x, pa.from_numpy_dtype(x.dtype)) for x in sums)]
+                part = batch.slice(lo, docs)
+                yield pa.RecordBatch.from_arrays([*(part[k] for k in _KEYS), *own], names=[*_KEYS, *_ENCODED.names])
+
+    return run
+
+
+_KEYS = ["row", "key1", "key2", "deal"]
+_SUMMED = ["n_tokens", "n_known", "base", "rest", "n_other"]
+_ENCODED = StructType().add("symbols", BinaryType()).add("rare", BinaryType()).add("n_tokens", LongType()).add("n_known", LongType()).add("base", DoubleType()).add("rest", DoubleType()).add("n_other", LongType())
+
+
+def encode(docs: DataFrame, vocabulary) -> DataFrame:
+    """A written table of all documents as symbols: learning, scoring and rare words take theirs from it, and texts are read once."""
+    keyed = docs.select(F.struct("doc_id").alias("row"), F.xxhash64("doc_id").alias("key1"), F.xxhash64("text", "doc_id").alias("key2"), F.xxhash64("doc_id", "text").alias("deal"), "text")
+    return materialize(keyed.mapInArrow(tidy(_encode(vocabulary)), StructType([*(keyed.schema[k] for k in _KEYS), *_ENCODED.fields])))
+
+
+def _rare(buckets: int):
+    """Occurrences of words that are not common: a row for each bucket of each chunk, and the chunk's documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, seq = TaskContext.get().partitionId(), 0
+        for batch in _parts(batches, "rare"):
+            keys = np.stack([batch["key1"].to_numpy(), batch["key2"].to_numpy()], 1)
+            h, sizes = _unpacked(batch["rare"], np.uint64)
+            o = np.repeat(np.arange(len(sizes)), sizes)
             order = np.lexsort((o, h))
             h, o = h[order], o[order]
             new = np.ones(len(h), bool)
@@ -263,20 +318,11 @@ def _home(table: pa.Table) -> pa.Table:
     return pa.table({"key1": keys[some, 0], "key2": keys[some, 1], "rare_log": logs[some], "rare_known": known[some].astype(np.int64)})
 
 
-def _sequences(batch: pa.RecordBatch, v: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    data, offsets = column_bytes(batch["text"])
-    for lo, hi in chunks(offsets):
-        w = words(data, offsets[lo : hi + 1], SPACED_LOWER)
-        symbols, counts = v.find(w.hashes)
-        for d in range(hi - lo):
-            yield symbols[w.first[d] : w.first[d + 1]], counts[w.first[d] : w.first[d + 1]]
-
-
 def _learn(vocabulary, params, seed: int):
     def run(table: pa.Table) -> pa.Table:
         v: Vocabulary = vocabulary.value
         gru.one_thread()
-        p = gru.unpack(params.value, gru.start(v.symbol_counts))
+        p = gru.unpack(params.value, v.network)
         found = [np.frombuffer(x, np.uint16) for x in sorted(table["symbols"].to_pylist())]
         order = np.random.default_rng(seed).permutation(len(found))
         p = gru.train(p, [found[j] for j in order], v.end)
@@ -293,20 +339,13 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table({"learner": pa.array([rows[0]["learner"]], pa.int64()), "tokens": pa.array([total], pa.int64()), "params": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
 
-def _symbols_only(vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", PIECE_BYTES):
-                yield pa.RecordBatch.from_arrays([part["deal"], pa.array([s.astype(np.uint16).tobytes() for s, _ in _sequences(part, vocabulary.value)], pa.binary())], names=["deal", "symbols"])
-
-    return run
+def fit(train: DataFrame, vocabulary, params: gru.Params) -> bytes:
+    return learnt(encode(train, vocabulary), vocabulary, params)
 
 
-def fit(train: DataFrame, vocabulary, params: gru.Params) -> bytes:
+def learnt(symbols: DataFrame, vocabulary, params: gru.Params) -> bytes:
     """Parameters after ROUNDS rounds of parallel learners, which share all training documents; each is in one round."""
-    spark = train.sparkSession
-    keyed = train.select(F.xxhash64("doc_id", "text").alias("deal"), "text")
-    symbols = materialize(keyed.mapInArrow(tidy(_symbols_only(vocabulary)), "deal long, symbols binary"))
+    spark = symbols.sparkSession
     tokens = symbols.agg(F.sum(F.length("symbols") / 2)).first()[0] or 0
     learners = int(tokens // LEARNER_TOKENS) + 1
     slot = F.pmod("deal", F.lit(learners * ROUNDS))
@@ -328,17 +367,11 @@ def _score(vocabulary, params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = vocabulary.value
         gru.one_thread()
-        p = gru.unpack(params.value, gru.start(v.symbol_counts))
-        for batch in (part for b in batches for part in slices(b, "text", PIECE_BYTES)):
-            pairs = list(_sequences(batch, v))
-            model = gru.log_likelihoods(p, [s for s, _ in pairs], v.end) / np.log(10)
-            logs = [np.log10(np.maximum(c, 0) + 1.0) for _, c in pairs]
-            n = [len(s) + 1 for s, _ in pairs]
-            known = [int(np.count_nonzero(c > 0)) for _, c in pairs]
-            tail = [s == v.other for s, _ in pairs]
-            base = [float(x.sum()) for x in logs]
-            rest = [float(x[t].sum()) for x, t in zip(logs, tail, strict=True)]
-            out = [batch["row"], batch["key1"], batch["key2"], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model + rest, pa.float64()), pa.array([int(np.count_nonzero(t)) for t in tail], pa.int64())]
+        p = gru.unpack(params.value, v.network)
+        for batch in _parts(batches, "symbols"):
+            symbols, sizes = _unpacked(batch["symbols"], np.uint16)
+            model = gru.log_likelihoods(p, np.split(symbols, np.cumsum(sizes)[:-1]), v.end) / np.log(10)
+            out = [*(batch[k] for k in ("row", "key1", "key2", "n_tokens", "n_known", "base")), pa.array(model + batch["rest"].to_numpy()), batch["n_other"]]
             yield pa.RecordBatch.from_arrays(out, names=["row", "key1", "key2", *_SCORED.names])
 
     return run
@@ -362,13 +395,15 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     ends = train.count()
     found = Vocabulary.of(*common_words(counts), ends, (totals.tokens or 0) + ends, (totals.kinds or 0) + (ends > 0))
     vocabulary = spark.sparkContext.broadcast(found)
-    params = spark.sparkContext.broadcast(fit(train, vocabulary, gru.start(found.symbol_counts)))
+    encoded = encode(docs, vocabulary)
+    symbols = encoded.select("row.doc_id", "deal", "symbols").where(~out_of)
+    params = spark.sparkContext.broadcast(learnt(symbols, vocabulary, found.network))
 
-    keyed = docs.select(F.struct("doc_id").alias("row"), "text", F.xxhash64("doc_id").alias("key1"), F.xxhash64("text", "doc_id").alias("key2"))
-    rare = keyed.drop("row").mapInArrow(tidy(_rare(vocabulary, buckets)), "bucket long, chunk long, hashes binary, owners binary, times binary")
+    rare = encoded.select("key1", "key2", "rare").mapInArrow(tidy(_rare(buckets)), "bucket long, chunk long, hashes binary, owners binary, times binary")
     met = rare.groupBy("bucket").cogroup(counts.select("bucket", "hashes", "counts").groupBy("bucket")).applyInArrow(tidy_both(_look_up), _SUMS)
     sums = met.groupBy("chunk").applyInArrow(tidy_group(_home), "key1 long, key2 long, rare_log double, rare_known long").dropDuplicates(["key1", "key2"])
-    own = keyed.mapInArrow(tidy(_score(vocabulary, params)), StructType([keyed.schema["row"], keyed.schema["key1"], keyed.schema["key2"], *_SCORED.fields]))
+    keys = ["row", "key1", "key2"]
+    own = encoded.select(*keys, "symbols", *_SUMMED).mapInArrow(tidy(_score(vocabulary, params)), StructType([*(encoded.schema[k] for k in keys), *_SCORED.fields]))
     both = own.join(sums, ["key1", "key2"], "left").select("row.doc_id", *_SCORED.names, F.coalesce("rare_log", F.lit(0.0)).alias("rare_log"), F.coalesce("rare_known", F.lit(0)).alias("rare_known"))
     end_log, seen = float(np.log10(ends + 1)), int(ends > 0)
     unit, tail = float(np.log10(found.tokens + found.distinct + 1)), float(np.log10(found.tail + 1))
