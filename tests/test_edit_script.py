@@ -230,3 +230,17 @@ def test_slice_of_pairs_that_are_not_made(spark, start, end):
     wanted = collate.index_slice(collate.pair_index(collate.pairs(own), own), start, end)
     found = collate.pair_slice(own, start, end)
     assert sorted(map(tuple, found.select(*wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
+
+
+@pytest.mark.parametrize(("hot", "at_once", "most"), [(collate.HOT, 4096, 256), (2, 2, 1)])
+def test_places_with_versions_are_the_pairs(witness, spark, monkeypatch, hot, at_once, most):
+    """Also where sentences are hot, texts have more versions than a map takes, and records take one place."""
+    monkeypatch.setattr(collate, "AT_ONCE", at_once)
+    monkeypatch.setattr(collate, "MOST_PLACES", most)
+    rows = [(v, f"v{v}", c, s, v, None if v == 3 else f"t{v % 2}") for v in range(7) for c in (1, 2) for s in (1, 2) for _ in range(2)]
+    own = witness.union(spark.createDataFrame([*rows, (9, None, 1, 1, 9, "t0"), (9, "v9", None, 1, 9, "t0")], witness.schema))
+    found = collate.version_places(own, hot)
+    assert found.agg(F.max(F.size("original_versions"))).first()[0] <= at_once
+    wanted = collate.distinct_pairs(own)
+    again = collate.paired(collate.gathered(found, ["original_text", "modified_text"], collate.sentence_count(own)))
+    assert sorted(map(tuple, again.select(*wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
